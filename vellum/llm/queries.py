@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import pieces, prefix_counts, sharding, topk_search
-from vellum.llm.common import table
+from vellum.llm import decontamination, language_id, pieces, prefix_counts, sharding, topk_search, toxicity
+from vellum.llm.common import held_out, table
 
 MODEL = "piece_bpe_32k.model"
 
@@ -16,6 +17,18 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    guessed = language_id.predict(docs, language_id.train(docs))
+    return guessed.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -24,6 +37,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_digests(table(spark, sf_dir, "documents"), model_path())
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"), model_path())
 
@@ -33,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op5_topk_search, op6_sentencepiece, op9_token_counts, op10_sharding)}
+    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op5_topk_search, op6_sentencepiece, op7_decontamination, op9_token_counts, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
