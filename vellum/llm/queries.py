@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontamination, language_id, pieces, prefix_counts, sharding, topk_search, toxicity
+from vellum.llm import decontamination, language_id, pieces, prefix_counts, sharding, suffix_dedup, topk_search, toxicity
 from vellum.llm.common import held_out, table
 
 MODEL = "piece_bpe_32k.model"
@@ -41,6 +41,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"), model_path())
 
@@ -50,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op5_topk_search, op6_sentencepiece, op7_decontamination, op9_token_counts, op10_sharding)}
+    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op5_topk_search, op6_sentencepiece, op7_decontamination, op8_suffix_dedup, op9_token_counts, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
