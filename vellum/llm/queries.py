@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontamination, jaccard_join, language_id, pieces, prefix_counts, sharding, suffix_dedup, topk_search, toxicity
+from vellum.llm import decontamination, jaccard_join, language_id, line_dedup, pieces, prefix_counts, sharding, suffix_dedup, topk_search, toxicity
 from vellum.llm.common import held_out, table
 
 MODEL = "piece_bpe_32k.model"
@@ -17,6 +17,10 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_classes(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_jaccard_join, op3_toxicity, op4_language_id, op5_topk_search, op6_sentencepiece, op7_decontamination, op8_suffix_dedup, op9_token_counts, op10_sharding)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_toxicity, op4_language_id, op5_topk_search, op6_sentencepiece, op7_decontamination, op8_suffix_dedup, op9_token_counts, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
