@@ -2,10 +2,244 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.functions import text as T
+from vellum.operators import importing, pairing, quality, summaries
+from vellum.plans import oracles
+from vellum.plans.shared_sql import DOCUMENTS, EXISTING, INCOMING, ITEMS, view
+from vellum.sinks import exchange
+from vellum.sources import markers
+
+_QUERIES = {}
+
+
+def query(f):
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _items(spark, sf_dir):
+    return view(spark, sf_dir, ITEMS, "conversations")
+
+
+def _documents(spark, sf_dir):
+    return view(spark, sf_dir, DOCUMENTS, "documents")
+
+
+def _import_sides(spark, sf_dir):
+    return [view(spark, sf_dir, sql, "documents").withColumn("content_hash", T.content_hash(F.col("current_text"))) for sql in (INCOMING, EXISTING)]
+
+
+@query
+def normalize_hash(spark, sf_dir):
+    norm = T.normalize(F.col("current_text"))
+    return _documents(spark, sf_dir).select("doc_id", norm.alias("norm")).select("doc_id", F.length("norm").alias("n"), F.sha2("norm", 256).alias("content_hash"))
+
+
+@query
+def duplicate_identity(spark, sf_dir):
+    """Documents with the same normalised text; hashes are shuffled, not texts."""
+    hashed = _table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+    return hashed.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("n > 1")
+
+
+@query
+def exact_dup_probe(spark, sf_dir):
+    """Texts as files: those of even ids are stored, which of the others are new for their language?"""
+    files = _table(spark, sf_dir, "documents").select("doc_id", F.lit("source").alias("resource_role"), F.when(F.col("lang") != "fr", F.col("lang")).alias("language_code"), F.encode("text", "utf-8").alias("content"))
+    known = files.filter("doc_id % 2 = 0").withColumn("sha256", F.sha2("content", 256))
+    return importing.new_files(files.filter("doc_id % 2 = 1"), known).select("doc_id", "sha256", "language_code")
+
+
+@query
+def stats_totals(spark, sf_dir):
+    return summaries.totals(_documents(spark, sf_dir))
+
+
+@query
+def stats_by_type(spark, sf_dir):
+    return summaries.by_type(_documents(spark, sf_dir))
+
+
+@query
+def project_counts(spark, sf_dir):
+    projects = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("name"))
+    books = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("project_id"))
+    items = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("project_id"))
+    return summaries.project_counts(projects, books, items)
+
+
+@query
+def book_summary(spark, sf_dir):
+    books = spark.sql("SELECT concat('B', CAST(id AS STRING)) AS book_code FROM range(12)")
+    return summaries.book_summary(books, _documents(spark, sf_dir))
+
+
+@query
+def chapter_summary(spark, sf_dir):
+    return summaries.chapter_summary(_documents(spark, sf_dir))
+
+
+@query
+def browse_page(spark, sf_dir):
+    """The second page of the browser's default view, with a priority joined (0 where there is none)."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    page = summaries.browse(_documents(spark, sf_dir), limit=300, offset=300).join(labels, "doc_id", "left")
+    return page.select("id", "book_code", "chapter", "sequence_no", "language_code", F.coalesce("quality", F.lit(0)).alias("priority"))
+
+
+@query
+def pairs(spark, sf_dir):
+    rows = pairing.pivot(_items(spark, sf_dir), ["id", "current_text"])
+    return rows.select("key", F.col("source.id").alias("source_id"), F.col("target.id").alias("target_id"), F.sha2("source.current_text", 256).alias("source_hash"), F.sha2("target.current_text", 256).alias("target_hash"), "n")
+
+
+@query
+def pairs_page(spark, sf_dir):
+    """A page of pairs of one book and type: keys are limited before their records are fetched."""
+    rows = pairing.list_pairs(_items(spark, sf_dir), ["id"], limit=20, book_code="PSA", content_type="study_note")
+    return rows.select("key", F.col("source.id").alias("source_id"), F.col("target.id").alias("target_id"), "first_chapter", "first_seq")
+
+
+@query
+def one_sided(spark, sf_dir):
+    return pairing.one_sided(pairing.pivot(_items(spark, sf_dir), ["id"])).select("key", "side", F.coalesce("source.id", "target.id").alias("id"))
+
+
+def _rule(make, *categories):
+    def run(spark, sf_dir):
+        return make(_items(spark, sf_dir)).filter(F.col("category").isin(*categories))
+
+    return run
+
+
+#: query -> (rules evaluated together, categories).
+RULES = {
+    "unicode_checks": (quality.record_findings, ("unicode_zero_width", "unicode_replacement_character", "invalid_control_character", "unicode_normalization")),
+    "marker_spacing": (quality.record_findings, ("usfm_marker_spacing",)),
+    "marker_balance": (quality.record_findings, ("usfm_marker_balance",)),
+    "anchor_range": (quality.record_findings, ("invalid_chapter_anchor",)),
+    "number_mismatch": (quality.pair_findings, ("number_mismatch",)),
+    "empty_target": (quality.pair_findings, ("empty_target_content",)),
+    "marker_sequence": (quality.pair_findings, ("usfm_marker_sequence_mismatch",)),
+    "versification": (quality.pair_findings, ("versification_difference",)),
+    "duplicate_record": (quality.duplicate_findings, ("duplicate_canonical_record",)),
+}
+_QUERIES |= {name: _rule(make, *categories) for name, (make, categories) in RULES.items()}
+
+
+@query
+def qa_issues(spark, sf_dir):
+    return quality.findings(_items(spark, sf_dir))
+
+
+@query
+def qa_summary(spark, sf_dir):
+    return quality.summary(quality.findings(_items(spark, sf_dir)))
+
+
+@query
+def issue_list(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    rows = quality.list_issues(quality.findings(items), items, limit=200)
+    return rows.select("fingerprint", "rank", "category", "content_item_id", "book_code", "chapter", F.sha2("paired_text", 256).alias("paired_hash"))
+
+
+@query
+def vocabulary_topk(spark, sf_dir):
+    return summaries.vocabulary(_documents(spark, sf_dir), "en", 80)
+
+
+@query
+def vocabulary_locale(spark, sf_dir):
+    return summaries.vocabulary(_documents(spark, sf_dir), "fr", 80, locale=True)
+
+
+@query
+def import_classify(spark, sf_dir):
+    return importing.classify(*_import_sides(spark, sf_dir)).drop("content_type")
+
+
+@query
+def import_summary(spark, sf_dir):
+    return importing.summarize(importing.classify(*_import_sides(spark, sf_dir), within=False))
+
+
+@query
+def conflict_list(spark, sf_dir):
+    incoming, existing = _import_sides(spark, sf_dir)
+    stored = existing.withColumns({"book_code": F.lit(None).cast("string"), "chapter": F.lit(None).cast("int"), "verse": F.lit(None).cast("string")})
+    rows = importing.list_conflicts(importing.commit(incoming, existing)[1], stored)
+    return rows.select("conflict_id", "incoming_id", "anchor_id", "incoming_role", "existing_role", "recommendation", "rank", F.sha2("existing_text", 256).alias("existing_hash"))
+
+
+@query
+def resolve_next_state(spark, sf_dir):
+    """Every conflict is decided by a rule on its recommendation; the items that follow."""
+    incoming, existing = _import_sides(spark, sf_dir)
+    conflicts = importing.commit(incoming, existing)[1]
+    action = F.when(F.col("recommendation") == "manual_review", "manual_merge").otherwise(F.col("recommendation"))
+    decisions = conflicts.select("conflict_id", action.alias("action"), F.when(F.col("content_type") != "figure", F.lit("checked")).alias("reason"), F.concat(F.lit("merged "), "incoming_id").alias("merged_text"), (F.length("incoming_text") % 2 == 0).alias("confirm_protected"))
+    versions = spark.createDataFrame([], "content_item_id string, revision_no int, text string, change_type string, reason string")
+    items = importing.resolve(conflicts, existing, versions, decisions)[0]
+    return items.select("id", "review_status", F.sha2("current_text", 256).alias("text_hash"))
+
+
+@query
+def usfm_items(spark, sf_dir):
+    """The published workload, 50 chapters of 100 verses, made and parsed."""
+    return markers.parse(generated_book(spark)).select("sequence_no", "content_type", "chapter", "verse", "semantic_key", "match_key", "current_text", "content_hash", "source_locator")
+
+
+def generated_book(spark: SparkSession, books: int = 1) -> DataFrame:
+    """file, content of generated line-marker books."""
+    verse = "concat('\\\\v ', v, ' Performance verse ', c, ':', v, ' with repeated words for vocabulary and publishing checks.')"
+    chapter = f"concat('\\\\c ', c, '\\n', array_join(transform(sequence(1, 100), v -> {verse}), '\\n'))"
+    return spark.sql(f"SELECT concat('book', id) AS file, concat('\\\\id PSA Performance fixture\\n', array_join(transform(sequence(1, 50), c -> {chapter}), '\\n'), '\\n') AS content FROM range({int(books)})")
+
+
+@query
+def html_extract(spark, sf_dir):
+    """Title and headings of pages, entities decoded."""
+    html = F.col("html")
+    first = F.regexp_extract(html, "<title>([^<]*)</title>", 1)
+    heads = F.regexp_extract_all(html, F.lit("<h1>([^<]*)</h1>"), F.lit(1))
+    return _table(spark, sf_dir, "pages").select("page_id", T.unescape_xml(first).alias("title"), F.array_join(F.transform(heads, T.unescape_xml), "|").alias("headings"))
+
+
+@query
+def canonical_export(spark, sf_dir):
+    return exchange.canonical(_items(spark, sf_dir))
+
+
+@query
+def csv_export(spark, sf_dir):
+    items = _documents(spark, sf_dir).withColumns({"semantic_key": F.col("id"), "raw_text": F.lit('say "so", or\nnot')})
+    return exchange.delimited_lines(items)
+
+
+@query
+def bilingual_export(spark, sf_dir):
+    """Numbered bilingual rows of one book."""
+    return exchange.bilingual_table(_items(spark, sf_dir).filter("book_code = 'MRK'"))
+
+
+@query
+def publication_gate(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    issues = quality.findings(items).withColumn("status", F.when(F.col("severity") == "info", "accepted").otherwise("open"))
+    return summaries.publication_gate(items, importing.commit(*_import_sides(spark, sf_dir))[1], issues)
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()
