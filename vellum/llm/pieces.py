@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Chunks longer than this are segmented each time, and a table beyond this many entries is emptied.
-MAX_KEPT_CHARS, MAX_KEPT = 48, 250_000
+MAX_KEPT_CHARS, MAX_KEPT = 48, 600_000
 _CHUNK = re.compile(r" +[^ \n]*|\n+|[^ \n]+")
 
 

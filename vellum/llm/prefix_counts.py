@@ -7,11 +7,12 @@ of each of its prefixes.  Chunks are independent (see pieces.py), hence a text's
 chunk tables added up, and questions on budgets and truncation read it without encoding again.
 
 Cases: null counts as empty (0 tokens); a character outside the vocabulary costs its UTF-8 bytes.
-A chunk whose last entry differs from the library's own count is counted prefix by prefix instead.
+The library is asked only whether two pieces may stand side by side; both tables are bounded.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +23,10 @@ from pyspark.sql import DataFrame
 from vellum.llm.pieces import MARK, ChunkTable, bare_processor, chunks_of
 
 
+#: Bounds of the table of prefixes: entries, and characters of one.
+MAX_PREFIXES, MAX_PREFIX_CHARS = 300_000, 9
+
+
 class _Grammar:
     """Vocabulary pieces that encode to themselves, and which may stand side by side."""
 
@@ -32,6 +37,7 @@ class _Grammar:
         self.pieces = {t for t, ids in zip(plain, sp.encode(plain), strict=True) if len(ids) == 1}
         self.longest = max(map(len, self.pieces), default=1)
         self.adjacent: dict[tuple[str, str], bool] = {}
+        self.prefixes: dict[str, tuple[int, str]] = {}  # tokens and last token of prefixes met before
 
     def may_follow(self, u: str, t: str) -> bool:
         key = (u, t)
@@ -43,22 +49,27 @@ class _Grammar:
             known = self.adjacent[key] = len(got) == 2 and len(got[0]) == len(u)
         return known
 
-    def table(self, chunk: str) -> np.ndarray:
-        """Tokens of chunk[:i] for i = 1 .. len(chunk)."""
-        pieces, n = self.pieces, len(chunk)
+    def table(self, chunk: str) -> list[int]:
+        """Tokens of chunk[:i] for i = 1 .. len(chunk); goes on from the longest prefix met before."""
+        pieces, n, known = self.pieces, len(chunk), self.prefixes
         count, last = [0] * (n + 1), [""] * (n + 1)
-        for i in range(1, n + 1):
-            best = None
+        i = 1
+        while i <= n and (got := known.get(chunk[:i])) is not None:
+            count[i], last[i] = got
+            i += 1
+        if len(known) > MAX_PREFIXES:
+            known.clear()
+        for i in range(i, n + 1):
             for j in range(max(0, i - self.longest), i):
                 t = chunk[j:i]
                 if t in pieces and (not last[j] or self.may_follow(last[j], t)):
-                    best = j
+                    count[i], last[i] = count[j] + 1, t
                     break
-            if best is None:
-                count[i], last[i] = count[i - 1] + len(chunk[i - 1].encode()), ""
             else:
-                count[i], last[i] = count[best] + 1, chunk[best:i]
-        return np.array(count[1:], np.int32)
+                count[i] = count[i - 1] + len(chunk[i - 1].encode())
+            if i <= MAX_PREFIX_CHARS:
+                known[chunk[:i]] = count[i], last[i]
+        return count[1:]
 
 
 @lru_cache(maxsize=4)
@@ -66,18 +77,10 @@ def _grammar(path: str) -> _Grammar:
     return _Grammar(path)
 
 
-def _tables(path: str, chunks: list[str]) -> list[tuple[int, np.ndarray]]:
+def _tables(path: str, chunks: list[str]) -> list[tuple[int, array]]:
     """For each chunk its token count and the counts of all its prefixes."""
-    if not chunks:
-        return []
-    grammar = _grammar(path)
-    out = []
-    for chunk, ids in zip(chunks, grammar.sp.encode(chunks, num_threads=1), strict=True):
-        table = grammar.table(chunk)
-        if table[-1] != len(ids):
-            table = np.array([len(grammar.sp.encode(chunk[:i])) for i in range(1, len(chunk) + 1)], np.int32)
-        out.append((len(ids), table))
-    return out
+    tables = map(_grammar(path).table, chunks)
+    return [(t[-1], array("H" if t[-1] < 30_000 else "l", t)) for t in tables]
 
 
 @lru_cache(maxsize=4)
@@ -91,7 +94,7 @@ def prefix_counts(path: str, text: str | None) -> np.ndarray:
         return np.zeros(1, np.int32)
     rows = prefix_table(path).look_up(chunks_of(text))
     before = np.cumsum([0] + [n for n, _ in rows])
-    counts = np.concatenate([b + t for b, (_, t) in zip(before, rows, strict=False)]).astype(np.int32)
+    counts = np.concatenate([b + np.array(t, np.int64) for b, (_, t) in zip(before, rows, strict=False)]).astype(np.int32)
     counts[0] = 0  # the dummy prefix alone is the empty text
     return counts
 
