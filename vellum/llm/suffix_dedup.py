@@ -9,15 +9,15 @@ times the input allows; so the suffixes are first thinned without losing a match
 2. A string of `length` bytes at p takes as its anchor the smallest rank of a 64-byte string inside
    it.  The choice depends on the string's own bytes alone, so equal strings have equal anchors at
    equal places; about one suffix in seventy is an anchor.
-3. First round in Spark: anchors whose 64-byte rank is unique are dropped, with all strings that
-   chose them.  This is `unique` in prefix doubling.
-4. Second round: anchors are ranked again with everything their strings can reach on either side.
-   Anchors that tie are past the threshold: all their strings repeat.
-5. Last round, for the anchors that tie in round one but differ in round two (the ends of repeats):
-   the strings that chose them are ranked one by one by the pair of 128-byte ranks that cover them.
+3. Spark sorts the anchors by the pair of their rank and the rank of all bytes that their strings
+   can reach.  Anchors with a unique rank are dropped with all their strings.  Anchors that tie on
+   the pair are past the threshold: all their strings repeat.
+4. Anchors that tie in rank only are at the ends of repeats.  One of each set of tied ones goes on
+   to the same step with a longer offset (`length` - 20), sampled anew among their strings only.
+5. What is still open then is ranked string by string at the full length.
 
-Every grouping counts fingerprints with partial aggregation, so that a passage in a third of all
-texts is summed before it is shuffled; no group is gathered in one task.
+Each step is one shuffle of narrow rows.  The rows of one rank are a sorted run that is read in
+order and spilled where large.
 
 Cases: null counts as empty; a text shorter than `length` loses nothing; a text within which a
 string repeats loses all its places; equal rows repeat each other; texts that differ only in doc_id
@@ -32,9 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.llm.common import durable
+
 GRAM = 64
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
@@ -49,7 +51,7 @@ def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def ranks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the 64-byte and of the 128-byte strings at all positions."""
+    """Ranks of the 64-byte and of the 128-byte strings at all positions of at least 128 bytes."""
     r, h = _BYTE[data], 1
     while h < GRAM:
         r = _pair(r[:-h], r[h:])
@@ -57,9 +59,9 @@ def ranks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r, _pair(r[:-GRAM], r[GRAM:])
 
 
-def anchors(r: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(r: np.ndarray, n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors, and the first and last position whose string chose them."""
-    w = length - GRAM + 1
+    w = length - gram + 1
     k = (r & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(r), dtype=np.uint64)  # ties: the leftmost
     full = np.append(k, np.full(-len(k) % w, np.iinfo(np.uint64).max, np.uint64)).reshape(-1, w)
     before = np.minimum.accumulate(full, axis=1).ravel()
@@ -70,9 +72,9 @@ def anchors(r: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray,
     return chosen[lo], lo, np.append(lo[1:] - 1, m - 1)
 
 
-def around(r128: np.ndarray, at: np.ndarray, n: int, length: int) -> np.ndarray:
+def around(r128: np.ndarray, at: np.ndarray, n: int, length: int, gram: int) -> np.ndarray:
     """The rank of all bytes that the strings of each anchor can reach, cut at the ends of the text."""
-    s, e = np.maximum(at - (length - GRAM), 0), np.minimum(at + length, n)
+    s, e = np.maximum(at - (length - gram), 0), np.minimum(at + length, n)
     z = _pair(_pair(r128[s], r128[(s + e - 2 * GRAM) // 2]), r128[e - 2 * GRAM])
     return _pair(z, ((at - s) * 4096 + (e - s)).astype(np.uint64))
 
@@ -81,82 +83,127 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
 
-def _sampled(docs: DataFrame, length: int) -> DataFrame:
-    """rank, wide, row, place (anchor, bytes back to the first string, number of strings) of every anchor."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = [[], [], [], []]
-            for row, text in zip(pdf["row"], pdf["text"], strict=True):
-                data = _bytes(text)
-                if len(data) < length:
-                    continue
-                r, r128 = ranks(data)
-                at, lo, hi = anchors(r, len(data), length)
-                for part, x in zip(parts, (r[at].view(np.int64), around(r128, at, len(data), length).view(np.int64), np.full(len(at), row), (at << 16) | ((at - lo) << 8) | (hi - lo)), strict=True):
-                    part.append(x)
-            yield pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, np.int64) for c, x in zip(("rank", "wide", "row", "place"), parts, strict=True)})
-
-    return docs.select("row", "text").mapInPandas(run, "rank long, wide long, row long, place long")
-
-
-def find_repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
-    """docs with a row key, and for each key the strings to remove as runs (first and last start)."""
-    if not 2 * GRAM <= length <= 4 * GRAM:
-        raise ValueError("length must be from 128 to 256 bytes")
-    keyed = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("row"))
-    sampled = _sampled(keyed, length)
-    repeated = sampled.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank")
-    live = sampled.join(repeated, "rank")
-    classes = live.groupBy("rank", "wide").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"))
-    # all strings of anchors that still tie
-    past = live.join(classes.filter("n > 1").select("rank", "wide"), ["rank", "wide"]).select("row", "place")
-    # ranks of round one with several classes: one member of each class speaks for it
-    several = classes.groupBy("rank").agg(F.count("*").alias("classes")).filter("classes > 1").select("rank")
-    ends = classes.join(several, "rank").select(F.col("one.row").alias("row"), F.struct(F.col("one.place").alias("place"), F.col("n").alias("n")).alias("end"))
-    ends = ends.groupBy("row").agg(F.collect_list("end").alias("ends"))
+def _place(at, lo, hi):
+    """An anchor, the bytes back to the first string that chose it, and how many more chose it."""
+    return (at << 16) | ((at - lo) << 8) | (hi - lo)
+
+
+def _span(place):
+    """First and last start of the strings of a place."""
+    lo = (place >> 16) - ((place >> 8) & 255)
+    return lo, lo + (place & 255)
+
+
+def _frame(names: tuple[str, ...], rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate(x) if rows else np.zeros(0, np.int64) for c, x in zip(names, zip(*rows, strict=True) if rows else [()] * len(names), strict=True)})
+
+
+def _anchors_of(data: np.ndarray, row: int, length: int, gram: int, mask: np.ndarray | None) -> tuple | None:
+    n = len(data)
+    if n < length:
+        return None
+    r, r128 = ranks(data)
+    if gram > GRAM:
+        r = _pair(r128[: n - gram + 1], r128[gram - 2 * GRAM :][: n - gram + 1])
+    at, lo, hi = anchors(r, n, length, gram)
+    if mask is not None:
+        seen = np.append(0, np.cumsum(mask))
+        some = seen[hi + 1] > seen[lo]
+        at, lo, hi = at[some], lo[some], hi[some]
+    return r[at].view(np.int64), around(r128, at, n, length, gram).view(np.int64), np.full(len(at), row), _place(at, lo, hi)
+
+
+def _open(marks, n: int, length: int) -> np.ndarray | None:
+    """Which strings of a text belong to marks that are still open."""
+    codes = np.asarray(marks if marks is not None else [], np.int64)
+    codes = codes[codes & 1 == 1]
+    if not len(codes):
+        return None
+    lo, hi = _span(codes >> 2)
+    change = np.zeros(max(n - length + 1, 0) + 1, np.int64)
+    np.add.at(change, lo, 1)
+    np.add.at(change, hi + 1, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _settled(sampled: DataFrame) -> DataFrame:
+    """row and its marks: place * 4, plus 2 if all strings of the place repeat, plus 1 if it stays open."""
+    ordered = Window.partitionBy("rank").orderBy("wide", "row", "place")
+    group = Window.partitionBy("rank")
+    rows = sampled.select(
+        "row",
+        "place",
+        F.coalesce(F.lag("wide").over(ordered) == F.col("wide"), F.lit(False)).alias("as_before"),
+        F.coalesce(F.lead("wide").over(ordered) == F.col("wide"), F.lit(False)).alias("as_next"),
+        (F.min("wide").over(group) != F.max("wide").over(group)).alias("several"),
+    )
+    rows = rows.filter("as_before OR as_next OR several")
+    code = F.col("place") * 4 + F.when(F.col("as_before") | F.col("as_next"), 2).otherwise(0) + F.when(F.col("several") & ~F.col("as_before"), 1).otherwise(0)
+    return rows.groupBy("row").agg(F.collect_list(code).alias("marks"))
+
+
+def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """row, doc_id, text of docs, with marks_1, marks_2 (see _settled) and the starts of single repeated strings."""
+    if not 2 * GRAM + 20 <= length <= 4 * GRAM:
+        raise ValueError("length must be from 148 to 256 bytes")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def sample(gram: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = []
+                for i, (row, data) in enumerate(zip(pdf["row"], map(_bytes, pdf["text"]), strict=True)):
+                    mask = _open(pdf["marks"].iloc[i], len(data), length) if gram > GRAM else None
+                    if gram == GRAM or mask is not None:
+                        rows.append(_anchors_of(data, row, length, gram, mask))
+                yield _frame(("rank", "wide", "row", "place"), [r for r in rows if r is not None])
+
+        return run
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = [[], [], [], []]
-            for row, text, found in zip(pdf["row"], pdf["text"], pdf["ends"], strict=True):
-                r128 = ranks(_bytes(text))[1]
-                place = np.array([e["place"] for e in found], np.int64)
-                lo, more = (place >> 16) - ((place >> 8) & 255), (place & 255) + 1
-                p = np.repeat(lo - np.cumsum(more) + more, more) + np.arange(more.sum())
-                for part, x in zip(parts, (_pair(r128[p], r128[p + length - 2 * GRAM]).view(np.int64), np.full(len(p), row), p, np.repeat([e["n"] for e in found], more)), strict=True):
-                    part.append(x)
-            yield pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, np.int64) for c, x in zip(("string", "row", "at", "n"), parts, strict=True)})
-
-    ranked = keyed.join(ends, "row").select("row", "doc_id", "text", "ends").mapInPandas(strings, "string long, row long, at long, n long")
-    # a string repeats if two classes hold it; members of larger classes are past the threshold anyway
-    shared = ranked.groupBy("string").agg(F.count("*").alias("m")).filter("m > 1").select("string")
-    single = ranked.filter("n = 1").join(shared, "string").select("row", F.col("at").alias("first"), F.col("at").alias("last"))
-    first = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(255)
-    runs = past.select("row", first.alias("first"), (first + F.col("place").bitwiseAND(255)).alias("last")).unionByName(single)
-    return keyed, runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-
-
-def covered(n: int, runs, length: int) -> np.ndarray:
-    """Which of n bytes the strings that start in the runs cover."""
+            rows = []
+            for row, data, marks in zip(pdf["row"], map(_bytes, pdf["text"]), pdf["marks"], strict=True):
+                mask = _open(marks, len(data), length)
+                if mask is not None:
+                    p, r128 = np.flatnonzero(mask), ranks(data)[1]
+                    rows.append((_pair(r128[p], r128[p + length - 2 * GRAM]).view(np.int64), np.full(len(p), row), p))
+            yield _frame(("string", "row", "at"), rows)
+
+    wide = "rank long, wide long, row long, place long"
+    marks_1 = durable(_settled(keyed.select("row", "text").mapInPandas(sample(GRAM), wide)))
+    # the joins share one exchange of keyed; hence no filters or narrower columns here
+    marks_2 = _settled(keyed.join(marks_1, "row", "left").mapInPandas(sample(length - 20), wide))
+    ranked = keyed.join(marks_2, "row", "left").mapInPandas(strings, "string long, row long, at long")
+    shared = ranked.withColumn("m", F.count("*").over(Window.partitionBy("string"))).filter("m > 1")
+    single = shared.groupBy("row").agg(F.collect_list("at").alias("starts"))
+    out = keyed.join(marks_1.withColumnRenamed("marks", "marks_1"), "row", "left")
+    return out.join(marks_2.withColumnRenamed("marks", "marks_2"), "row", "left").join(single, "row", "left")
+
+
+def covered(n: int, marks_1, marks_2, starts, length: int) -> np.ndarray:
+    """Which of n bytes the repeated strings cover."""
     change = np.zeros(n + 1, np.int64)
-    if runs is not None and len(runs):
-        np.add.at(change, [r["first"] for r in runs], 1)
-        np.add.at(change, [r["last"] + length for r in runs], -1)
+    for marks in (marks_1, marks_2):
+        if marks is not None:
+            codes = np.asarray(marks, np.int64)
+            lo, hi = _span(codes[codes & 2 == 2] >> 2)
+            np.add.at(change, lo, 1)
+            np.add.at(change, hi + length, -1)
+    if starts is not None:
+        np.add.at(change, np.asarray(starts, np.int64), 1)
+        np.add.at(change, np.asarray(starts, np.int64) + length, -1)
     return np.cumsum(change[:n]) > 0
 
 
 def _cut(docs: DataFrame, length: int, make, schema: str) -> DataFrame:
-    keyed, runs = find_repeats(docs, length)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [make(d, covered(len(d), r, length)) for d, r in zip(map(_bytes, pdf["text"]), pdf["runs"], strict=True)]
+            rows = [make(d := _bytes(t), covered(len(d), m1, m2, at, length)) for t, m1, m2, at in zip(pdf["text"], pdf["marks_1"], pdf["marks_2"], pdf["starts"], strict=True)]
             yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
     names = [c.split()[0] for c in schema.split(", ")]
-    joined = keyed.join(runs, "row", "left").select("row", "doc_id", "text", "runs")
-    return joined.mapInPandas(run, f"doc_id long, {schema}")
+    return find_repeats(docs, length).mapInPandas(run, f"doc_id long, {schema}")
 
 
 def repeat_digests(docs: DataFrame, length: int = 200) -> DataFrame:
