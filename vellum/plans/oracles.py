@@ -182,11 +182,11 @@ def all_sql() -> dict[str, str]:
             SELECT s.id, CASE WHEN l.anchor_id IS NULL THEN s.review_status ELSE 'needs_review' END AS review_status, sha256(coalesce(l.new_text, s.current_text)) AS text_hash FROM stored s LEFT JOIN last l ON l.anchor_id = s.id""",
         "usfm_items": """WITH c AS (SELECT CAST(i AS INTEGER) AS chapter FROM range(1, 51) t(i)), v AS (SELECT chapter, CAST(j AS INTEGER) AS verse FROM c, range(1, 101) t(j)),
             rows AS (
-              SELECT 0 AS sequence_no, 'book_id' AS content_type, CAST(NULL AS INTEGER) AS chapter, 'PSA|book_id' AS semantic_key, 'Performance fixture' AS current_text
-              UNION ALL SELECT 1 + (chapter - 1) * 101, 'chapter', chapter, concat('PSA|', chapter, '|chapter'), CAST(chapter AS VARCHAR) FROM c
-              UNION ALL SELECT 1 + (chapter - 1) * 101 + verse, 'scripture', chapter, concat('PSA|', chapter, '|', verse, '|scripture'),
+              SELECT 0 AS sequence_no, 'book_id' AS content_type, CAST(NULL AS INTEGER) AS chapter, CAST(NULL AS VARCHAR) AS verse, 'PSA|book_id' AS semantic_key, 'Performance fixture' AS current_text
+              UNION ALL SELECT 1 + (chapter - 1) * 101, 'chapter', chapter, NULL, concat('PSA|', chapter, '|chapter'), CAST(chapter AS VARCHAR) FROM c
+              UNION ALL SELECT 1 + (chapter - 1) * 101 + verse, 'scripture', chapter, CAST(verse AS VARCHAR), concat('PSA|', chapter, '|', verse, '|scripture'),
                 concat('Performance verse ', chapter, ':', verse, ' with repeated words for vocabulary and publishing checks.') FROM v)
-            SELECT CAST(sequence_no AS INTEGER) AS sequence_no, content_type, chapter, semantic_key, semantic_key AS match_key, current_text, sha256(current_text) AS content_hash, concat('line:', sequence_no + 1) AS source_locator FROM rows""",
+            SELECT CAST(sequence_no AS INTEGER) AS sequence_no, content_type, chapter, verse, semantic_key, semantic_key AS match_key, current_text, sha256(current_text) AS content_hash, concat('line:', sequence_no + 1) AS source_locator FROM rows""",
         "html_extract": f"""WITH h AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, array_to_string(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), '|') AS hs FROM pages)
             SELECT page_id, {_unescape('t')} AS title, {_unescape('hs')} AS headings FROM h""",
         "canonical_export": f"WITH items AS ({ITEMS}) SELECT " + ", ".join(f"coalesce({_CANON[h]}, '') AS \"{h}\"" if h in _CANON else f"'' AS \"{h}\"" for h in dims.HEADERS) + " FROM items",

@@ -139,7 +139,7 @@ def _parsed(files: DataFrame, read) -> DataFrame:
                     rows += [x | {"file": file} for x in read(bytes(content))]
                 except (ValueError, KeyError) as error:  # one bad file must not end the job: it is reported as a row
                     rows.append({"file": file, "content_type": "unreadable", "warning": str(error)[:500]})
-            out = pd.DataFrame(rows, columns=_COLUMNS)
+            out = pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
             yield out.astype({"chapter": "Int32", "sequence_no": "Int32"})
 
     return finish(files.select("file", "content").mapInPandas(run, SCHEMA))
