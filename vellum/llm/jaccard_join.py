@@ -8,7 +8,7 @@ which is compared by brute force and exactly; runs with new hashes repeat until
 threshold reaches the target.
 
 Equal sets are one class, and a class walks the tree once.  Buckets with the same members are
-compared once.  A bucket of more than `block` sets is cut into blocks and every pair of blocks is a
+compared once, and a bucket whose members earlier buckets have joined is not compared again.  A bucket of more than `block` sets is cut into blocks and every pair of blocks is a
 task of its own, so no task holds more than two blocks.  A task reports a spanning forest of its
 links; distributed union-find joins these.  Links are then counted inside each component, again in
 pairs of blocks: all links lie inside components, so none is lost, and pairs are never written out.
@@ -165,7 +165,7 @@ def _sets(pdf: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, depth: int = 3, block: int = 256) -> tuple[DataFrame, DataFrame]:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, depth: int = 3, block: int = 512, waves: int = 4) -> tuple[DataFrame, DataFrame]:
     """Keyed rows (row, doc_id, cls, n) and classes (cls, root, root_doc, root_row, links, copies)."""
     runs = runs_needed(depth, recall)
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -182,20 +182,22 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, recall: float =
                 seen.add(c)
             yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "cls": cls, "n": [len(s) for s in sets], "paths": keys})
 
-    rows = durable(keyed.mapInPandas(walk, "row long, doc_id long, cls long, n int, paths array<long>"))
-    classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("row").alias("speaker"), F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("copies"), F.first("paths", ignorenulls=True).alias("paths")
+    walked = durable(keyed.mapInPandas(walk, "row long, doc_id long, cls long, n int, paths array<long>"))
+    rows = walked.select("row", "doc_id", "cls", "n")
+    classes = durable(
+        rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("row").alias("speaker"), F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("copies"))
     )
-    walked = classes.select("cls", "speaker", F.explode("paths").alias("path"))
+    # a class's paths are the same in all its copies: repeats fall together before the shuffle
+    steps = walked.select("cls", F.explode("paths").alias("path")).distinct()
     buckets = (
-        walked.groupBy("path")
+        steps.groupBy("path")
         .agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
         .filter("size > 1")
         .groupBy("size", "x", "y")
         .agg(F.min("path").alias("path"))
         .select("path", "size")
     )
-    members = durable(walked.join(buckets, "path").select("path", "size", "cls", "speaker"))
+    members = durable(steps.join(buckets, "path").join(classes.select("cls", "speaker"), "cls").select("path", "size", "cls", "speaker"))
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Shingles()
@@ -212,8 +214,17 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, recall: float =
             apart = root != np.arange(len(root))
             yield pd.DataFrame({"a": cls[apart], "b": cls[root[apart]]})
 
-    edges = _blocks(members.select("path", "size", "cls"), "path", "size", block).join(sets, "cls")
-    roots = connected_components(_dealt(edges, "path").mapInPandas(compare, "a long, b long")).withColumnRenamed("node", "cls")
+    def compared(some: DataFrame) -> DataFrame:
+        rows = _blocks(some.select("path", "size", "cls"), "path", "size", block).join(sets, "cls")
+        return durable(_dealt(rows, "path").mapInPandas(compare, "a long, b long"))
+
+    # a part of the buckets first; what lies in one component then needs no comparison, as links are counted later
+    early = F.pmod("path", F.lit(waves)) == 0
+    edges = compared(members.filter(early))
+    rooted = members.filter(~early).join(connected_components(edges), F.col("cls") == F.col("node"), "left").select("path", "size", "cls", F.coalesce("root", "cls").alias("root"))
+    mixed = rooted.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("path")
+    edges = edges.union(compared(rooted.join(mixed, "path")))
+    roots = connected_components(edges).withColumnRenamed("node", "cls")
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     grouped = _blocks(roots.join(sizes, "root").join(classes.select("cls", "copies"), "cls"), "root", "size", block).join(sets, "cls")
 
