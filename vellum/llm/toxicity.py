@@ -77,28 +77,36 @@ class Model:
 Docs = list[tuple[np.ndarray, np.ndarray]]
 
 
-def select_features(pos: Docs, unl: Docs, keep: int, least: int = 3, ratio: float = 3.0) -> np.ndarray:
-    """The features that stand out among the positives, by how surely their rate is higher there."""
-    p, u = (np.bincount(np.concatenate([i for i, _ in x]) if x else np.zeros(0, np.int64), minlength=DIM) for x in (pos, unl))
-    rate_p, rate_u = p / max(len(pos), 1), (u + 1) / (len(unl) + 1)
-    gain = np.where((p >= least) & (rate_p > ratio * rate_u), p * np.log(np.maximum(rate_p, 1e-12) / rate_u), 0)
-    order = np.argsort(-gain, kind="stable")[:keep]
-    return order[gain[order] > 0]
+def select_features(sets: DataFrame, n_pos: int, n_unl: int, keep: int = 512, least: int = 3, ratio: float = 3.0) -> np.ndarray:
+    """The features that stand out among the positives, by how surely their rate is higher there.
 
+    sets has _p (positive or unlabelled) and _text.  Each task sends one count for each feature it
+    met; the comparison runs in Spark, and only the chosen ids reach the driver.
+    """
 
-def fit_nnpu(pos: Docs, unl: Docs, prior: float, keep: int = 512, steps: int = 500, rate: float = 0.05, l2: float = 1e-4) -> Model:
-    """Full-batch Adam on the non-negative risk over the kept features."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, seen = Features(), np.zeros((2, DIM), np.int32)
+        for pdf in batches:
+            for positive, text in zip(pdf["_p"], pdf["_text"], strict=True):
+                seen[0 if positive else 1, of(text)[0]] += 1
+        at = np.flatnonzero(seen.any(axis=0))
+        yield pd.DataFrame({"f": at.astype(np.int32), "p": seen[0, at].astype(np.int64), "u": seen[1, at].astype(np.int64)})
+
+    sums = sets.select("_p", "_text").mapInPandas(count, "f int, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(F.col("p") >= least)
+    odds = (F.col("p") / n_pos) / ((F.col("u") + 1) / (n_unl + 1))
+    best = sums.withColumn("odds", odds).filter(F.col("odds") > ratio).orderBy(F.desc(F.col("p") * F.log("odds")), "f").limit(keep)
+    return np.sort(np.array([r.f for r in best.select("f").collect()], np.int64))
+
+
+def fit_nnpu(pos: Docs, unl: Docs, chosen: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, l2: float = 1e-4) -> Model:
+    """Full-batch Adam on the non-negative risk; pos and unl have ids among the chosen only."""
     if not pos or not prior:
         return Model({}, 0.0, 0.0)
-    chosen = select_features(pos, unl, keep)
     d = len(chosen)
-    column = np.full(DIM, -1, np.int64)
-    column[chosen] = np.arange(d)
 
     def sparse(docs: Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         row = np.repeat(np.arange(len(docs)), [len(i) for i, _ in docs])
-        col, x = column[np.concatenate([i for i, _ in docs])], np.concatenate([x for _, x in docs])
-        row, col, x = row[col >= 0], col[col >= 0], x[col >= 0]
+        col, x = np.searchsorted(chosen, np.concatenate([i for i, _ in docs])), np.concatenate([x for _, x in docs])
         return np.append(row, row), np.append(col, col + d), np.append(np.ones(len(x)), x), len(docs)
 
     rp, cp, xp, n_p = sparse(pos)
@@ -136,18 +144,24 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unla
         return Model({}, 0.0, 0.0)
     draw = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(_SPREAD)) < min(1.0, max_positive / toxic) * _SPREAD
     other = F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(_SPREAD)) < min(1.0, max_unlabelled / n) * _SPREAD
-    pos = learn.join(known.filter((F.col("_toxic") == 1) & draw), "_id", "left_semi").withColumn("_p", F.lit(True))
+    drawn = F.broadcast(known.filter((F.col("_toxic") == 1) & draw).select("_id"))  # about max_positive ids
+    pos = learn.join(drawn, "_id", "left_semi").withColumn("_p", F.lit(True))
     sets = pos.unionByName(learn.filter(other).withColumn("_p", F.lit(False)))
+    chosen = select_features(sets, min(toxic, max_positive), min(n, max_unlabelled))
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Features()
         for pdf in batches:
-            ids, x = zip(*[of(t) for t in pdf["_text"]], strict=True) if len(pdf) else ((), ())
-            yield pd.DataFrame({"p": pdf["_p"], "id": pdf["_id"], "f": [i.astype(np.int32) for i in ids], "x": [v.astype(np.float32) for v in x]})
+            rows = []
+            for t in pdf["_text"]:
+                ids, x = of(t)
+                few = np.isin(ids, chosen)
+                rows.append((ids[few].astype(np.int32), x[few].astype(np.float32)))
+            yield pd.DataFrame({"p": pdf["_p"], "id": pdf["_id"], "f": [i for i, _ in rows], "x": [x for _, x in rows]})
 
     got = sets.mapInPandas(featurize, "p boolean, id long, f array<int>, x array<float>").toPandas().sort_values("id", kind="stable")
     pos, unl = ([(np.asarray(f, np.int64), np.asarray(x, float)) for f, x in zip(g["f"], g["x"], strict=True)] for g in (got[got["p"]], got[~got["p"]]))
-    return fit_nnpu(pos, unl, min(toxic / labelled, 0.99))
+    return fit_nnpu(pos, unl, chosen, min(toxic / labelled, 0.99))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
