@@ -142,3 +142,15 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     imports.append_to(imports.activity(stream()), str(tmp_path / "agg"), str(tmp_path / "c2")).awaitTermination(60)
     assert [r.n for r in spark.read.parquet(str(tmp_path / "agg")).collect()] == [2]
+
+
+def test_bilingual_rows_are_numbered_by_ranges(spark):
+    from vellum.sinks import exchange
+
+    rows = spark.range(3000).selectExpr("CAST(id * 7919 % 1000 AS INT) AS seq", "CAST(id AS STRING) AS key")
+    got = exchange.numbered(rows, "seq", "key")
+    want = sorted((r.seq, r.key) for r in rows.collect())
+    assert [(r.seq, r.key, r.no) for r in sorted(got.collect(), key=lambda r: r.no)] == [(s, k, n + 1) for n, (s, k) in enumerate(want)]
+    assert exchange.numbered(rows.limit(0), "seq", "key").count() == 0
+    plan = exchange.numbered(rows, "seq", "key")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("[_part" in x for x in plan.split("\n") if "row_number()" in x)

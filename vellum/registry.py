@@ -230,6 +230,12 @@ def bilingual_export(spark, sf_dir):
     return exchange.bilingual_table(_items(spark, sf_dir).filter("book_code = 'MRK'"))
 
 
+@query
+def bilingual_export_all(spark, sf_dir):
+    """Numbered bilingual rows of all books."""
+    return exchange.bilingual_table(_items(spark, sf_dir))
+
+
 @query
 def publication_gate(spark, sf_dir):
     items = _items(spark, sf_dir)

@@ -63,8 +63,34 @@ def write_markers(items: DataFrame, path: str) -> None:
     marker_lines(items).orderBy("sequence_no").select("line").coalesce(1).write.text(path)
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `no`, the place of each from 1 in the order of columns that together are unique.
+
+    Rows are dealt to ranges; a range's numbers begin after the sizes of the ranges before it.  The
+    bounds come from a small sample and decide only how even the ranges are.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.struct(*order)
+    sample = sorted_sample(rows.select(*order), 20 * parts)
+    bounds = [sample[len(sample) * k // parts] for k in range(1, parts)] if sample else []
+    types = {f.name: f.dataType for f in rows.select(*order).schema}
+    literal = lambda r: F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order])
+    dealt = rows.withColumn("_part", F.size(F.filter(F.array(*map(literal, bounds)), lambda b: b <= at)) if bounds else F.lit(0))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row for each range, not more than parts
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return inside.join(F.broadcast(before), "_part").withColumn("no", (F.col("_in") + F.col("_before")).cast("int")).drop("_part", "_in", "_before")
+
+
+def sorted_sample(rows: DataFrame, n: int) -> list:
+    """At most n rows, chosen by their hashes, in order."""
+    drawn = rows.orderBy(F.xxhash64(*rows.columns)).limit(n)
+    return drawn.orderBy(*rows.columns).collect()
+
+
 def bilingual_table(items: DataFrame) -> DataFrame:
-    """no, key, tags, chapter, verse, sub_tags, content_type, protection, english, translation of one book or resource."""
+    """no, key, tags, chapter, verse, sub_tags, content_type, protection, english, translation of all items given."""
     rows = canonical(items).withColumn("seq", F.col("sequenceNo").cast("int"))
     key = T.filled(F.col("semanticKey"), F.col("matchKey"), F.concat_ws("|", "bookCode", "chapter", "verse", "contentType", "sequenceNo"))
     one = F.struct("marker", "chapter", "verse", "category", "contentType", "protectionLevel", "currentText")
@@ -75,8 +101,7 @@ def bilingual_table(items: DataFrame) -> DataFrame:
     groups = rows.groupBy(key.alias("key")).agg(F.min("seq").alias("seq"), pick("source"), pick("target"), other)
     r = F.coalesce("source", "target", "other")
     tag = F.when(r["marker"] == "", "").when(r["marker"].startswith("\\"), r["marker"]).otherwise(F.concat(F.lit("\\"), r["marker"]))
-    groups = groups.withColumn("no", F.row_number().over(Window.orderBy("seq", "key")))
-    return groups.select("no", "key", tag.alias("tags"), r["chapter"].alias("chapter"), r["verse"].alias("verse"), r["category"].alias("sub_tags"), r["contentType"].alias("content_type"), r["protectionLevel"].alias("protection"),
+    return numbered(groups, "seq", "key").select("no", "key", tag.alias("tags"), r["chapter"].alias("chapter"), r["verse"].alias("verse"), r["category"].alias("sub_tags"), r["contentType"].alias("content_type"), r["protectionLevel"].alias("protection"),
         F.coalesce("source.currentText", F.lit("")).alias("english"), F.coalesce("target.currentText", "other.currentText", F.lit("")).alias("translation"))
 
 
