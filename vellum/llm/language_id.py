@@ -5,10 +5,13 @@ with follow-the-regularised-leader (per-coordinate rates, L1 and L2 penalties),
 of them at exactly zero; a temperature fitted on rows set aside calibrates the probabilities.
 
 Document frequencies are counted over all documents of the training fold.  The regression is fitted
-on a bounded sample of labelled rows (max_rows, drawn evenly by a hash of doc_id); prediction reads
-every whole text.  lang, source and doc_id never enter a prediction.
+on a bounded sample of labelled rows: the same number of rows of every language (max_rows over the
+number of languages, `least` or more), drawn by a hash of doc_id, and all rows of a rarer one, so that
+every language with a text is learned.  Prediction reads every whole text.  lang, source and doc_id
+never enter a prediction.
 
-Cases: a text that is null or has no letter gives `und` with score 0; so does every text when there
+Cases: a text that is null or has no letter (a character of Unicode's class L; numerals and symbols
+are none) gives `und` with score 0; so does every text when there
 is nothing to learn from; with one language in the sample all texts with letters get it; a repeated
 doc_id is predicted row by row; further columns are ignored.
 """
@@ -29,7 +32,7 @@ from vellum.llm.common import held_out
 BITS = 15
 DIM = 1 << BITS
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")  # letters, and numerals such as one half that are none
 _SPREAD = 1_000_000
 
 
@@ -51,7 +54,7 @@ def weighted(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(m[0].isalpha() for m in _WORD.finditer(text))
 
 
 @dataclass
@@ -133,7 +136,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(df[DIM]), df[:DIM]
 
 
-def train(docs: DataFrame, max_rows: int = 3000, seed: int = 23) -> Model:
+def train(docs: DataFrame, max_rows: int = 3000, least: int = 50, seed: int = 23) -> Model:
     """Fit on rows of the training fold that have a language."""
     learn = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
     learn = learn.filter(~held_out(F.col("_id")) & F.col("_lang").isNotNull())
@@ -141,7 +144,12 @@ def train(docs: DataFrame, max_rows: int = 3000, seed: int = 23) -> Model:
     idf = np.log((1 + n) / (1 + df)) + 1
     if not n:
         return Model([], idf, np.zeros((DIM, 0)), np.zeros(0), 1.0)
-    draw = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(_SPREAD)) < min(1.0, max_rows / n) * _SPREAD
+    # one row a language; a text without a letter is not counted, as it cannot be learned from
+    counts = learn.filter(F.col("_text").rlike(r"\p{L}")).groupBy("_lang").count().collect()
+    share = max(least, max_rows // max(len(counts), 1))
+    rates = docs.sparkSession.createDataFrame([(r["_lang"], share * _SPREAD // r["count"]) for r in counts], "_lang string, _rate long")
+    draw = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(_SPREAD)) < F.col("_rate")
+    drawn = learn.join(F.broadcast(rates), "_lang").filter(draw)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -149,7 +157,7 @@ def train(docs: DataFrame, max_rows: int = 3000, seed: int = 23) -> Model:
             ids, counts = zip(*[gram_counts(t) for t in pdf["_text"]], strict=True) if len(pdf) else ((), ())
             yield pd.DataFrame({"id": pdf["_id"].to_numpy(), "lang": pdf["_lang"].to_numpy(), "f": [i.astype(np.int32) for i in ids], "n": [c.astype(np.int32) for c in counts]})
 
-    got = learn.filter(draw).mapInPandas(grams, "id long, lang string, f array<int>, n array<int>").toPandas().sort_values("id", kind="stable")
+    got = drawn.select("_id", "_text", "_lang").mapInPandas(grams, "id long, lang string, f array<int>, n array<int>").toPandas().sort_values("id", kind="stable")
     langs = sorted(got["lang"].unique())
     rows = []
     for f, c in zip(got["f"], got["n"], strict=True):
