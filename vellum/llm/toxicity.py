@@ -5,10 +5,16 @@ class prior pi its risk is  pi * R(P, +) + max(0, R(U, -) - pi * R(P, -)):  the
 estimated from U with the share of positives taken out, and held at zero or above; where it falls
 below, the step goes against it instead.  Loss: logistic, so that the margin is a log-odds.
 
-Features are words and word beginnings, present or not.  The prior is the share of toxic rows
-among the labelled rows of the training fold.  Fitting reads a bounded sample of labelled and of
-unlabelled rows (max_positive, max_unlabelled; drawn evenly by a hash of doc_id over all rows);
-scoring reads every whole text.  labels, lang, source and doc_id never enter a score.
+Features are words and word beginnings: present or not, and how dense.  The `keep` features that
+stand out most among the positives are the model; `least` positives must have them, and their rate
+must be `ratio` times that of U: three documented parameters of the model's size.  The prior is the
+share of toxic rows among the labelled rows of the training fold.
+
+P is a bounded sample of labelled rows (max_positive, drawn by a hash of doc_id).  U is the whole
+training fold: feature counts and the prior cover it, and so do the last steps of the fit, each of
+which adds up risk and gradient over all its rows in Spark.  They start from a fit whose U is a
+sample (max_unlabelled).  Scoring reads every whole text.  labels, lang, source and doc_id never
+enter a score.
 
 Cases: null and empty texts have no feature and get the bias alone; with no toxic example to learn
 from all scores are 0; a label of null is no label; a repeated doc_id is scored row by row and takes
@@ -19,7 +25,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import held_out
+from vellum.llm.common import held_out, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 DIM = 1 << 20
@@ -38,140 +45,223 @@ _SPREAD = 1_000_000
 class Features:
     """Hashed ids of the words of a text and of their first five letters; a bounded word table."""
 
-    def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
+    def __init__(self, chosen: np.ndarray | None = None):
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.place = None if chosen is None else {int(i): k for k, i in enumerate(chosen)}
 
-    def _of(self, word: str) -> tuple[int, int]:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            got = self.known[word] = (zlib.crc32(word.encode()) % DIM, zlib.crc32(b"^" + word[:5].encode()) % DIM)
+    def _of(self, word: str) -> tuple[int, ...]:
+        """The word's features; where some are chosen, their places among these."""
+        if len(self.known) > 300_000:
+            self.known.clear()
+        both = (zlib.crc32(word.encode()) % DIM, zlib.crc32(b"^" + word[:5].encode()) % DIM)
+        got = self.known[word] = both if self.place is None else tuple(self.place[i] for i in both if i in self.place)
         return got
 
+    def counts(self, text: str | None) -> tuple[dict[int, int], int]:
+        """How often each feature occurs, and the number of words."""
+        words = Counter(_WORD.findall(text.lower())) if text else {}
+        get, out = self.known.get, {}
+        for w, n in words.items():
+            of = get(w)
+            for i in self._of(w) if of is None else of:
+                out[i] = out.get(i, 0) + n
+        return out, sum(words.values())
+
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids that occur, ascending, and how dense each is: log(1 + occurrences in 100 words)."""
-        words = _WORD.findall(text.lower()) if text else []
-        ids, n = np.unique(np.array([i for w in words for i in self._of(w)], np.int64), return_counts=True)
-        return ids, np.log1p(100 * n / max(len(words), 1))
+        """Features that occur, ascending, and how dense each is: log(1 + occurrences in 100 words)."""
+        counts, words = self.counts(text)
+        ids = np.array(sorted(counts), np.int64)
+        return ids, np.log1p(100 * np.array([counts[i] for i in ids.tolist()], float) / max(words, 1))
+
+
+Docs = list[tuple[np.ndarray, np.ndarray]]
+Risk = Callable[[np.ndarray, float], tuple[float, np.ndarray]]
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+class Sparse:
+    """Documents as one sparse matrix: presence in the first d columns, density in the next d."""
+
+    def __init__(self, docs: Docs, d: int):
+        row = np.repeat(np.arange(len(docs)), [len(i) for i, _ in docs])
+        col = np.concatenate([i for i, _ in docs]) if docs else np.zeros(0, np.int64)
+        x = np.concatenate([x for _, x in docs]) if docs else np.zeros(0)
+        self.n, self.d, self.row, self.col, self.x = len(docs), d, np.append(row, row), np.append(col, col + d).astype(np.int64), np.append(np.ones(len(x)), x)
+
+    def margins(self, w: np.ndarray, b: float) -> np.ndarray:
+        return b + np.bincount(self.row, w[self.col] * self.x, minlength=self.n)
+
+    def gradient(self, g: np.ndarray) -> np.ndarray:
+        """By weights and bias, from the derivative by each document's margin."""
+        return np.append(np.bincount(self.col, g[self.row] * self.x, minlength=2 * self.d), g.sum())
+
+    def negative(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        """The documents' summed loss as negatives, and its gradient."""
+        z = self.margins(w, b)
+        return float(np.logaddexp(0, z).sum()), self.gradient(_sigmoid(z))
 
 
 @dataclass
 class Model:
-    """By kept feature the weights of its presence and of its density; scores are sigmoid(bias + sum)."""
+    """The chosen features, the weights of their presence and of their density, bias and class prior."""
 
-    weights: dict[int, tuple[float, float]]
+    chosen: np.ndarray
+    weights: np.ndarray
     bias: float
     prior: float
 
-    def score(self, features: tuple[np.ndarray, np.ndarray]) -> float:
+    def scores(self, docs: Docs) -> np.ndarray:
+        """sigmoid(bias + weights) of documents, as Features(chosen) gives them."""
         if not self.prior:
-            return 0.0
-        weights, margin = self.weights, self.bias
-        for i, x in zip(features[0].tolist(), features[1].tolist(), strict=True):
-            if i in weights:
-                margin += weights[i][0] + weights[i][1] * x
-        return float(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
+            return np.zeros(len(docs))
+        return _sigmoid(Sparse(docs, len(self.chosen)).margins(self.weights, self.bias))
 
 
-Docs = list[tuple[np.ndarray, np.ndarray]]
+NOTHING = Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0)
 
 
-def select_features(sets: DataFrame, n_pos: int, n_unl: int, keep: int = 512, least: int = 3, ratio: float = 3.0) -> np.ndarray:
+def select_features(learn: DataFrame, pos: DataFrame, n_pos: int, n_unl: int, keep: int = 512, least: int = 3, ratio: float = 3.0) -> np.ndarray:
     """The features that stand out among the positives, by how surely their rate is higher there.
 
-    sets has _p (positive or unlabelled) and _text.  Each task sends one count for each feature it
-    met; the comparison runs in Spark, and only the chosen ids reach the driver.
+    learn: all unlabelled rows; pos: the positives; both with _text.  Each task sends one count for
+    each feature it met; the comparison runs in Spark, and only the chosen ids reach the driver.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of, seen = Features(), np.zeros((2, DIM), np.int32)
         for pdf in batches:
             for positive, text in zip(pdf["_p"], pdf["_text"], strict=True):
-                seen[0 if positive else 1, of(text)[0]] += 1
+                seen[0 if positive else 1, list(of.counts(text)[0])] += 1
         at = np.flatnonzero(seen.any(axis=0))
         yield pd.DataFrame({"f": at.astype(np.int32), "p": seen[0, at].astype(np.int64), "u": seen[1, at].astype(np.int64)})
 
-    sums = sets.select("_p", "_text").mapInPandas(count, "f int, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(F.col("p") >= least)
+    sets = pos.select("_text", F.lit(True).alias("_p")).unionByName(learn.select("_text", F.lit(False).alias("_p")))
+    sums = sets.mapInPandas(count, "f int, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(F.col("p") >= least)
     odds = (F.col("p") / n_pos) / ((F.col("u") + 1) / (n_unl + 1))
     best = sums.withColumn("odds", odds).filter(F.col("odds") > ratio).orderBy(F.desc(F.col("p") * F.log("odds")), "f").limit(keep)
     return np.sort(np.array([r.f for r in best.select("f").collect()], np.int64))
 
 
-def fit_nnpu(pos: Docs, unl: Docs, chosen: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, l2: float = 1e-4) -> Model:
-    """Full-batch Adam on the non-negative risk; pos and unl have ids among the chosen only."""
-    if not pos or not prior:
-        return Model({}, 0.0, 0.0)
-    d = len(chosen)
-
-    def sparse(docs: Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        row = np.repeat(np.arange(len(docs)), [len(i) for i, _ in docs])
-        col, x = np.searchsorted(chosen, np.concatenate([i for i, _ in docs])), np.concatenate([x for _, x in docs])
-        return np.append(row, row), np.append(col, col + d), np.append(np.ones(len(x)), x), len(docs)
-
-    rp, cp, xp, n_p = sparse(pos)
-    ru, cu, xu, n_u = sparse(unl or pos)
-    w, b = np.zeros(2 * d), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(2 * d + 1), np.zeros(2 * d + 1)
+def risk(pos: Sparse, unlabelled: Risk, prior: float, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk, and the direction to step against.  unlabelled: mean loss of U as negatives, and its gradient."""
+    z = pos.margins(w, b)
+    loss, g_neg = unlabelled(w, b)
+    negative = loss - prior * float(np.logaddexp(0, z).mean())
+    g_neg = g_neg - pos.gradient(prior * _sigmoid(z) / pos.n)
+    g = pos.gradient(prior * (_sigmoid(z) - 1) / pos.n) + g_neg if negative >= 0 else -g_neg
+    return prior * float(np.logaddexp(0, -z).mean()) + max(0.0, negative), g
 
-    def gradient(row, col, x, g):  # g: derivative by margin, for each document
-        return np.append(np.bincount(col, g[row] * x, minlength=2 * d), g.sum())
 
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+def descend(pos: Sparse, unlabelled: Risk, prior: float, w: np.ndarray, b: float, steps: int, rate: float, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the non-negative risk."""
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        zp = b + np.bincount(rp, w[cp] * xp, minlength=n_p)
-        zu = b + np.bincount(ru, w[cu] * xu, minlength=n_u)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_neg = gradient(ru, cu, xu, sig(zu) / n_u) - gradient(rp, cp, xp, prior * sig(zp) / n_p)
-        g = gradient(rp, cp, xp, prior * (sig(zp) - 1) / n_p) + g_neg if negative >= 0 else -g_neg
+        g = risk(pos, unlabelled, prior, w, b)[1]
         g[:-1] += l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - float(move[-1])
-    return Model({int(i): (float(w[k]), float(w[k + d])) for k, i in enumerate(chosen)}, b, prior)
+    return w, b
+
+
+def _mean(docs: Sparse, empty: int) -> Risk:
+    """The risk of documents on the driver, of which `empty` more have no feature."""
+    n = max(docs.n + empty, 1)
+
+    def at(w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        loss, g = docs.negative(w, b)
+        g[-1] += empty * float(_sigmoid(np.array(b)))
+        return (loss + empty * float(np.logaddexp(0, b))) / n, g / n
+
+    return at
+
+
+def _corpus(compact: DataFrame, n: int, d: int) -> Risk:
+    """The risk of n rows in Spark; compact holds those with a feature.  2 d + 3 sums reach the driver."""
+
+    def at(w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(2 * d + 3)
+            for pdf in batches:
+                docs = Sparse([(np.asarray(f, np.int64), np.asarray(x, float)) for f, x in zip(pdf["f"], pdf["x"], strict=True)], d)
+                loss, g = docs.negative(w, b)
+                total += np.concatenate([g, [loss, docs.n]])
+            yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
 
+        sums = np.zeros(2 * d + 3)
+        for r in compact.select("f", "x").mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v")).collect():
+            sums[r[0]] = r[1]
+        empty = n - sums[-1]
+        sums[2 * d] += empty * float(_sigmoid(np.array(b)))
+        return (sums[-2] + empty * float(np.logaddexp(0, b))) / n, sums[: 2 * d + 1] / n
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabelled: int = 12000, seed: int = 17) -> Model:
+    return at
+
+
+def fit_nnpu(pos: Docs, unl: Docs, chosen: np.ndarray, prior: float, empty: int = 0, steps: int = 500, rate: float = 0.05) -> Model:
+    """Fit on documents on the driver, as Features(chosen) gives them; `empty` more of U have no feature."""
+    if not pos or not prior:
+        return NOTHING
+    d = len(chosen)
+    w, b = descend(Sparse(pos, d), _mean(Sparse(unl, d), empty) if unl or empty else _mean(Sparse(pos, d), 0), prior, np.zeros(2 * d), float(np.log(prior / (1 - prior))), steps, rate)
+    return Model(chosen, w, b, prior)
+
+
+def _rows(frame: pd.DataFrame) -> Docs:
+    return [(np.asarray(f, np.int64), np.asarray(x, float)) for f, x in zip(frame["f"], frame["x"], strict=True)]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabelled: int = 12000, last_steps: int = 8, seed: int = 17) -> Model:
     """Fit on the training fold: confirmed toxic rows against rows whatever their label."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").alias("_toxic")).filter("_id IS NOT NULL AND _toxic IS NOT NULL")
-    known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
+    known = known.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     learn = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).filter(~held_out(F.col("_id")))
     here = learn.select("_id").join(known, "_id", "left").agg(
         F.count("*").alias("n"), F.count("_toxic").alias("labelled"), F.count_if(F.col("_toxic") == 1).alias("toxic")
     )
     n, labelled, toxic = here.first()
     if not toxic:
-        return Model({}, 0.0, 0.0)
-    draw = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(_SPREAD)) < min(1.0, max_positive / toxic) * _SPREAD
-    other = F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(_SPREAD)) < min(1.0, max_unlabelled / n) * _SPREAD
-    drawn = F.broadcast(known.filter((F.col("_toxic") == 1) & draw).select("_id"))  # about max_positive ids
-    pos = learn.join(drawn, "_id", "left_semi").withColumn("_p", F.lit(True))
-    sets = pos.unionByName(learn.filter(other).withColumn("_p", F.lit(False)))
-    chosen = select_features(sets, min(toxic, max_positive), min(n, max_unlabelled))
+        return NOTHING
+    confirmed = known.filter(F.col("_toxic") == 1).select("_id")
+    draw = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(_SPREAD)) < min(1.0, max_positive / confirmed.count()) * _SPREAD
+    drawn = F.broadcast(confirmed.filter(draw))  # about max_positive ids at most, however many are labelled
+    pos = learn.join(drawn, "_id", "left_semi")
+    chosen = select_features(learn, pos, min(toxic, max_positive), n)
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Features()
+        of = Features(chosen)
         for pdf in batches:
-            rows = []
-            for t in pdf["_text"]:
-                ids, x = of(t)
-                few = np.isin(ids, chosen)
-                rows.append((ids[few].astype(np.int32), x[few].astype(np.float32)))
-            yield pd.DataFrame({"p": pdf["_p"], "id": pdf["_id"], "f": [i for i, _ in rows], "x": [x for _, x in rows]})
-
-    got = sets.mapInPandas(featurize, "p boolean, id long, f array<int>, x array<float>").toPandas().sort_values("id", kind="stable")
-    pos, unl = ([(np.asarray(f, np.int64), np.asarray(x, float)) for f, x in zip(g["f"], g["x"], strict=True)] for g in (got[got["p"]], got[~got["p"]]))
-    return fit_nnpu(pos, unl, chosen, min(toxic / labelled, 0.99))
+            rows = [of(t) for t in pdf["_text"]]
+            some = [k for k, (ids, _) in enumerate(rows) if len(ids)]
+            yield pd.DataFrame({"id": pdf["_id"].iloc[some], "f": [rows[k][0].astype(np.int32) for k in some], "x": [rows[k][1].astype(np.float32) for k in some]})
+
+    wanted = "id long, f array<int>, x array<float>"
+    compact = stored(learn.mapInPandas(featurize, wanted))  # a few numbers for each row with a chosen feature
+    share = min(1.0, max_unlabelled / n)
+    other = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(_SPREAD)) < share * _SPREAD
+    positive = _rows(compact.join(drawn.withColumnRenamed("_id", "id"), "id", "left_semi").orderBy("id").toPandas())
+    positive += [(np.zeros(0, np.int64), np.zeros(0))] * (pos.count() - len(positive))
+    if not positive:
+        return NOTHING
+    sample = _rows(compact.filter(other).orderBy("id").toPandas())
+    prior = min(toxic / labelled, 0.99)
+    model = fit_nnpu(positive, sample, chosen, prior, empty=round(share * (n - compact.count())))
+    w, b = descend(Sparse(positive, len(chosen)), _corpus(compact, n, len(chosen)), prior, model.weights, model.bias, last_steps, rate=0.01)
+    return Model(chosen, w, b, prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted for every row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most `keep` weights
+    held = docs.sparkSession.sparkContext.broadcast(model)  # at most `keep` features
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, m = Features(), held.value
+        m = held.value
+        of = Features(m.chosen)
         for pdf in batches:
-            s = np.array([m.score(of(t)) for t in pdf["text"]], float)
+            s = m.scores([of(t) for t in pdf["text"]])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, predicted int")
@@ -182,8 +272,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     held, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, m = Features(), held.value
+        m = held.value
+        of = Features(m.chosen)
         for batch in batches:
-            yield batch.filter(pa.array([m.score(of(t)) < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array(m.scores([of(t) for t in batch.column("text").to_pylist()]) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
