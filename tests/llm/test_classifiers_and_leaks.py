@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from vellum.llm import decontamination, language_id, toxicity
@@ -37,13 +39,108 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0 == toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), marks)).count()
 
 
+def _doc(*ids):
+    return np.array(ids, np.int64), np.linspace(0.5, 1.5, len(ids))
+
+
 def test_risk_is_not_negative():
     chosen = np.array([5, 9])
-    pos = [(np.array([5]), np.array([1.0]))] * 20
-    unl = [(np.array([5, 9]), np.array([1.0, 1.0]))] * 5 + [(np.array([9]), np.array([2.0]))] * 95
+    pos = [(np.array([0]), np.array([1.0]))] * 20
+    unl = [(np.array([0, 1]), np.array([1.0, 1.0]))] * 5 + [(np.array([1]), np.array([2.0]))] * 95
     model = toxicity.fit_nnpu(pos, unl, chosen, 0.05)
-    assert model.score(pos[0]) > 0.7 > 0.3 > model.score(unl[-1])
-    assert toxicity.fit_nnpu([], unl, chosen, 0.05).score(pos[0]) == 0.0
+    assert model.scores(pos[:1])[0] > 0.7 > 0.3 > model.scores(unl[-1:])[0]
+    assert toxicity.fit_nnpu([], unl, chosen, 0.05).scores(pos[:1])[0] == 0.0
+
+
+def test_risk_and_its_gradient():
+    """Against the definition, document by document, and against finite differences; both branches of the maximum."""
+    rng = np.random.default_rng(4)
+    pos, unl = [_doc(0, 2), _doc(0), _doc()], [_doc(1), _doc(1, 2), _doc(), _doc(0, 1), _doc()]
+    p, u, empty = toxicity.Sparse(pos, 3), toxicity.Sparse(unl, 3), 2
+    unlabelled = toxicity._mean(u, empty)
+    seen = set()
+    for prior in (0.05, 0.9):
+        for _ in range(6):
+            w, b = rng.normal(size=6) * 2, float(rng.normal())
+            margin = lambda d, w=w, b=b: b + sum(w[i] + w[i + 3] * x for i, x in zip(*d, strict=True))
+            plus, minus = (lambda z: np.log1p(np.exp(-z))), (lambda z: np.log1p(np.exp(z)))
+            r_p, r_n = np.mean([plus(margin(d)) for d in pos]), np.mean([minus(margin(d)) for d in pos])
+            negative = np.mean([minus(margin(d)) for d in [*unl, _doc(), _doc()]]) - prior * r_n
+            got, g = toxicity.risk(p, unlabelled, prior, w, b)
+            assert np.isclose(got, prior * r_p + max(0, negative))
+            seen.add(bool(negative >= 0))
+
+            def at(v):
+                z = p.margins(v[:-1], v[-1])
+                part = unlabelled(v[:-1], v[-1])[0] - prior * np.logaddexp(0, z).mean()
+                return prior * np.logaddexp(0, -z).mean() + part if negative >= 0 else -part  # noqa: B023
+
+            v = np.append(w, b)
+            numeric = [(at(v + e) - at(v - e)) / 2e-6 for e in np.eye(7) * 1e-6]
+            assert np.allclose(g, numeric, atol=1e-6)
+    assert seen == {True, False}
+
+
+def test_corpus_risk_is_the_sum_over_all_rows(spark):
+    docs = [_doc(0, 2), _doc(1), _doc(1, 2), _doc(0)]
+    df = spark.createDataFrame([(i.tolist(), x.tolist()) for i, x in docs], "f array<int>, x array<double>").repartition(3)
+    w, b = np.arange(6) / 3 - 1, 0.3
+    want, g = toxicity._mean(toxicity.Sparse(docs, 3), 5)(w, b)
+    got, h = toxicity._corpus(df, 9, 3)(w, b)
+    assert np.isclose(got, want) and np.allclose(g, h)
+
+
+def test_ftrl_against_a_plain_one():
+    """The update rule coordinate by coordinate, in plain Python."""
+    rng = np.random.default_rng(1)
+    rows = [(ids := np.sort(rng.choice(40, 5, replace=False)), rng.random(len(ids))) for _ in range(30)]
+    y = rng.integers(0, 3, 30)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.01
+    z, n = {}, {}
+
+    def weight(i, c):
+        zi, ni = z.get((i, c), 0.0), n.get((i, c), 0.0)
+        if i == "bias":
+            return -zi * alpha / (beta + math.sqrt(ni))
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(ni)) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(3):
+        for r in order.permutation(len(rows)):
+            x = {**dict(zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True)), "bias": 1.0}
+            old = {(i, c): weight(i, c) for i in x for c in range(3)}
+            logits = [sum(old[i, c] * v for i, v in x.items()) for c in range(3)]
+            p = [math.exp(a) / sum(map(math.exp, logits)) for a in logits]
+            for (i, c), w in old.items():
+                g = (p[c] - (y[r] == c)) * x[i]
+                ni = n.get((i, c), 0.0)
+                z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(ni + g * g) - math.sqrt(ni)) / alpha * w
+                n[i, c] = ni + g * g
+    w, b = language_id.fit_ftrl(rows, y, 3)
+    assert np.allclose(w[:40], [[weight(i, c) for c in range(3)] for i in range(40)]) and np.allclose(b, [weight("bias", c) for c in range(3)])
+
+
+def test_temperature_against_a_grid():
+    rng = np.random.default_rng(8)
+    logits, y = rng.normal(size=(200, 4)) * 5, rng.integers(0, 4, 200)
+    y[:120] = logits[:120].argmax(axis=1)
+    loss = lambda t: -np.log(language_id.softmax(logits / t)[np.arange(200), y]).mean()
+    grid = np.exp(np.linspace(-4, 4, 4001))
+    assert loss(language_id.fit_temperature(logits, y)) <= min(map(loss, grid)) + 1e-6
+
+
+def test_letters():
+    assert not any(map(language_id.has_letter, [None, "", "12", "\u00bd", "\u00b2", "\u2460", "\u2163", "_!?", "\u00bd \u00b2 3"]))
+    assert all(map(language_id.has_letter, ["a", "\u00bd\u00b2x", "\u3042", "1\u00e9"]))
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "".join(rng.choice(list("abcdef "), 40)), "aa") for i in range(1500)] + [(2000 + i, "".join(rng.choice(list("xyzuvw "), 40)), "zz") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, max_rows=60, least=10)
+    assert model.langs == ["aa", "zz"]
+    assert {r.lang_pred for r in language_id.predict(docs.filter("doc_id >= 2000"), model).collect()} == {"zz"}
 
 
 def test_language(spark):
@@ -94,3 +191,46 @@ def test_leaks(spark):
     assert decontamination.find_leaks(df.limit(0), bench).count() == 0
     assert decontamination.find_leaks(df, bench.limit(0)).filter("contaminated").count() == 0
     assert sum(1 for _ in decontamination.build_indexes(bench, max_items=10)) == 3
+    # slices change neither scores nor results
+    cols = ["doc_id", "contaminated", "items", "best_score", "best_overlap"]
+    one = [tuple(r) for r in decontamination.find_leaks(df, bench).select(cols).orderBy("doc_id").collect()]
+    assert [tuple(r) for r in decontamination.find_leaks(df, bench, max_items=10).select(cols).orderBy("doc_id").collect()] == one
+    assert sorted(map(repr, decontamination.keep_clean(df, bench, max_items=10).collect())) == sorted(map(repr, kept.collect()))
+
+
+def test_retrieval_against_all_items():
+    """The index finds the passages and items that scoring every item against every passage finds."""
+    rng = np.random.default_rng(17)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(120)]
+    common = vocabulary[:6]
+    some = lambda n: [str(w) for w in rng.choice(vocabulary, n)] + [str(w) for w in rng.choice(common, n // 2)]
+    items = [(i, " ".join(some(int(rng.integers(1, 14))))) for i in range(60)]
+    index = decontamination.Index.build(items)
+    whole = decontamination.Statistics(60, sum(len(t.split()) for _, t in items), index_df(items))
+    for other in (index, decontamination.Index.build(items, whole)):
+        hits = 0
+        for _ in range(40):
+            words = some(120)
+            for i in rng.integers(0, 60, 3):
+                at = int(rng.integers(0, len(words)))
+                part = items[i][1].split()
+                words[at:at] = part[: max(1, int(len(part) * rng.uniform(0.4, 1)))]
+            step, want = other.longest, {}
+            for p in range(0, len(words), step):
+                terms = set(words[p : p + 2 * step])
+                for i, weight in enumerate(other.weights):
+                    s = sum(x for w, x in weight.items() if w in terms)
+                    if s >= other.threshold - 1e-9:
+                        want[" ".join(words[p : p + 2 * step]), i] = round(s, 9)
+            got = {(" ".join(passage), i): round(s, 9) for passage, found in other.retrieved(words) for i, s in found}
+            assert got == want
+            hits += len(want)
+        assert hits > 100
+
+
+def index_df(items):
+    df = {}
+    for _, t in items:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    return df
