@@ -16,13 +16,14 @@ times the input allows; so the suffixes are first thinned without losing a match
    to the same step with a longer offset (`length` - 20), sampled anew among their strings only.
 5. What is still open then is ranked string by string at the full length.
 
-Each step is one shuffle of narrow rows.  The rows of one rank are a sorted run that is read in
-order and spilled where large.
+Ranks that occur once, nearly all, are dropped by counting them.  The rest is settled by counts of
+(rank, rank of the reach), summed before they are shuffled and joined back, so that a rank with very
+many places is spread over many tasks; no task gathers the places of a rank.
 
 Cases: null counts as empty; a text shorter than `length` loses nothing; a text within which a
 string repeats loses all its places; equal rows repeat each other; texts that differ only in doc_id
 repeat each other; an empty table gives an empty result; further columns are ignored.  Rows are
-followed by a 64-bit fingerprint of (doc_id, text).
+followed by a 128-bit fingerprint of (doc_id, text).
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import durable
+from vellum.llm.common import fingerprint, stored
 
 GRAM = 64
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -98,7 +99,7 @@ def _frame(names: tuple[str, ...], rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({c: np.concatenate(x) if rows else np.zeros(0, np.int64) for c, x in zip(names, zip(*rows, strict=True) if rows else [()] * len(names), strict=True)})
 
 
-def _anchors_of(data: np.ndarray, row: int, length: int, gram: int, mask: np.ndarray | None) -> tuple | None:
+def _anchors_of(data: np.ndarray, a: int, b: int, length: int, gram: int, mask: np.ndarray | None) -> tuple | None:
     n = len(data)
     if n < length:
         return None
@@ -110,7 +111,7 @@ def _anchors_of(data: np.ndarray, row: int, length: int, gram: int, mask: np.nda
         seen = np.append(0, np.cumsum(mask))
         some = seen[hi + 1] > seen[lo]
         at, lo, hi = at[some], lo[some], hi[some]
-    return r[at].view(np.int64), around(r128, at, n, length, gram).view(np.int64), np.full(len(at), row), _place(at, lo, hi)
+    return r[at].view(np.int64), around(r128, at, n, length, gram).view(np.int64), np.full(len(at), a), np.full(len(at), b), _place(at, lo, hi)
 
 
 def _open(marks, n: int, length: int) -> np.ndarray | None:
@@ -126,59 +127,64 @@ def _open(marks, n: int, length: int) -> np.ndarray | None:
     return np.cumsum(change[:-1]) > 0
 
 
+def _repeated(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key occurs more than once."""
+    rows = stored(rows)
+    often = rows.groupBy(key).agg(F.count("*").alias("times")).filter("times > 1").select(key)
+    return rows.join(often, key)
+
+
 def _settled(sampled: DataFrame) -> DataFrame:
-    """row and its marks: place * 4, plus 2 if all strings of the place repeat, plus 1 if it stays open."""
-    ordered = Window.partitionBy("rank").orderBy("wide", "row", "place")
-    group = Window.partitionBy("rank")
-    rows = sampled.select(
-        "row",
-        "place",
-        F.coalesce(F.lag("wide").over(ordered) == F.col("wide"), F.lit(False)).alias("as_before"),
-        F.coalesce(F.lead("wide").over(ordered) == F.col("wide"), F.lit(False)).alias("as_next"),
-        (F.min("wide").over(group) != F.max("wide").over(group)).alias("several"),
-    )
-    rows = rows.filter("as_before OR as_next OR several")
-    code = F.col("place") * 4 + F.when(F.col("as_before") | F.col("as_next"), 2).otherwise(0) + F.when(F.col("several") & ~F.col("as_before"), 1).otherwise(0)
-    return rows.groupBy("row").agg(F.collect_list(code).alias("marks"))
+    """a, b (the row) and its marks: place * 4, plus 2 if all strings of the place repeat, plus 1 if it stays open."""
+    rows = stored(_repeated(sampled, "rank"))
+    at = F.struct("a", "b", "place")
+    wides = rows.groupBy("rank", "wide").agg(F.count("*").alias("n"), F.min(at).alias("first"))
+    several = wides.groupBy("rank").agg(F.count("*").alias("wides"))
+    rows = rows.join(wides.join(several, "rank").filter("n > 1 OR wides > 1"), ["rank", "wide"])
+    # one of the places that tie in both goes on, where the rank has others
+    code = F.col("place") * 4 + F.when(F.col("n") > 1, 2).otherwise(0) + F.when((F.col("wides") > 1) & (at == F.col("first")), 1).otherwise(0)
+    return rows.groupBy("a", "b").agg(F.collect_list(code).alias("marks"))
 
 
 def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """row, doc_id, text of docs, with marks_1, marks_2 (see _settled) and the starts of single repeated strings."""
-    if not 2 * GRAM + 20 <= length <= 4 * GRAM:
-        raise ValueError("length must be from 148 to 256 bytes")
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """a, b (the row), doc_id, text of docs, with marks_1, marks_2 (see _settled) and the starts of single repeated strings."""
+    if not 2 * GRAM + 20 <= length <= 3 * GRAM + 32:  # three 128-byte ranks cover an anchor's reach
+        raise ValueError("length must be from 148 to 224 bytes")
+    row = fingerprint("doc_id", "text")
+    keyed = docs.select(row["a"].alias("a"), row["b"].alias("b"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sample(gram: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = []
-                for i, (row, data) in enumerate(zip(pdf["row"], map(_bytes, pdf["text"]), strict=True)):
+                for i, (a, b, data) in enumerate(zip(pdf["a"], pdf["b"], map(_bytes, pdf["text"]), strict=True)):
                     mask = _open(pdf["marks"].iloc[i], len(data), length) if gram > GRAM else None
                     if gram == GRAM or mask is not None:
-                        rows.append(_anchors_of(data, row, length, gram, mask))
-                yield _frame(("rank", "wide", "row", "place"), [r for r in rows if r is not None])
+                        rows.append(_anchors_of(data, a, b, length, gram, mask))
+                yield _frame(("rank", "wide", "a", "b", "place"), [r for r in rows if r is not None])
 
         return run
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for row, data, marks in zip(pdf["row"], map(_bytes, pdf["text"]), pdf["marks"], strict=True):
+            for a, b, data, marks in zip(pdf["a"], pdf["b"], map(_bytes, pdf["text"]), pdf["marks"], strict=True):
                 mask = _open(marks, len(data), length)
                 if mask is not None:
                     p, r128 = np.flatnonzero(mask), ranks(data)[1]
-                    rows.append((_pair(r128[p], r128[p + length - 2 * GRAM]).view(np.int64), np.full(len(p), row), p))
-            yield _frame(("string", "row", "at"), rows)
-
-    wide = "rank long, wide long, row long, place long"
-    marks_1 = durable(_settled(keyed.select("row", "text").mapInPandas(sample(GRAM), wide)))
-    # the joins share one exchange of keyed; hence no filters or narrower columns here
-    marks_2 = _settled(keyed.join(marks_1, "row", "left").mapInPandas(sample(length - 20), wide))
-    ranked = keyed.join(marks_2, "row", "left").mapInPandas(strings, "string long, row long, at long")
-    shared = ranked.withColumn("m", F.count("*").over(Window.partitionBy("string"))).filter("m > 1")
-    single = shared.groupBy("row").agg(F.collect_list("at").alias("starts"))
-    out = keyed.join(marks_1.withColumnRenamed("marks", "marks_1"), "row", "left")
-    return out.join(marks_2.withColumnRenamed("marks", "marks_2"), "row", "left").join(single, "row", "left")
+                    rows.append((_pair(r128[p], r128[p + length - 2 * GRAM]).view(np.int64), np.full(len(p), a), np.full(len(p), b), p))
+            yield _frame(("string", "a", "b", "at"), rows)
+
+    row, wide = ["a", "b"], "rank long, wide long, a long, b long, place long"
+    marks_1 = stored(_settled(keyed.select("a", "b", "text").mapInPandas(sample(GRAM), wide)))
+    # texts with open strings only; a text's other marks are of no use here
+    unsettled = F.exists("marks", lambda m: m.bitwiseAND(F.lit(1)) == 1)
+    texts = stored(keyed.select("a", "b", "text").join(marks_1.filter(unsettled), row).dropDuplicates(row))
+    marks_2 = stored(_settled(texts.mapInPandas(sample(length - 20), wide)))
+    ranked = texts.select("a", "b", "text").join(marks_2.filter(unsettled), row).mapInPandas(strings, "string long, a long, b long, at long")
+    single = _repeated(ranked, "string").groupBy("a", "b").agg(F.collect_list("at").alias("starts"))
+    out = keyed.join(marks_1.withColumnRenamed("marks", "marks_1"), row, "left")
+    return out.join(marks_2.withColumnRenamed("marks", "marks_2"), row, "left").join(single, row, "left")
 
 
 def covered(n: int, marks_1, marks_2, starts, length: int) -> np.ndarray:
