@@ -81,7 +81,15 @@ def stored(df: DataFrame) -> DataFrame:
     path = work_folder(df.sparkSession)
     with _shuffles_removed(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._vellum_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` has written; nothing that is still to run may read them."""
+    for t in tables:
+        remove_folder(t.sparkSession, t._vellum_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
