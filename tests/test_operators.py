@@ -6,11 +6,11 @@ from vellum.functions import text as T
 from vellum.operators import importing, quality, summaries
 from vellum.streaming import imports
 
-ITEM = "id string, book_code string, chapter int, verse string, content_type string, sequence_no int, semantic_key string, match_key string, logical_key string, language_code string, language_role string, resource_role string, protection_level string, review_status string, current_text string, raw_text string, created_at int"
+ITEM = "id string, book_code string, chapter int, verse string, content_type string, sequence_no int, semantic_key string, match_key string, logical_key string, language_code string, language_role string, resource_role string, protection_level string, review_status string, current_text string, raw_text string, source_locator string, created_at int"
 
 
 def _items(spark, *rows):
-    base = {"id": "a", "book_code": "MAT", "chapter": 1, "verse": "1", "content_type": "scripture", "sequence_no": 1, "semantic_key": "k", "match_key": None, "logical_key": None, "language_code": "en", "language_role": "source", "resource_role": "source_scripture", "protection_level": "normal", "review_status": "unreviewed", "current_text": "", "raw_text": None, "created_at": 1}
+    base = {"id": "a", "book_code": "MAT", "chapter": 1, "verse": "1", "content_type": "scripture", "sequence_no": 1, "semantic_key": "k", "match_key": None, "logical_key": None, "language_code": "en", "language_role": "source", "resource_role": "source_scripture", "protection_level": "normal", "review_status": "unreviewed", "current_text": "", "raw_text": None, "source_locator": "line:1", "created_at": 1}
     full = [base | r for r in rows]
     full = [r | {"match_key": r["match_key"] or r["semantic_key"], "logical_key": r["logical_key"] or f"{r['resource_role']}|{r['language_code']}|{r['semantic_key']}"} for r in full]
     return spark.createDataFrame([tuple(r[c.split()[0]] for c in ITEM.split(", ")) for r in full], ITEM)

@@ -86,7 +86,7 @@ def test_files_of_all_formats(spark, tmp_path):
     assert all(by(x)[0].content_type == "unreadable" and by(x)[0].warning for x in ("e.json", "f.doc", "g.xyz"))
     assert by("b.csv")[0].content_hash and by("a.SFM")[2].logical_key == "MRK|1|1|scripture"
     roles = spark.createDataFrame([("My-Footnotes.csv",), ("xrefs.csv",), ("x.csv",)], "n string").select(files.guess_role(F.col("n"))).collect()
-    assert [r[0] for r in roles] == ["footnotes", "cross_references", None]
+    assert [r[0] for r in roles] == ["footnotes", "other", "other"]
 
 
 ITEMS = [

@@ -16,14 +16,19 @@ WHITE = r"[\t\n\x0B\f\r\x20\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u30
 ZERO_WIDTH = r"[\u200B\u200C\u200D\uFEFF]"
 
 
+#: Only texts with one of these characters can differ from their NFC: all below U+0300, CJK ideographs,
+#: kana without sound marks and Hangul syllables stand as they are.
+MAY_CHANGE = r"[\u0300-\u33FF\uA000-\uABFF\uD7B0-\uD7FF\uF900-\uFFFF\x{10000}-\x{10FFFF}]"
+
+
 @F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x), na_action="ignore")
+    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC; plain ASCII never leaves the JVM's fast path in the UDF."""
-    return _nfc(c)
+    """Unicode NFC.  Only texts that may change go to the Python worker; for the others it gets a null."""
+    return F.coalesce(_nfc(F.when(c.rlike(MAY_CHANGE), c)), c)
 
 
 def trim(c: Column) -> Column:
@@ -67,9 +72,11 @@ def strip_markers(c: Column) -> Column:
 
 
 def strip_notes(c: Column) -> Column:
-    """Visible text without footnotes and cross-references, closed or not."""
-    for note in (r"(?i)\\f(?=\s)[\s\S]*?\\f\*", r"(?i)\\x(?=\s)[\s\S]*?\\x\*", r"(?i)\\f(?=\s)[\s\S]*$", r"(?i)\\x(?=\s)[\s\S]*$"):
-        c = F.regexp_replace(F.coalesce(c, F.lit("")), note, " ")
+    """Visible text without footnotes (f) and cross-references (x): first the closed ones of each, then to the end."""
+    c = F.coalesce(c, F.lit(""))
+    for end in ("\\\\{0}\\*", "$"):
+        for marker in "fx":
+            c = F.regexp_replace(c, rf"(?i)\\{marker}(?=\s)[\s\S]*?" + end.format(marker), " ")
     return strip_markers(c)
 
 
@@ -121,6 +128,16 @@ def whole_number(c: Column) -> Column:
     return F.when(c.rlike("^-?[0-9]+$"), c.try_cast("int"))
 
 
+def new_id(prefix: str) -> Column:
+    """A fresh identifier for every row."""
+    return F.concat(F.lit(f"{prefix}_"), F.replace(F.uuid(), F.lit("-"), F.lit("")))
+
+
+def iso_now() -> Column:
+    """The query's start as an ISO 8601 time in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def filled(*columns: Column) -> Column:
     """The first value that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])

@@ -44,6 +44,34 @@ def recommendation(content_type: Column, protection: Column, old: Column, new: C
     return F.when(scripture, "manual_review").when(new > old, "use_incoming").when(new < old, "keep_existing").otherwise("manual_review")
 
 
+# Why a recommendation is given; {0} a resource role, {1} and {2} priorities.
+REASONS = {
+    "scripture": "Scripture changes always require explicit human review. Authority priority never auto-accepts a Scripture change.",
+    "use_incoming": "Incoming {0} resource has higher configured authority ({1} > {2}). Human confirmation is still required.",
+    "keep_existing": "Existing {0} resource has higher configured authority ({1} > {2}).",
+    "manual_review": "Existing and incoming resources have equal or unspecified authority. Compare the content manually.",
+}
+
+
+def authority_reason(content_type: Column, protection: Column, old_role: Column, new_role: Column, old: Column, new: Column) -> Column:
+    """The sentence that goes with `recommendation`."""
+
+    def told(name: str, role: Column, more: Column, less: Column) -> Column:
+        said = F.lit(REASONS[name])
+        for k, v in enumerate((role, more.cast("string"), less.cast("string"))):
+            said = F.replace(said, F.lit(f"{{{k}}}"), v)
+        return said
+
+    choice = recommendation(F.lit(""), F.lit(""), old, new)
+    scripture = recommendation(content_type, protection, F.lit(0), F.lit(1)) == "manual_review"
+    return F.when(scripture, REASONS["scripture"]).when(choice == "use_incoming", told("use_incoming", new_role, new, old)).when(choice == "keep_existing", told("keep_existing", F.coalesce(old_role, F.lit("unknown")), old, new)).otherwise(REASONS["manual_review"])
+
+
+def authority_rules(spark) -> DataFrame:
+    """All rules by type, the highest priority first."""
+    return dims.authority(spark).orderBy("content_type", F.desc("priority"), "resource_role")
+
+
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files (content, resource_role, language_code) whose bytes are not stored yet for that role and language.
 
@@ -83,10 +111,14 @@ def classify(incoming: DataFrame, existing: DataFrame, within: bool = True) -> D
     old = F.broadcast(rules.select("content_type", F.col("resource_role").alias("old_role"), F.col("priority").alias("old")))
     new = F.broadcast(rules.select("content_type", "resource_role", F.col("priority").alias("new")))
     rows = rows.withColumns({"status": status, "old_role": anchor["resource_role"]}).join(old, ["content_type", "old_role"], "left").join(new, ["content_type", "resource_role"], "left")
-    advice = recommendation(F.col("content_type"), anchor["protection_level"], F.coalesce("old", F.lit(0)), F.coalesce("new", F.lit(0)))
+    told = [F.col("content_type"), anchor["protection_level"]]
+    old, new = F.coalesce("old", F.lit(0)), F.coalesce("new", F.lit(0))
+    is_conflict = F.col("status") == "conflict"
     return rows.select(
-        "id", "logical_key", "content_type", "resource_role", "status", "cross_role", anchor["id"].alias("anchor_id"), "old_role", F.when(F.col("status") == "conflict", advice).alias("recommendation")
-    )
+        "id", "logical_key", "match_key", "content_type", "resource_role", "sequence_no", "status", "cross_role", anchor["id"].alias("anchor_id"), "old_role",
+        (anchor["protection_level"] == "protected_scripture").alias("protected"), F.when(is_conflict, recommendation(*told, old, new)).alias("recommendation"),
+        F.when(is_conflict, authority_reason(*told, F.col("old_role"), F.col("resource_role"), old, new)).alias("reason"),
+    )
 
 
 def summarize(classified: DataFrame) -> DataFrame:
@@ -97,35 +129,94 @@ def summarize(classified: DataFrame) -> DataFrame:
     )
 
 
+def preview(incoming: DataFrame, existing: DataFrame, examples: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What an import would do: counts (see summarize), items by language role, and the first conflicts with the reason."""
+    sorted_out = classify(incoming, existing, within=False)
+    shown = sorted_out.filter("status = 'conflict'").orderBy("sequence_no", "id").limit(examples)
+    shown = shown.select("id", "match_key", "content_type", F.col("old_role").alias("existing_role"), F.col("resource_role").alias("incoming_role"), "recommendation", "reason", F.col("protected").alias("protected_scripture"))
+    return summarize(sorted_out), language_breakdown(incoming), shown
+
+
+def language_breakdown(items: DataFrame) -> DataFrame:
+    """language_role, n; the roles source, target, auxiliary and unassigned (none given) are always there."""
+    counts = items.groupBy(F.coalesce("language_role", F.lit("unassigned")).alias("language_role")).agg(F.count("*").alias("n"))
+    known = items.sparkSession.createDataFrame([(r, 0) for r in ("source", "target", "auxiliary", "unassigned")], "language_role string, n long")
+    return counts.union(known).groupBy("language_role").agg(F.sum("n").alias("n"))
+
+
 def commit(incoming: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows to append to the items, and the pending conflicts."""
+    """Rows to append to the items, and the pending conflicts.
+
+    Where incoming rows tell their resource_id, file_id, source_locator and created_at, the conflicts carry them on.
+    """
     sorted_out = classify(incoming, existing)
     inserted = incoming.join(sorted_out.filter("status = 'new'").select("id"), "id", "left_semi")
-    conflicts = sorted_out.filter("status = 'conflict'").join(incoming.select("id", F.col("current_text").alias("incoming_text"), F.col("raw_text").alias("incoming_raw_text")), "id")
-    conflicts = conflicts.select(F.sha2(F.concat_ws("|", "id", "anchor_id"), 256).alias("conflict_id"), F.col("id").alias("incoming_id"), "anchor_id", "content_type", F.col("resource_role").alias("incoming_role"), F.col("old_role").alias("existing_role"), "recommendation", "incoming_text", "incoming_raw_text", F.lit("pending").alias("status"))
+    carried = {"resource_id": "incoming_resource_id", "file_id": "incoming_file_id", "source_locator": "source_locator", "created_at": "created_at"}
+    own = [F.col(c).alias(name) if c in incoming.columns else F.lit(None).cast("string").alias(name) for c, name in carried.items()]
+    conflicts = sorted_out.filter("status = 'conflict'").join(incoming.select("id", F.col("current_text").alias("incoming_text"), F.col("raw_text").alias("incoming_raw_text"), *own), "id")
+    conflicts = conflicts.select(
+        F.sha2(F.concat_ws("|", "id", "anchor_id"), 256).alias("conflict_id"), F.col("id").alias("incoming_id"), "anchor_id", "content_type", F.col("resource_role").alias("incoming_role"), F.col("old_role").alias("existing_role"),
+        "recommendation", "reason", "incoming_text", "incoming_raw_text", *carried.values(), F.lit("pending").alias("status"),
+    )
     return inserted, conflicts
 
 
-def list_conflicts(conflicts: DataFrame, items: DataFrame, status: str = "pending") -> DataFrame:
-    """Conflicts with the stored record, those to accept first."""
+def committed(files: DataFrame, incoming: DataFrame, existing: DataFrame, books: DataFrame) -> dict[str, DataFrame]:
+    """What a committed batch adds beside its items and conflicts: books, resources, and the batches' own rows.
+
+    files: file_id, batch_id, filename, language_code, resource_role; incoming rows tell their file_id.
+    A resource has a language unless its file mixes source and target, and a book if it has only one.
+    """
+    flag = lambda role: F.coalesce(F.bool_or(F.col("language_role") == role), F.lit(False))
+    seen = incoming.filter("book_code <> ''").select("book_code").distinct()
+    whose = incoming.groupBy("file_id").agg((flag("source") & flag("target")).alias("mixed"), F.min(F.nullif("book_code", F.lit(""))).alias("lo"), F.max(F.nullif("book_code", F.lit(""))).alias("hi"))
+    resources = files.join(whose, "file_id", "left").select(
+        "file_id", "resource_role", F.when(~F.coalesce("mixed", F.lit(False)), F.nullif("language_code", F.lit(""))).alias("language_code"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("book_code"), F.col("filename").alias("title")
+    )
+    state = classify(incoming, existing).join(incoming.select("id", "file_id"), "id").join(files.select("file_id", "batch_id"), "file_id")
+    count = lambda status: F.count_if(F.col("status") == status)
+    batches = state.groupBy("batch_id").agg(count("new").alias("inserted"), count("identical").alias("skipped"), count("conflict").alias("changed"), F.count_if("cross_role").alias("overlaps"))
+    batches = files.select("batch_id").distinct().join(batches, "batch_id", "left").fillna(0).withColumn("status", F.lit("committed"))
+    return {"books": seen.join(books.select("book_code"), "book_code", "left_anti"), "resources": resources, "batches": batches}
+
+
+def conflict_rollup(conflicts: DataFrame) -> DataFrame:
+    return conflicts.groupBy("incoming_role", "recommendation").agg(F.count("*").alias("n"))
+
+
+def list_conflicts(conflicts: DataFrame, items: DataFrame, status: str = "pending", resources: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Conflicts with the stored record, those to accept first, then the newest.
+
+    resources (resource_id, title) names the stored record's resource, files (file_id, filename) the incoming file.
+    """
     rank = F.when(F.col("recommendation") == "use_incoming", 1).when(F.col("recommendation") == "manual_review", 2).otherwise(3)
     chosen = conflicts if status == "all" else conflicts.filter(F.col("status") == status)
-    stored = items.select(F.col("id").alias("anchor_id"), F.col("current_text").alias("existing_text"), "book_code", "chapter", "verse", "protection_level")
-    return chosen.join(stored, "anchor_id").withColumn("rank", rank).orderBy("rank", "conflict_id")
+    more = {"raw_text": "existing_raw_text", "marker": "existing_marker", "category": "existing_category", "review_status": "review_status", "resource_id": "existing_resource_id"}
+    stored = items.select(F.col("id").alias("anchor_id"), F.col("current_text").alias("existing_text"), "book_code", "chapter", "verse", "protection_level", *[F.col(c).alias(name) for c, name in more.items() if c in items.columns])
+    rows = chosen.join(stored, "anchor_id")
+    if resources is not None:
+        rows = rows.join(resources.select(F.col("resource_id").alias("existing_resource_id"), F.col("title").alias("existing_resource")), "existing_resource_id", "left")
+    if files is not None:
+        rows = rows.join(files.select(F.col("file_id").alias("incoming_file_id"), F.col("filename").alias("incoming_filename")), "incoming_file_id", "left")
+    return rows.withColumn("rank", rank).orderBy("rank", F.desc("created_at"), "conflict_id")
 
 
 def resolve(conflicts: DataFrame, items: DataFrame, versions: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Next state of items, conflicts and versions, and the decisions that were refused with the reason.
 
     decisions: conflict_id, action (keep_existing, use_incoming, manual_merge), reason, merged_text,
-    confirm_protected.  One decision for a conflict; several for one item apply in conflict_id order.
+    confirm_protected, and if wanted actor and decided_at.  One decision for a conflict; several for one
+    item apply in conflict_id order.  A changed item takes over the incoming resource, file and locator
+    where these are known; a decided conflict says by whom, when and why.
     """
-    stored = items.select(F.col("id").alias("anchor_id"), "protection_level", F.col("current_text").alias("existing_text"))
-    rows = decisions.join(conflicts, "conflict_id", "left").join(stored, "anchor_id", "left")
+    decisions = decisions if "actor" in decisions.columns else decisions.withColumn("actor", F.lit("Human editor"))
+    decisions = decisions if "decided_at" in decisions.columns else decisions.withColumn("decided_at", F.current_timestamp())
+    stored = items.select(F.col("id").alias("anchor_id"), "protection_level", F.col("current_text").alias("existing_text"), F.lit(True).alias("_held"))
+    rows = decisions.join(conflicts.withColumnRenamed("reason", "advice"), "conflict_id", "left").join(stored, "anchor_id", "left")
     changes = F.col("action").isin("use_incoming", "manual_merge")
     error = (
         F.when(~F.coalesce(changes | (F.col("action") == "keep_existing"), F.lit(False)), "invalid action")
-        .when(F.col("anchor_id").isNull(), "conflict not found")
+        .when(F.col("_held").isNull(), "conflict not found")
         .when(F.col("status") != "pending", "already resolved")
         .when(changes & (F.col("protection_level") == "protected_scripture") & ~F.coalesce("confirm_protected", F.lit(False)), "protected text needs confirmation")
         .when(changes & T.is_blank(F.col("reason")), "a reason is required")
@@ -140,10 +231,17 @@ def resolve(conflicts: DataFrame, items: DataFrame, versions: DataFrame, decisio
         F.col("anchor_id").alias("content_item_id"), (F.coalesce("last", F.lit(0)) + F.row_number().over(order)).cast("int").alias("revision_no"),
         F.coalesce(F.lag("text").over(order), "existing_text").alias("text"), F.col("action").alias("change_type"), "reason",
     )
-    final = changed.groupBy("anchor_id").agg(F.max_by(F.struct("text", "raw"), "conflict_id").alias("new")).withColumnRenamed("anchor_id", "id")
-    touched = F.col("new").isNotNull()
+    moved = {"resource_id": "incoming_resource_id", "source_file_id": "incoming_file_id", "source_locator": "source_locator"}
+    moved = {c: name for c, name in moved.items() if c in items.columns and name in conflicts.columns}
+    # each of them from the last decision that tells it
+    newest = [F.max_by(name, F.when(F.col(name).isNotNull(), F.col("conflict_id"))).alias(f"_{c}") for c, name in moved.items()]
+    final = changed.groupBy("anchor_id").agg(F.max_by(F.struct("text", "raw"), "conflict_id").alias("_new"), *newest).withColumnRenamed("anchor_id", "id")
+    touched = F.col("_new").isNotNull()
     pick = lambda new, old: F.when(touched, new).otherwise(F.col(old))
-    next_items = items.join(final, "id", "left").withColumns({"current_text": pick(F.col("new.text"), "current_text"), "raw_text": pick(F.col("new.raw"), "raw_text"), "content_hash": pick(T.content_hash(F.col("new.text")), "content_hash"), "review_status": pick(F.lit("needs_review"), "review_status")})
-    taken = good.select("conflict_id", F.col("action").alias("_action"))
+    next_items = items.join(final, "id", "left").withColumns(
+        {"current_text": pick(F.col("_new.text"), "current_text"), "raw_text": pick(F.col("_new.raw"), "raw_text"), "content_hash": pick(T.content_hash(F.col("_new.text")), "content_hash"), "review_status": pick(F.lit("needs_review"), "review_status")}
+        | {c: F.coalesce(F.col(f"_{c}").cast(items.schema[c].dataType), F.col(c)) for c in moved}
+    )
+    taken = good.select("conflict_id", F.col("action").alias("_action"), F.nullif("reason", F.lit("")).alias("resolution_reason"), F.col("actor").alias("resolved_by"), F.col("decided_at").alias("resolved_at"))
     next_conflicts = conflicts.join(taken, "conflict_id", "left").withColumn("status", F.coalesce("_action", "status")).drop("_action")
     return next_items.select(*items.columns), next_conflicts, versions.unionByName(revisions), refused

@@ -16,11 +16,45 @@ from vellum.operators import pairing
 INVISIBLE = r"[\u200B\u200C\u200D\u2060\uFEFF]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 SPACED_MARKER = rf"\\{T.WHITE}+[A-Za-z][A-Za-z0-9]*|\\[A-Za-z][A-Za-z0-9]*{T.WHITE}+\*"
-COLUMNS = ["content_item_id", "paired_content_item_id", "category", "severity", "confidence", "fingerprint"]
+COLUMNS = ["content_item_id", "paired_content_item_id", "category", "severity", "confidence", "fingerprint", "message", "evidence", "suggested_text"]
+
+# What each rule says.
+MESSAGES = {
+    "unicode_zero_width": "Invisible zero-width Unicode character detected.",
+    "unicode_replacement_character": "Unicode replacement character (U+FFFD) detected; source text may have been decoded incorrectly.",
+    "invalid_control_character": "Unexpected control character detected in publishable text.",
+    "unicode_normalization": "Text is not in canonical NFC Unicode normalization.",
+    "usfm_marker_spacing": "Malformed USFM marker spacing detected.",
+    "usfm_marker_balance": "Unbalanced \\{0} … \\{0}* marker pair detected.",
+    "invalid_chapter_anchor": "Chapter {0} is outside the supported range for {1} (1–{2}).",
+    "number_mismatch": "Source and target numeric sequences differ. Review whether the difference is intentional.",
+    "empty_target_content": "Source content is present but the paired target field is empty.",
+    "usfm_marker_sequence_mismatch": "Source and target inline USFM marker sequences differ.",
+    "source_only": "Scripture verse exists in the source edition but no paired target verse was found.",
+    "target_only": "Scripture verse exists in the target edition but no paired source verse was found. Treat as a possible versification/textual-edition difference, not an automatic translation error.",
+    "duplicate_canonical_record": "Multiple active database records share the same language and canonical match identity.",
+}
+
+
+def _finding(when: Column, category: str, severity: str, confidence: float, parts: list[Column], message: Column | None = None, **evidence: Column) -> Column:
+    """A finding where `when` holds; evidence: columns by the names they have in its JSON."""
+    said = F.lit(MESSAGES[category]) if message is None else message
+    shown = F.to_json(F.struct(*[c.alias(k) for k, c in evidence.items()]), {"ignoreNullFields": "false"})
+    return F.when(
+        when,
+        F.struct(
+            F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), T.fingerprint(F.lit(dims.ENGINE), *parts).alias("fingerprint"),
+            said.alias("message"), shown.alias("evidence"), F.lit(None).cast("string").alias("suggested_text"),
+        ),
+    )
 
 
-def _finding(when: Column, category: str, severity: str, confidence: float, *parts: Column) -> Column:
-    return F.when(when, F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), T.fingerprint(F.lit(dims.ENGINE), *parts).alias("fingerprint")))
+def _told(template: str, *values: Column) -> Column:
+    """A message with {0}, {1}, .. replaced."""
+    said = F.lit(template)
+    for k, v in enumerate(values):
+        said = F.replace(said, F.lit(f"{{{k}}}"), v.cast("string"))
+    return said
 
 
 def record_findings(items: DataFrame) -> DataFrame:
@@ -29,17 +63,23 @@ def record_findings(items: DataFrame) -> DataFrame:
     rows = items.join(F.broadcast(known), "book_code", "left")  # 66 rows
     text, raw, item = F.coalesce("current_text", F.lit("")), F.coalesce("raw_text", "current_text", F.lit("")), F.col("id")
     rows = rows.withColumn("_nfc", T.nfc(text)).withColumn("_text", text).withColumn("_raw", raw)
-    text, raw = F.col("_text"), F.col("_raw")
+    text, raw, at = F.col("_text"), F.col("_raw"), F.col("source_locator")
     counts = {m: (T.marker_starts(raw, m), T.marker_ends(raw, m)) for m in "fx"}
     found = [
-        _finding(text.rlike(INVISIBLE), "unicode_zero_width", "medium", 1.0, F.lit("zero_width"), item),
-        _finding(text.contains("\ufffd"), "unicode_replacement_character", "high", 1.0, F.lit("replacement"), item),
-        _finding(text.rlike(CONTROL), "invalid_control_character", "high", 1.0, F.lit("control"), item),
-        _finding(text != F.col("_nfc"), "unicode_normalization", "low", 1.0, F.lit("nfc"), item),
-        _finding(raw.rlike(SPACED_MARKER), "usfm_marker_spacing", "high", 0.99, F.lit("marker_spacing"), item),
-        *[_finding(a != b, "usfm_marker_balance", "high", 1.0, F.lit("marker_balance"), F.lit(m), item, a, b) for m, (a, b) in counts.items()],
-        _finding((F.col("chapter") < 1) | (F.col("chapter") > F.col("max_chapter")), "invalid_chapter_anchor", "critical", 1.0, F.lit("chapter_range"), item),
-    ]
+        _finding(text.rlike(INVISIBLE), "unicode_zero_width", "medium", 1.0, [F.lit("zero_width"), item], sourceLocator=at, characters=T.code_points(text, INVISIBLE)),
+        _finding(text.contains("\ufffd"), "unicode_replacement_character", "high", 1.0, [F.lit("replacement"), item], sourceLocator=at),
+        _finding(text.rlike(CONTROL), "invalid_control_character", "high", 1.0, [F.lit("control"), item], sourceLocator=at),
+        _finding(text != F.col("_nfc"), "unicode_normalization", "low", 1.0, [F.lit("nfc"), item], sourceLocator=at),
+        _finding(raw.rlike(SPACED_MARKER), "usfm_marker_spacing", "high", 0.99, [F.lit("marker_spacing"), item], sourceLocator=at, rawText=raw),
+        *[
+            _finding(a != b, "usfm_marker_balance", "high", 1.0, [F.lit("marker_balance"), F.lit(m), item, a, b], _told(MESSAGES["usfm_marker_balance"], F.lit(m)), sourceLocator=at, startCount=a, endCount=b, rawText=raw)
+            for m, (a, b) in counts.items()
+        ],
+        _finding(
+            (F.col("chapter") < 1) | (F.col("chapter") > F.col("max_chapter")), "invalid_chapter_anchor", "critical", 1.0, [F.lit("chapter_range"), item],
+            _told(MESSAGES["invalid_chapter_anchor"], F.col("chapter"), F.col("book_code"), F.col("max_chapter")), bookCode=F.col("book_code"), chapter=F.col("chapter"), maxChapter=F.col("max_chapter"),
+        ),
+    ]
     # the anchor rule needs a known book
     found[-1] = F.when(F.col("max_chapter").isNotNull(), found[-1])
     each = rows.select(item.alias("content_item_id"), F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("f"))
@@ -48,7 +88,7 @@ def record_findings(items: DataFrame) -> DataFrame:
 
 def pair_findings(items: DataFrame) -> DataFrame:
     """Rules on a source record and its target: numbers, empty target, markers, one-sided verses."""
-    pairs = pairing.pivot(items, ["id", "content_type", "current_text", "raw_text", "resource_role", "book_code", "chapter", "verse"])
+    pairs = pairing.pivot(items, ["id", "content_type", "current_text", "raw_text", "resource_role", "book_code", "chapter", "verse", "protection_level", "source_locator"])
     s, t, key = F.col("source"), F.col("target"), F.col("key")
     pairs = pairs.select(
         "key", "source", "target",
@@ -59,14 +99,18 @@ def pair_findings(items: DataFrame) -> DataFrame:
     both = s.isNotNull() & t.isNotNull()
     sn, tn, sm, tm = map(F.col, ("sn", "tn", "sm", "tm"))
     plain = (s["content_type"] != "scripture") & (t["content_type"] != "scripture") & (s["resource_role"] == t["resource_role"]) & ~s["resource_role"].isin("source_scripture", "target_scripture")
-    only = F.coalesce(s["content_type"], t["content_type"])
+    one = lambda c: F.coalesce(s[c], t[c])
     side = F.when(s.isNotNull(), "source_only").otherwise("target_only")
     found = [
-        _finding(both & (F.array_sort(sn) != F.array_sort(tn)), "number_mismatch", "high", 0.98, F.lit("numbers"), key, join(sn), join(tn)),
-        _finding(both & s["content_type"].isin(*dims.TRANSLATED_TYPES) & ~T.is_blank(s["current_text"]) & T.is_blank(t["current_text"]), "empty_target_content", "high", 1.0, F.lit("empty_target"), key),
-        _finding(both & plain & (sm != tm), "usfm_marker_sequence_mismatch", "medium", 0.98, F.lit("marker_seq"), key, join(sm), join(tm)),
-        _finding(~both & (only == "scripture"), "versification_difference", "info", 1.0, F.lit("versification"), key, side),
-    ]
+        _finding(both & (F.array_sort(sn) != F.array_sort(tn)), "number_mismatch", "high", 0.98, [F.lit("numbers"), key, join(sn), join(tn)],
+                 sourceNumbers=sn, targetNumbers=tn, sourceText=s["current_text"], targetText=t["current_text"], protectedScripture=t["protection_level"] == "protected_scripture"),
+        _finding(both & s["content_type"].isin(*dims.TRANSLATED_TYPES) & ~T.is_blank(s["current_text"]) & T.is_blank(t["current_text"]), "empty_target_content", "high", 1.0, [F.lit("empty_target"), key],
+                 sourceText=s["current_text"], sourceLocator=s["source_locator"], targetLocator=t["source_locator"]),
+        _finding(both & plain & (sm != tm), "usfm_marker_sequence_mismatch", "medium", 0.98, [F.lit("marker_seq"), key, join(sm), join(tm)],
+                 sourceMarkers=sm, targetMarkers=tm, sourceRaw=s["raw_text"], targetRaw=t["raw_text"]),
+        _finding(~both & (one("content_type") == "scripture"), "versification_difference", "info", 1.0, [F.lit("versification"), key, side],
+                 F.when(s.isNotNull(), MESSAGES["source_only"]).otherwise(MESSAGES["target_only"]), semanticKey=key, side=side, book=one("book_code"), chapter=one("chapter"), verse=one("verse")),
+    ]
     each = pairs.select("source", "target", F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("f"))
     paired = F.when(both, s["id"])
     return each.select(F.coalesce(t["id"], s["id"]).alias("content_item_id"), paired.alias("paired_content_item_id"), "f.*").select(*COLUMNS)
@@ -76,11 +120,13 @@ def duplicate_findings(items: DataFrame) -> DataFrame:
     """More than one record of a resource role, language and match identity."""
     key = F.concat_ws("|", F.coalesce("resource_role", F.lit("")), F.coalesce("language_code", "language_role", F.lit("")), T.filled(F.col("match_key"), F.col("semantic_key"), F.col("logical_key")))
     # counted first, so that only the records of repeated identities are gathered
-    keyed = items.select("id", F.struct("book_code", "chapter", "sequence_no", "id").alias("at"), key.alias("key"))
+    keyed = items.select("id", "resource_role", F.struct("book_code", "chapter", "sequence_no", "id").alias("at"), key.alias("key"))
     repeated = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", "at").alias("first")).filter("n > 1")
-    ids = keyed.join(repeated, "key").groupBy("key", "first").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    f = _finding(F.lit(True), "duplicate_canonical_record", "high", 1.0, F.lit("duplicate_match"), F.col("key"), F.concat_ws(",", "ids"))
-    return ids.select(F.col("first").alias("content_item_id"), F.lit(None).cast("string").alias("paired_content_item_id"), f.alias("f")).select("content_item_id", "paired_content_item_id", "f.*").select(*COLUMNS)
+    same = keyed.join(repeated, "key").groupBy("key", "first").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.array_sort(F.collect_list(F.struct("at", "resource_role"))).alias("ordered"))
+    in_order = F.transform("ordered", lambda x: x["at"]["id"])
+    roles = F.transform("ordered", lambda x: x["resource_role"])
+    f = _finding(F.lit(True), "duplicate_canonical_record", "high", 1.0, [F.lit("duplicate_match"), F.col("key"), F.concat_ws(",", "ids")], matchIdentity=F.col("key"), recordIds=in_order, resourceRoles=roles)
+    return same.select(F.col("first").alias("content_item_id"), F.lit(None).cast("string").alias("paired_content_item_id"), f.alias("f")).select("content_item_id", "paired_content_item_id", "f.*").select(*COLUMNS)
 
 
 def findings(items: DataFrame, closed: DataFrame | None = None) -> DataFrame:
@@ -109,13 +155,24 @@ def summary(issues: DataFrame) -> DataFrame:
     return levels.join(counts, "severity", "left").select("severity", "rank", F.coalesce("count", F.lit(0)).alias("n"))
 
 
-def list_issues(issues: DataFrame, items: DataFrame, limit: int = 500, severity: str | None = None) -> DataFrame:
-    """Issues with their item and the paired text, the most severe first."""
+def result(created: DataFrame, issues: DataFrame) -> DataFrame:
+    """section, name, n of a run: findings created, and the open issues in all, by severity (all five) and by category."""
+    open_ = issues.filter("status = 'open'")
+    row = lambda section, name, n: [F.lit(section).alias("section"), name.alias("name"), n.alias("n")]
+    total = lambda df, name: df.agg(F.count("*").alias("n")).select(*row("total", F.lit(name), F.col("n")))
+    categories = open_.groupBy("category").agg(F.count("*").alias("n")).select(*row("category", F.col("category"), F.col("n")))
+    return total(created, "created").union(total(open_, "open")).union(summary(open_).select(*row("severity", F.col("severity"), F.col("n")))).union(categories)
+
+
+def list_issues(issues: DataFrame, items: DataFrame, limit: int = 500, severity: str | None = None, status: str = "all") -> DataFrame:
+    """Issues with their item and the paired text: the most severe first, then the newest where issues have created_at."""
     if not 0 < limit <= 1000:
         raise ValueError("limit must be from 1 to 1000")
     order = F.array_position(F.array(*map(F.lit, dims.SEVERITIES)), F.col("severity"))
     issues = issues if severity is None else issues.filter(F.col("severity") == severity)
-    top = issues.withColumn("rank", order).orderBy("rank", "fingerprint").limit(limit)  # limit before the joins
+    issues = issues if status == "all" else issues.filter(F.col("status") == status)
+    newest = [F.desc("created_at")] if "created_at" in issues.columns else []
+    top = issues.withColumn("rank", order).orderBy("rank", *newest, "fingerprint").limit(limit)  # limit before the joins
     a = items.select(F.col("id").alias("content_item_id"), "book_code", "chapter", "verse", "content_type", "current_text")
     b = items.select(F.col("id").alias("paired_content_item_id"), F.col("current_text").alias("paired_text"))
     return top.join(a, "content_item_id", "left").join(b, "paired_content_item_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,3 +77,25 @@ def publication_gate(items: DataFrame, conflicts: DataFrame, issues: DataFrame)
 def listed_rules(rules: DataFrame, *ties: str) -> DataFrame:
     """Editorial rules or glossary terms, approved ones first."""
     return rules.orderBy((F.col("status") == "approved").desc(), F.desc("evidence_count"), *ties).limit(500)
+
+
+def newest_first(rows: DataFrame, at: str, *ties: str) -> DataFrame:
+    """Files or projects, the last one first."""
+    return rows.orderBy(F.desc(at), *ties)
+
+
+def project_stats(items: DataFrame, books: DataFrame, files: DataFrame, issues: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """section, name, n of one project: totals, items by type, items and chapters by book, bytes by file, open issues by severity, pending conflicts."""
+    row = lambda section, name, n: [F.lit(section).alias("section"), name.alias("name"), n.cast("long").alias("n")]
+    unpivot = lambda df, section, names: df.select(F.explode(F.array(*[F.struct(*row(section, F.lit(c), F.coalesce(F.col(c), F.lit(0)))) for c in names])).alias("r")).select("r.*")
+    of_books = book_summary(books, items)
+    parts = [
+        unpivot(totals(items), "totals", ["items", "protected", "approved"]),
+        items.groupBy("content_type").agg(F.count("*").alias("n")).select(*row("type", F.col("content_type"), F.col("n"))),
+        of_books.select(*row("book items", F.col("book_code"), F.col("item_count"))),
+        of_books.select(*row("book chapters", F.col("book_code"), F.col("chapter_count"))),
+        files.select(*row("file", F.col("filename"), F.col("byte_size"))),
+        issues.filter("status = 'open'").groupBy("severity").agg(F.count("*").alias("n")).select(*row("open issues", F.col("severity"), F.col("n"))),
+        conflicts.agg(F.count_if(F.col("status") == "pending").alias("n")).select(*row("conflicts", F.lit("pending"), F.col("n"))),
+    ]
+    return reduce(DataFrame.union, parts)

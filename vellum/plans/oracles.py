@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from vellum import dims
-from vellum.plans.shared_sql import DOCUMENTS, EXISTING, INCOMING, ITEMS
+from vellum.operators.importing import REASONS
+from vellum.operators.quality import MESSAGES
+from vellum.plans.shared_sql import DOCUMENTS, EXISTING, EXISTING_MORE, FILE_NAMES, INCOMING, INCOMING_MORE, ITEMS
 
 _W = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _ZW = r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]"
@@ -39,40 +41,56 @@ def _fp(*parts: str) -> str:
     return "sha256(concat_ws('|', " + ", ".join([f"'{dims.ENGINE}'", *parts]) + "))"
 
 
-def _issue(source: str, where: str, category: str, severity: str, confidence: float, *parts: str, item: str = "id", paired: str = "CAST(NULL AS VARCHAR)") -> str:
-    return f"SELECT {item} AS content_item_id, {paired} AS paired_content_item_id, '{category}' AS category, '{severity}' AS severity, CAST({confidence} AS DOUBLE) AS confidence, {_fp(*parts)} AS fingerprint FROM {source} WHERE {where}"
+def _told(template: str, *values: str) -> str:
+    said = "'" + template.replace("'", "''") + "'"
+    for k, v in enumerate(values):
+        said = f"replace({said}, '{{{k}}}', {v})"
+    return said
+
+
+def _issue(source: str, where: str, category: str, severity: str, confidence: float, *parts: str, item: str = "id", paired: str = "CAST(NULL AS VARCHAR)", message: str = "", **evidence: str) -> str:
+    shown = "CAST(json_object(" + ", ".join(f"'{k}', {v}" for k, v in evidence.items()) + ") AS VARCHAR)"
+    return f"""SELECT {item} AS content_item_id, {paired} AS paired_content_item_id, '{category}' AS category, '{severity}' AS severity, CAST({confidence} AS DOUBLE) AS confidence, {_fp(*parts)} AS fingerprint,
+        {message or _told(MESSAGES[category])} AS message, {shown} AS evidence FROM {source} WHERE {where}"""
 
 
 def _issues_cte() -> str:
     counts = lambda m: (f"len(regexp_extract_all(raw_text, '\\\\{m}(?:{_W}|\\+|$)'))", f"len(regexp_extract_all(raw_text, '\\\\{m}\\*'))")
     (fa, fb), (xa, xb) = counts("f"), counts("x")
-    both = "sid IS NOT NULL AND tid IS NOT NULL"
+    both, at = "sid IS NOT NULL AND tid IS NOT NULL", {"sourceLocator": "source_locator"}
+    side = "CASE WHEN sid IS NOT NULL THEN 'source_only' ELSE 'target_only' END"
     union = "\n      UNION ALL ".join(
         [
-            _issue("items", r"regexp_matches(current_text, '[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]')", "unicode_zero_width", "medium", 1.0, "'zero_width'", "id"),
-            _issue("items", "contains(current_text, '�')", "unicode_replacement_character", "high", 1.0, "'replacement'", "id"),
-            _issue("items", r"regexp_matches(current_text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')", "invalid_control_character", "high", 1.0, "'control'", "id"),
-            _issue("items", "nfc_normalize(current_text) <> current_text", "unicode_normalization", "low", 1.0, "'nfc'", "id"),
-            _issue("items", rf"regexp_matches(raw_text, '\\{_W}+[A-Za-z][A-Za-z0-9]*|\\[A-Za-z][A-Za-z0-9]*{_W}+\*')", "usfm_marker_spacing", "high", 0.99, "'marker_spacing'", "id"),
-            _issue("items", f"{fa} <> {fb}", "usfm_marker_balance", "high", 1.0, "'marker_balance'", "'f'", "id", fa, fb),
-            _issue("items", f"{xa} <> {xb}", "usfm_marker_balance", "high", 1.0, "'marker_balance'", "'x'", "id", xa, xb),
-            _issue("items JOIN books USING (book_code)", "chapter < 1 OR chapter > max_chapter", "invalid_chapter_anchor", "critical", 1.0, "'chapter_range'", "id"),
-            _issue("pairs", f"{both} AND list_sort(sn) <> list_sort(tn)", "number_mismatch", "high", 0.98, "'numbers'", "key", "array_to_string(sn, ',')", "array_to_string(tn, ',')", item="tid", paired="sid"),
-            _issue("pairs", f"{both} AND stype IN {_in(dims.TRANSLATED_TYPES)} AND {_trim('stext')} <> '' AND {_trim('ttext')} = ''", "empty_target_content", "high", 1.0, "'empty_target'", "key", item="tid", paired="sid"),
-            _issue("pairs", f"{both} AND stype <> 'scripture' AND ttype <> 'scripture' AND srole = trole AND srole NOT IN ('source_scripture', 'target_scripture') AND sm <> tm", "usfm_marker_sequence_mismatch", "medium", 0.98, "'marker_seq'", "key", "array_to_string(sm, ',')", "array_to_string(tm, ',')", item="tid", paired="sid"),
-            _issue("pairs", "(sid IS NULL OR tid IS NULL) AND coalesce(stype, ttype) = 'scripture'", "versification_difference", "info", 1.0, "'versification'", "key", "CASE WHEN sid IS NOT NULL THEN 'source_only' ELSE 'target_only' END", item="coalesce(tid, sid)"),
-            _issue("dups", "n > 1", "duplicate_canonical_record", "high", 1.0, "'duplicate_match'", "key", "ids", item="first_id"),
+            _issue("items", r"regexp_matches(current_text, '[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]')", "unicode_zero_width", "medium", 1.0, "'zero_width'", "id", **at,
+                   characters=r"list_transform(regexp_extract_all(current_text, '[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]'), lambda x: concat('U+', to_hex(unicode(x))))"),
+            _issue("items", "contains(current_text, '�')", "unicode_replacement_character", "high", 1.0, "'replacement'", "id", **at),
+            _issue("items", r"regexp_matches(current_text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')", "invalid_control_character", "high", 1.0, "'control'", "id", **at),
+            _issue("items", "nfc_normalize(current_text) <> current_text", "unicode_normalization", "low", 1.0, "'nfc'", "id", **at),
+            _issue("items", rf"regexp_matches(raw_text, '\\{_W}+[A-Za-z][A-Za-z0-9]*|\\[A-Za-z][A-Za-z0-9]*{_W}+\*')", "usfm_marker_spacing", "high", 0.99, "'marker_spacing'", "id", **at, rawText="raw_text"),
+            _issue("items", f"{fa} <> {fb}", "usfm_marker_balance", "high", 1.0, "'marker_balance'", "'f'", "id", fa, fb, message=_told(MESSAGES["usfm_marker_balance"], "'f'"), **at, startCount=fa, endCount=fb, rawText="raw_text"),
+            _issue("items", f"{xa} <> {xb}", "usfm_marker_balance", "high", 1.0, "'marker_balance'", "'x'", "id", xa, xb, message=_told(MESSAGES["usfm_marker_balance"], "'x'"), **at, startCount=xa, endCount=xb, rawText="raw_text"),
+            _issue("items JOIN books USING (book_code)", "chapter < 1 OR chapter > max_chapter", "invalid_chapter_anchor", "critical", 1.0, "'chapter_range'", "id",
+                   message=_told(MESSAGES["invalid_chapter_anchor"], "CAST(chapter AS VARCHAR)", "book_code", "CAST(max_chapter AS VARCHAR)"), bookCode="book_code", chapter="chapter", maxChapter="max_chapter"),
+            _issue("pairs", f"{both} AND list_sort(sn) <> list_sort(tn)", "number_mismatch", "high", 0.98, "'numbers'", "key", "array_to_string(sn, ',')", "array_to_string(tn, ',')", item="tid", paired="sid",
+                   sourceNumbers="sn", targetNumbers="tn", sourceText="stext", targetText="ttext", protectedScripture="ttype = 'scripture'"),
+            _issue("pairs", f"{both} AND stype IN {_in(dims.TRANSLATED_TYPES)} AND {_trim('stext')} <> '' AND {_trim('ttext')} = ''", "empty_target_content", "high", 1.0, "'empty_target'", "key", item="tid", paired="sid",
+                   sourceText="stext", sourceLocator="sat", targetLocator="tat"),
+            _issue("pairs", f"{both} AND stype <> 'scripture' AND ttype <> 'scripture' AND srole = trole AND srole NOT IN ('source_scripture', 'target_scripture') AND sm <> tm", "usfm_marker_sequence_mismatch", "medium", 0.98,
+                   "'marker_seq'", "key", "array_to_string(sm, ',')", "array_to_string(tm, ',')", item="tid", paired="sid", sourceMarkers="sm", targetMarkers="tm", sourceRaw="sraw", targetRaw="traw"),
+            _issue("pairs", "(sid IS NULL OR tid IS NULL) AND coalesce(stype, ttype) = 'scripture'", "versification_difference", "info", 1.0, "'versification'", "key", side, item="coalesce(tid, sid)",
+                   message=f"CASE WHEN sid IS NOT NULL THEN {_told(MESSAGES['source_only'])} ELSE {_told(MESSAGES['target_only'])} END", semanticKey="key", side=side, book="book", chapter="chapter", verse="verse"),
+            _issue("dups", "n > 1", "duplicate_canonical_record", "high", 1.0, "'duplicate_match'", "key", "ids", item="first_id", matchIdentity="key", recordIds="ordered", resourceRoles="roles"),
         ]
     )
     return f"""items AS ({ITEMS}), books(book_code, max_chapter) AS (VALUES {_values(dims.CHAPTERS.items())}),
     src AS (SELECT * FROM items WHERE language_role = 'source'), tgt AS (SELECT * FROM items WHERE language_role = 'target'),
     pairs AS (
-      SELECT coalesce(s.semantic_key, t.semantic_key) AS key, s.id AS sid, t.id AS tid, s.content_type AS stype, t.content_type AS ttype, s.resource_role AS srole, t.resource_role AS trole,
-             s.current_text AS stext, t.current_text AS ttext, {_numbers("s.current_text")} AS sn, {_numbers("t.current_text")} AS tn, {_markers("s.raw_text")} AS sm, {_markers("t.raw_text")} AS tm
+      SELECT coalesce(s.semantic_key, t.semantic_key) AS key, s.id AS sid, t.id AS tid, s.content_type AS stype, t.content_type AS ttype, s.resource_role AS srole, t.resource_role AS trole, s.raw_text AS sraw, t.raw_text AS traw,
+             s.source_locator AS sat, t.source_locator AS tat, coalesce(s.book_code, t.book_code) AS book, coalesce(s.chapter, t.chapter) AS chapter, coalesce(s.verse, t.verse) AS verse, s.current_text AS stext, t.current_text AS ttext, {_numbers("s.current_text")} AS sn, {_numbers("t.current_text")} AS tn, {_markers("s.raw_text")} AS sm, {_markers("t.raw_text")} AS tm
       FROM src s FULL JOIN tgt t ON s.semantic_key = t.semantic_key),
     dups AS (
       SELECT concat_ws('|', resource_role, language_code, match_key) AS key, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids,
-             first(id ORDER BY book_code, chapter, sequence_no, id) AS first_id
+             first(id ORDER BY book_code, chapter, sequence_no, id) AS first_id, list(id ORDER BY book_code, chapter, sequence_no, id) AS ordered, list(resource_role ORDER BY book_code, chapter, sequence_no, id) AS roles
       FROM items GROUP BY 1),
     issues AS ({union})"""
 
@@ -90,8 +108,8 @@ def _classified(within: bool) -> str:
         else ", anchored AS (SELECT * FROM held)"
     )
     return f"""authority(content_type, resource_role, priority) AS (VALUES {_values(dims.AUTHORITY)}),
-    stored AS (SELECT *, sha256({_norm("current_text")}) AS content_hash FROM ({EXISTING})),
-    incoming AS (SELECT *, sha256({_norm("current_text")}) AS content_hash FROM ({INCOMING})),
+    stored AS (SELECT *, {EXISTING_MORE}, sha256({_norm("current_text")}) AS content_hash FROM ({EXISTING})),
+    incoming AS (SELECT *, {INCOMING_MORE}, sha256({_norm("current_text")}) AS content_hash FROM ({INCOMING})),
     same AS (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY logical_key ORDER BY id) = 1),
     newest AS (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY match_key, language_code ORDER BY created_at DESC, id DESC) = 1),
     probed AS (
@@ -113,13 +131,25 @@ def _classified(within: bool) -> str:
       SELECT a.*, CASE WHEN anchor_id IS NULL THEN 'new' WHEN anchor_hash = content_hash THEN 'identical' ELSE 'conflict' END AS status, coalesce(o.priority, 0) AS old_p, coalesce(w.priority, 0) AS new_p
       FROM anchored a LEFT JOIN authority o ON o.content_type = a.content_type AND o.resource_role = a.old_role LEFT JOIN authority w ON w.content_type = a.content_type AND w.resource_role = a.resource_role),
     classified AS (
-      SELECT id, logical_key, content_type, resource_role, status, cross_role, anchor_id, old_role, current_text, raw_text,
+      SELECT id, logical_key, match_key, sequence_no, created_at, file_id, resource_id, source_locator, content_type, resource_role, status, cross_role, anchor_id, old_role, current_text, raw_text, old_protection = 'protected_scripture' AS protected,
+             CASE WHEN status <> 'conflict' THEN NULL
+                  WHEN old_protection = 'protected_scripture' OR content_type IN ('scripture', 'scripture_fragment') THEN {_told(REASONS["scripture"])}
+                  WHEN new_p > old_p THEN {_told(REASONS["use_incoming"], "resource_role", "CAST(new_p AS VARCHAR)", "CAST(old_p AS VARCHAR)")}
+                  WHEN new_p < old_p THEN {_told(REASONS["keep_existing"], "old_role", "CAST(old_p AS VARCHAR)", "CAST(new_p AS VARCHAR)")} ELSE {_told(REASONS["manual_review"])} END AS reason,
              CASE WHEN status <> 'conflict' THEN NULL
                   WHEN old_protection = 'protected_scripture' OR content_type IN ('scripture', 'scripture_fragment') THEN 'manual_review'
                   WHEN new_p > old_p THEN 'use_incoming' WHEN new_p < old_p THEN 'keep_existing' ELSE 'manual_review' END AS recommendation
       FROM ranked)"""
 
 
+_DECIDED = """decided AS (
+              SELECT sha256(concat(c.id, '|', anchor_id)) AS conflict_id, anchor_id, c.resource_id, c.source_locator, CASE WHEN recommendation = 'manual_review' THEN concat('merged ', c.id) ELSE c.current_text END AS new_text
+              FROM classified c JOIN stored s ON s.id = anchor_id
+              WHERE status = 'conflict' AND recommendation <> 'keep_existing' AND c.content_type <> 'figure' AND (s.protection_level <> 'protected_scripture' OR length(c.current_text) % 2 = 0)),
+            last AS (SELECT * FROM decided QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY conflict_id DESC) = 1)"""
+
+_FILES = """files AS (SELECT concat('f', i) AS file_id, concat('b', i % 3) AS batch_id, concat('file ', i) AS filename, CASE WHEN i % 4 < 3 THEN 'en' END AS language_code, 'notes' AS resource_role FROM range(8) t(i))"""
+
 _CANON = {"semanticKey": "semantic_key", "matchKey": "match_key", "bookCode": "book_code", "chapter": "CAST(chapter AS VARCHAR)", "verse": "verse", "contentType": "content_type", "marker": "marker",
           "sequenceNo": "CAST(sequence_no AS VARCHAR)", "languageCode": "language_code", "languageRole": "language_role", "protectionLevel": "protection_level", "reviewStatus": "review_status",
           "currentText": "current_text", "rawText": "raw_text", "sourceLocator": "source_locator", "resourceRole": "resource_role"}
@@ -133,6 +163,7 @@ def all_sql() -> dict[str, str]:
     issues, docs = _issues_cte(), f"docs AS ({DOCUMENTS})"
     issue_columns = "content_item_id, paired_content_item_id, category, severity, confidence, fingerprint"
     protected = "CAST(sum(CASE WHEN protection_level = 'protected_scripture' THEN 1 ELSE 0 END) AS BIGINT)"
+    age, nth = "CAST(concat('0x', substr(fingerprint, 1, 6)) AS INTEGER)", "CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER)"
     severity_rank = "CASE severity " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(dims.SEVERITIES, 1)) + " END"
     rules = {name: f"WITH {issues} SELECT {issue_columns} FROM issues WHERE category IN {_in(found)}" for name, found in _categories().items()}
     csv = {"semanticKey": "id", "matchKey": "id", "bookCode": "coalesce(book_code, '')", "chapter": "coalesce(CAST(chapter AS VARCHAR), '')", "contentType": "content_type", "sequenceNo": "CAST(sequence_no AS VARCHAR)",
@@ -174,11 +205,7 @@ def all_sql() -> dict[str, str]:
             count(*) FILTER (recommendation = 'manual_review') AS manual_review FROM classified""",
         "conflict_list": f"""WITH {_classified(True)} SELECT sha256(concat(c.id, '|', anchor_id)) AS conflict_id, c.id AS incoming_id, anchor_id, c.resource_role AS incoming_role, old_role AS existing_role, recommendation,
             CASE recommendation WHEN 'use_incoming' THEN 1 WHEN 'manual_review' THEN 2 ELSE 3 END AS rank, sha256(s.current_text) AS existing_hash FROM classified c JOIN stored s ON s.id = anchor_id WHERE status = 'conflict'""",
-        "resolve_next_state": f"""WITH {_classified(True)}, decided AS (
-              SELECT sha256(concat(c.id, '|', anchor_id)) AS conflict_id, anchor_id, CASE WHEN recommendation = 'manual_review' THEN concat('merged ', c.id) ELSE c.current_text END AS new_text
-              FROM classified c JOIN stored s ON s.id = anchor_id
-              WHERE status = 'conflict' AND recommendation <> 'keep_existing' AND c.content_type <> 'figure' AND (s.protection_level <> 'protected_scripture' OR length(c.current_text) % 2 = 0)),
-            last AS (SELECT * FROM decided QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY conflict_id DESC) = 1)
+        "resolve_next_state": f"""WITH {_classified(True)}, {_DECIDED}
             SELECT s.id, CASE WHEN l.anchor_id IS NULL THEN s.review_status ELSE 'needs_review' END AS review_status, sha256(coalesce(l.new_text, s.current_text)) AS text_hash FROM stored s LEFT JOIN last l ON l.anchor_id = s.id""",
         "usfm_items": """WITH c AS (SELECT CAST(i AS INTEGER) AS chapter FROM range(1, 51) t(i)), v AS (SELECT chapter, CAST(j AS INTEGER) AS verse FROM c, range(1, 101) t(j)),
             rows AS (
@@ -191,16 +218,69 @@ def all_sql() -> dict[str, str]:
             SELECT page_id, {_unescape('t')} AS title, {_unescape('hs')} AS headings FROM h""",
         "canonical_export": f"WITH items AS ({ITEMS}) SELECT " + ", ".join(f"coalesce({_CANON[h]}, '') AS \"{h}\"" if h in _CANON else f"'' AS \"{h}\"" for h in dims.HEADERS) + " FROM items",
         "csv_export": f"WITH {docs} SELECT concat_ws(',', " + ", ".join(_cell(csv[h]) if h in csv else "''" for h in dims.HEADERS) + ") AS line FROM docs",
-        "bilingual_export": f"""WITH items AS (SELECT * FROM ({ITEMS}) WHERE book_code = 'MRK'),
-            g AS (SELECT semantic_key AS key, min(sequence_no) AS seq, max(CASE WHEN language_role = 'source' THEN id END) AS sid, max(CASE WHEN language_role = 'target' THEN id END) AS tid FROM items GROUP BY 1)
-            SELECT CAST(row_number() OVER (ORDER BY seq, key) AS INTEGER) AS no, key, concat('\\', coalesce(s.marker, t.marker)) AS tags, CAST(coalesce(s.chapter, t.chapter) AS VARCHAR) AS chapter, coalesce(s.verse, t.verse) AS verse, '' AS sub_tags,
-              coalesce(s.content_type, t.content_type) AS content_type, coalesce(s.protection_level, t.protection_level) AS protection, coalesce(s.current_text, '') AS english, coalesce(t.current_text, '') AS translation
-            FROM g LEFT JOIN items s ON s.id = sid LEFT JOIN items t ON t.id = tid""",
-        "bilingual_export_all": f"""WITH items AS ({ITEMS}),
+        "bilingual_export": f"""WITH items AS ({ITEMS}),
             g AS (SELECT semantic_key AS key, min(sequence_no) AS seq, max(CASE WHEN language_role = 'source' THEN id END) AS sid, max(CASE WHEN language_role = 'target' THEN id END) AS tid FROM items GROUP BY 1)
             SELECT CAST(row_number() OVER (ORDER BY seq, key) AS INTEGER) AS no, key, concat('\\', coalesce(s.marker, t.marker)) AS tags, CAST(coalesce(s.chapter, t.chapter) AS VARCHAR) AS chapter, coalesce(s.verse, t.verse) AS verse, '' AS sub_tags,
               coalesce(s.content_type, t.content_type) AS content_type, coalesce(s.protection_level, t.protection_level) AS protection, coalesce(s.current_text, '') AS english, coalesce(t.current_text, '') AS translation
             FROM g LEFT JOIN items s ON s.id = sid LEFT JOIN items t ON t.id = tid""",
+        "qa_details": f"WITH {issues} SELECT fingerprint, message, evidence, CAST(NULL AS VARCHAR) AS suggested_text FROM issues",
+        "qa_result": f"""WITH {issues}, levels(severity) AS (VALUES {_values((s,) for s in dims.SEVERITIES)}), open_ AS (SELECT * FROM issues WHERE severity <> 'info')
+            SELECT 'total' AS section, 'created' AS name, count(*) AS n FROM issues UNION ALL SELECT 'total', 'open', count(*) FROM open_
+            UNION ALL SELECT 'severity', severity, count(fingerprint) FROM levels LEFT JOIN open_ USING (severity) GROUP BY severity UNION ALL SELECT 'category', category, count(*) FROM open_ GROUP BY category""",
+        "issue_page": f"""WITH {issues}, top AS (SELECT *, CAST({severity_rank} AS BIGINT) AS rank, {age} AS created_at FROM issues WHERE severity = 'high' ORDER BY rank, created_at DESC, fingerprint LIMIT 100)
+            SELECT fingerprint, rank, category, top.created_at, a.book_code, a.verse FROM top LEFT JOIN items a ON a.id = content_item_id""",
+        "conflict_reasons": f"WITH {_classified(True)} SELECT id, recommendation, reason, protected FROM classified WHERE status = 'conflict'",
+        "preview_languages": f"""WITH {_classified(False)}, known(language_role) AS (VALUES ('source'), ('target'), ('auxiliary'), ('unassigned'))
+            SELECT k.language_role, count(i.id) AS n FROM known k LEFT JOIN incoming i ON coalesce(i.language_role, 'unassigned') = k.language_role GROUP BY 1""",
+        "preview_examples": f"""WITH {_classified(False)} SELECT id, match_key, content_type, old_role AS existing_role, resource_role AS incoming_role, recommendation, reason, protected AS protected_scripture
+            FROM classified WHERE status = 'conflict' ORDER BY sequence_no, id LIMIT 8""",
+        "commit_books": f"WITH {_classified(True)} SELECT DISTINCT book_code FROM incoming WHERE book_code <> 'GEN'",
+        "commit_resources": f"""WITH {_classified(True)}, {_FILES} SELECT f.file_id, f.resource_role, CASE WHEN NOT coalesce(bool_or(i.language_role = 'source') AND bool_or(i.language_role = 'target'), false) THEN f.language_code END AS language_code,
+            CASE WHEN count(DISTINCT i.book_code) = 1 THEN min(i.book_code) END AS book_code, f.filename AS title FROM files f LEFT JOIN incoming i ON i.file_id = f.file_id GROUP BY f.file_id, f.resource_role, f.language_code, f.filename""",
+        "commit_batches": f"""WITH {_classified(True)}, {_FILES} SELECT f.batch_id, count(*) FILTER (c.status = 'new') AS inserted, count(*) FILTER (c.status = 'identical') AS skipped, count(*) FILTER (c.status = 'conflict') AS changed,
+            count(*) FILTER (c.cross_role) AS overlaps, 'committed' AS status FROM files f LEFT JOIN classified c ON c.file_id = f.file_id GROUP BY 1""",
+        "conflict_center": f"""WITH {_classified(True)}, {_FILES} SELECT sha256(concat(c.id, '|', anchor_id)) AS conflict_id, CASE recommendation WHEN 'use_incoming' THEN 1 WHEN 'manual_review' THEN 2 ELSE 3 END AS rank, c.created_at,
+            n.n_name AS existing_resource, f.filename AS incoming_filename, s.marker AS existing_marker, s.review_status, s.book_code, s.chapter, sha256(s.raw_text) AS existing_raw_hash, reason
+            FROM classified c JOIN stored s ON s.id = anchor_id LEFT JOIN nation n ON concat('n', n.n_nationkey) = s.resource_id LEFT JOIN files f ON f.file_id = c.file_id WHERE c.status = 'conflict'""",
+        "conflict_rollup": f"WITH {_classified(True)} SELECT resource_role AS incoming_role, recommendation, count(*) AS n FROM classified WHERE status = 'conflict' GROUP BY 1, 2",
+        "resolve_places": f"""WITH {_classified(True)}, {_DECIDED} SELECT s.id, coalesce(l.resource_id, s.resource_id) AS resource_id, coalesce(l.source_locator, s.source_locator) AS source_locator FROM stored s LEFT JOIN last l ON l.anchor_id = s.id""",
+        "resolve_conflicts": f"""WITH {_classified(True)} SELECT sha256(concat(c.id, '|', anchor_id)) AS conflict_id, CASE WHEN taken THEN action ELSE 'pending' END AS status, CASE WHEN taken AND content_type <> 'figure' THEN 'checked' END AS resolution_reason,
+            CASE WHEN taken THEN concat('editor ', c.id) END AS resolved_by, CASE WHEN taken THEN created_at END AS resolved_at
+            FROM (SELECT c.*, CASE WHEN recommendation = 'manual_review' THEN 'manual_merge' ELSE recommendation END AS action, s.id IS NOT NULL AND
+                    (recommendation = 'keep_existing' OR (c.content_type <> 'figure' AND (s.protection_level <> 'protected_scripture' OR length(c.current_text) % 2 = 0))) AS taken
+                  FROM classified c LEFT JOIN stored s ON s.id = anchor_id WHERE c.status = 'conflict') AS c""",
+        "authority_rules": f"SELECT * FROM (VALUES {_values(dims.AUTHORITY)}) AS r(content_type, resource_role, priority)",
+        "role_guess": f"""SELECT s_suppkey, CASE WHEN regexp_matches(n, 'cross|reference') THEN 'cross_references' WHEN regexp_matches(n, 'foot') THEN 'footnotes' WHEN regexp_matches(n, 'intro|back matter|glossary') THEN 'introductions'
+            WHEN regexp_matches(n, 'map|chart') THEN 'maps_charts' WHEN regexp_matches(n, 'study|sub-?heading') THEN 'study_notes' WHEN contains(n, 'gsb') AND regexp_matches(n, '[.](sfm|usfm)$') THEN 'source_scripture'
+            WHEN regexp_matches(n, 'irv|tam') AND regexp_matches(n, '[.](sfm|usfm)$') THEN 'target_scripture' ELSE 'other' END AS role FROM (SELECT s_suppkey, lower(filename) AS n FROM ({FILE_NAMES}) AS f) AS g""",
+        "project_stats": f"""WITH {docs}, {issues}, {_classified(True)}, b AS (SELECT concat('B', CAST(i AS VARCHAR)) AS book_code FROM range(12) t(i))
+            SELECT 'totals' AS section, 'items' AS name, count(*) AS n FROM docs UNION ALL SELECT 'totals', 'protected', count(*) FROM docs WHERE protection_level = 'protected_scripture'
+            UNION ALL SELECT 'totals', 'approved', count(*) FROM docs WHERE review_status = 'approved' UNION ALL SELECT 'type', content_type, count(*) FROM docs GROUP BY 2
+            UNION ALL SELECT 'book items', b.book_code, count(d.id) FROM b LEFT JOIN docs d USING (book_code) GROUP BY 2 UNION ALL SELECT 'book chapters', b.book_code, count(DISTINCT d.chapter) FROM b LEFT JOIN docs d USING (book_code) GROUP BY 2
+            UNION ALL SELECT 'file', filename, s_suppkey FROM ({FILE_NAMES}) AS f UNION ALL SELECT 'open issues', severity, count(*) FROM issues WHERE severity <> 'info' GROUP BY 2
+            UNION ALL SELECT 'conflicts', 'pending', count(*) FROM classified WHERE status = 'conflict'""",
+        "export_rows": f"""WITH items AS ({ITEMS}) SELECT id, book_code, chapter, sequence_no, n_name AS resource_title FROM items JOIN nation ON n_nationkey = sequence_no % 25
+            WHERE language_code = 'ta' AND n_nationkey % 2 = 0 AND sequence_no % 10 <> 9""",
+        **{
+            f"{kind}_items": f"""SELECT p_brand AS file, 'MAT' AS book_code, p_size AS chapter, '1-2' AS verse, 'table_row' AS content_type, '\\s' AS marker, {nth} AS sequence_no, concat('P|', p_partkey) AS semantic_key, concat('P|', p_partkey) AS match_key,
+            concat('say "', p_name, '"', {delimiter}, chr(10), p_size) AS current_text, CAST(NULL AS VARCHAR) AS language_role, concat('row:', {nth} + 2) AS source_locator FROM part"""
+            for kind, delimiter in (("csv", "','"), ("tsv", "chr(9)"))
+        },
+        "json_items": f"""SELECT p_brand AS file, 'MRK' AS book_code, nullif(p_size, 0) AS chapter, CAST(NULL AS VARCHAR) AS verse, 'json_record' AS content_type, CAST(NULL AS VARCHAR) AS marker, {nth} AS sequence_no, concat('P|', p_partkey) AS semantic_key,
+            concat('P|', p_partkey) AS match_key, p_name AS current_text, 'source' AS language_role, concat('record:', {nth} + 1) AS source_locator FROM part""",
+        "docx_items": """SELECT 'book/MAT-notes.docx' AS file, 'MAT' AS book_code, CAST(n_regionkey + 1 AS INTEGER) AS chapter, '3' AS verse, 'footnote' AS content_type, '\\f' AS marker, CAST(n_nationkey * 2 + k AS INTEGER) AS sequence_no,
+            concat('N|', n_nationkey) AS semantic_key, concat('MAT|', n_regionkey + 1, '|3|footnote|', row_number() OVER (PARTITION BY n_regionkey, k ORDER BY n_nationkey) - 1) AS match_key,
+            concat(n_name, ' & <', role, '> "x"', chr(10), '2') AS current_text, role AS language_role, concat('table-row:', n_nationkey + 2) AS source_locator FROM nation, (VALUES (0, 'source'), (1, 'target')) AS r(k, role)""",
+        "noted_usfm_items": """WITH parts(sequence_no, chapter, verse, content_type, marker, tail, match_tail, source_locator, parent, warning) AS (VALUES
+              (0, NULL, NULL, 'book_id', 'id', 'book_id', 'book_id', 'line:1', NULL, NULL), (1, 1, NULL, 'chapter', 'c', '1|chapter', '1|chapter', 'line:2', NULL, NULL),
+              (2, 1, '1', 'scripture', 'v', '1|1|scripture', '1|1|scripture', 'line:3', NULL, NULL), (3, 1, '1', 'footnote', 'f', '1|1|footnote|f||0', '1|1|footnote|0', 'line:3:footnote', 'JON|1|1|scripture', NULL),
+              (4, 1, '2-3', 'scripture', 'v', '1|2-3|scripture', '1|2-3|scripture', 'line:4', NULL, NULL),
+              (5, 1, '2-3', 'cross_reference', 'x', '1|2-3|cross_reference|x||0', '1|2-3|cross_reference|0', 'line:4:crossref', 'JON|1|2-3|scripture', 'unclosed_cross_reference'),
+              (6, 1, '2-3', 'continuation', NULL, '1|2-3|continuation|||0', '1|2-3|continuation|0', 'line:5', NULL, NULL), (7, 1, '2-3', 'section_heading', 's1', '1|2-3|section_heading|s1||0', '1|2-3|section_heading|0', 'line:6', NULL, NULL)),
+            texts AS (SELECT p.*, n_nationkey, regexp_extract(n_name, '[0-9]+') AS d, CASE sequence_no WHEN 0 THEN n_name WHEN 1 THEN '1' WHEN 2 THEN 'Before after word' WHEN 3 THEN concat('+ note ', n_name) WHEN 4 THEN 'Open' WHEN 5 THEN '+ Gen 1:1'
+              WHEN 6 THEN concat('plain ', n_name) ELSE concat('Head ', chr(3047)) END AS current_text FROM nation, parts p)
+            SELECT concat('n', n_nationkey) AS file, 'JON' AS book_code, CAST(chapter AS INTEGER) AS chapter, verse, content_type, marker, CAST(sequence_no AS INTEGER) AS sequence_no, concat('JON|', tail) AS semantic_key, concat('JON|', match_tail) AS match_key,
+              current_text, source_locator, parent AS parent_semantic_key, warning, CASE WHEN sequence_no IN (0, 3, 6) THEN d WHEN sequence_no IN (1, 7) THEN '1' WHEN sequence_no = 5 THEN '1:1' ELSE '' END AS numbers FROM texts""",
         "publication_gate": f"""WITH {issues}, {_classified(True)}, a AS (SELECT count(*) AS items FROM items), b AS (SELECT count(*) AS pending_conflicts FROM classified WHERE status = 'conflict'),
             c AS (SELECT count(*) FILTER (severity <> 'info') AS open_issues, count(*) FILTER (severity = 'critical') AS critical_issues, count(*) FILTER (severity = 'high') AS high_issues FROM issues)
             SELECT *, items > 0 AND pending_conflicts = 0 AND open_issues = 0 AS ready FROM a, b, c""",

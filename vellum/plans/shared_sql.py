@@ -64,6 +64,18 @@ _OWN = "CASE k % 5 WHEN 0 THEN 'footnotes' WHEN 1 THEN 'cross_references' WHEN 2
 EXISTING = _IMPORT.format(role=f"CASE WHEN k % 3 = 0 THEN {_OWN} WHEN k % 3 = 1 THEN 'source_scripture' ELSE 'target_scripture' END", key="concat('S|', CAST(k AS STRING))", text="CASE WHEN k % 4 = 0 THEN 'same text' ELSE text END", docs=_DOCS.format(part="= 0"))
 INCOMING = _IMPORT.format(role=f"CASE WHEN doc_id % 4 = 1 OR k % 2 = 0 THEN {_OWN} ELSE 'source_scripture' END", key="CASE WHEN k % 7 = 0 THEN concat('T|', CAST(k AS STRING)) ELSE concat('S|', CAST(k AS STRING)) END", text="CASE WHEN k % 4 = 0 AND doc_id % 4 < 3 THEN ' same  text ' ELSE text END", docs=_DOCS.format(part="<> 0"))
 
+#: Further columns of the two sides: files, resources, places, roles.
+INCOMING_MORE = """concat('f', CAST(sequence_no % 7 AS STRING)) AS file_id, concat('r', CAST(sequence_no % 7 AS STRING)) AS resource_id, concat('row:', CAST(sequence_no AS STRING)) AS source_locator,
+  CASE WHEN sequence_no % 7 = 0 AND sequence_no % 2 = 0 THEN 'source' WHEN sequence_no % 7 = 0 THEN 'target' WHEN sequence_no % 7 = 1 THEN 'source' END AS language_role,
+  CASE WHEN sequence_no % 7 = 2 THEN 'MAT' WHEN sequence_no % 7 < 5 AND sequence_no % 2 = 0 THEN 'GEN' WHEN sequence_no % 7 < 5 THEN 'EXO' END AS book_code"""
+EXISTING_MORE = """concat('n', CAST(sequence_no % 25 AS STRING)) AS resource_id, CAST(NULL AS STRING) AS source_locator, CASE WHEN sequence_no % 3 = 0 THEN 'f' ELSE 's' END AS marker,
+  CASE WHEN sequence_no % 8 = 0 THEN 'MAT' ELSE 'GEN' END AS book_code, CAST(sequence_no % 28 AS INT) AS chapter, CAST(NULL AS STRING) AS verse"""
+
+#: File names of all kinds, one for each supplier.
+FILE_NAMES = """
+  SELECT s_suppkey, concat(s_name, ' ', CASE s_suppkey % 11 WHEN 0 THEN 'Reference-Notes.csv' WHEN 1 THEN 'My FOOTnotes.csv' WHEN 2 THEN 'back matter.docx' WHEN 3 THEN 'Glossary.tsv' WHEN 4 THEN 'Maps.json' WHEN 5 THEN 'sub-heading.csv'
+    WHEN 6 THEN 'GSB.sfm' WHEN 7 THEN 'gsb.csv' WHEN 8 THEN 'IRV.USFM' WHEN 9 THEN 'tam notes.usfm' ELSE 'plain note.usfm' END) AS filename FROM supplier"""
+
 #: Documents as single-language items, with decomposed letters and zero-width characters added.
 DOCUMENTS = """
   SELECT concat('d', CAST(doc_id AS STRING)) AS id, doc_id, lang AS language_code, source AS resource_role,

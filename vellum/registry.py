@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.operators import importing, pairing, quality, summaries
 from vellum.plans import oracles
-from vellum.plans.shared_sql import DOCUMENTS, EXISTING, INCOMING, ITEMS, view
+from vellum.plans.shared_sql import DOCUMENTS, EXISTING, EXISTING_MORE, FILE_NAMES, INCOMING, INCOMING_MORE, ITEMS, view
 from vellum.sinks import exchange
-from vellum.sources import markers
+from vellum.sources import files, markers, tables, word
 
 _QUERIES = {}
 
@@ -33,7 +33,8 @@ def _documents(spark, sf_dir):
 
 
 def _import_sides(spark, sf_dir):
-    return [view(spark, sf_dir, sql, "documents").withColumn("content_hash", T.content_hash(F.col("current_text"))) for sql in (INCOMING, EXISTING)]
+    sides = (INCOMING, INCOMING_MORE), (EXISTING, EXISTING_MORE)
+    return [view(spark, sf_dir, f"SELECT *, {more} FROM ({sql}) AS side", "documents").withColumn("content_hash", T.content_hash(F.col("current_text"))) for sql, more in sides]
 
 
 @query
@@ -112,9 +113,12 @@ def one_sided(spark, sf_dir):
     return pairing.one_sided(pairing.pivot(_items(spark, sf_dir), ["id"])).select("key", "side", F.coalesce("source.id", "target.id").alias("id"))
 
 
+ISSUE = quality.COLUMNS[:6]
+
+
 def _rule(make, *categories):
     def run(spark, sf_dir):
-        return make(_items(spark, sf_dir)).filter(F.col("category").isin(*categories))
+        return make(_items(spark, sf_dir)).filter(F.col("category").isin(*categories)).select(*ISSUE)
 
     return run
 
@@ -136,7 +140,32 @@ _QUERIES |= {name: _rule(make, *categories) for name, (make, categories) in RULE
 
 @query
 def qa_issues(spark, sf_dir):
-    return quality.findings(_items(spark, sf_dir))
+    return quality.findings(_items(spark, sf_dir)).select(*ISSUE)
+
+
+@query
+def qa_details(spark, sf_dir):
+    """What each finding says, and its evidence as JSON."""
+    return quality.findings(_items(spark, sf_dir)).select("fingerprint", "message", "evidence", "suggested_text")
+
+
+def _issues(spark, sf_dir):
+    """Findings as an issue table: those of severity info are accepted, the age is a rule on the fingerprint."""
+    status = F.when(F.col("severity") == "info", "accepted").otherwise("open")
+    return quality.findings(_items(spark, sf_dir)).withColumns({"status": status, "created_at": F.conv(F.substring("fingerprint", 1, 6), 16, 10).cast("int")})
+
+
+@query
+def qa_result(spark, sf_dir):
+    issues = _issues(spark, sf_dir)
+    return quality.result(issues, issues)
+
+
+@query
+def issue_page(spark, sf_dir):
+    """Open issues of one severity, the newest first."""
+    rows = quality.list_issues(_issues(spark, sf_dir), _items(spark, sf_dir), limit=100, severity="high", status="open")
+    return rows.select("fingerprint", "rank", "category", "created_at", "book_code", "verse")
 
 
 @query
@@ -163,7 +192,59 @@ def vocabulary_locale(spark, sf_dir):
 
 @query
 def import_classify(spark, sf_dir):
-    return importing.classify(*_import_sides(spark, sf_dir)).drop("content_type")
+    rows = importing.classify(*_import_sides(spark, sf_dir))
+    return rows.select("id", "logical_key", "resource_role", "status", "cross_role", "anchor_id", "old_role", "recommendation")
+
+
+@query
+def conflict_reasons(spark, sf_dir):
+    return importing.classify(*_import_sides(spark, sf_dir)).filter("status = 'conflict'").select("id", "recommendation", "reason", "protected")
+
+
+@query
+def preview_languages(spark, sf_dir):
+    return importing.language_breakdown(_import_sides(spark, sf_dir)[0])
+
+
+@query
+def preview_examples(spark, sf_dir):
+    """The eight conflicts that a preview shows."""
+    return importing.preview(*_import_sides(spark, sf_dir))[2]
+
+
+def _files(spark, sf_dir):
+    """Seven incoming files of three batches."""
+    return spark.sql("SELECT concat('f', id) AS file_id, concat('b', id % 3) AS batch_id, concat('file ', id) AS filename, CASE WHEN id % 4 < 3 THEN 'en' END AS language_code, 'notes' AS resource_role FROM range(8)")
+
+
+def _committed(spark, sf_dir):
+    books = spark.sql("SELECT 'GEN' AS book_code")
+    return importing.committed(_files(spark, sf_dir), *_import_sides(spark, sf_dir), books)
+
+
+@query
+def commit_books(spark, sf_dir):
+    return _committed(spark, sf_dir)["books"]
+
+
+@query
+def commit_resources(spark, sf_dir):
+    return _committed(spark, sf_dir)["resources"]
+
+
+@query
+def commit_batches(spark, sf_dir):
+    return _committed(spark, sf_dir)["batches"]
+
+
+@query
+def authority_rules(spark, sf_dir):
+    return importing.authority_rules(spark)
+
+
+@query
+def role_guess(spark, sf_dir):
+    return view(spark, sf_dir, FILE_NAMES, "supplier").select("s_suppkey", files.guess_role(F.col("filename")).alias("role"))
 
 
 @query
@@ -174,21 +255,122 @@ def import_summary(spark, sf_dir):
 @query
 def conflict_list(spark, sf_dir):
     incoming, existing = _import_sides(spark, sf_dir)
-    stored = existing.withColumns({"book_code": F.lit(None).cast("string"), "chapter": F.lit(None).cast("int"), "verse": F.lit(None).cast("string")})
-    rows = importing.list_conflicts(importing.commit(incoming, existing)[1], stored)
+    rows = importing.list_conflicts(importing.commit(incoming, existing)[1], existing)
     return rows.select("conflict_id", "incoming_id", "anchor_id", "incoming_role", "existing_role", "recommendation", "rank", F.sha2("existing_text", 256).alias("existing_hash"))
 
 
 @query
-def resolve_next_state(spark, sf_dir):
-    """Every conflict is decided by a rule on its recommendation; the items that follow."""
+def conflict_center(spark, sf_dir):
+    """Conflicts with the stored record, its resource and the incoming file."""
+    incoming, existing = _import_sides(spark, sf_dir)
+    resources = _table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("resource_id"), F.col("n_name").alias("title"))
+    rows = importing.list_conflicts(importing.commit(incoming, existing)[1], existing, resources=resources, files=_files(spark, sf_dir))
+    return rows.select("conflict_id", "rank", "created_at", "existing_resource", "incoming_filename", "existing_marker", "review_status", "book_code", "chapter", F.sha2("existing_raw_text", 256).alias("existing_raw_hash"), "reason")
+
+
+@query
+def conflict_rollup(spark, sf_dir):
+    return importing.conflict_rollup(importing.commit(*_import_sides(spark, sf_dir))[1])
+
+
+def _resolved(spark, sf_dir):
+    """Every conflict is decided by a rule on its recommendation."""
     incoming, existing = _import_sides(spark, sf_dir)
     conflicts = importing.commit(incoming, existing)[1]
     action = F.when(F.col("recommendation") == "manual_review", "manual_merge").otherwise(F.col("recommendation"))
-    decisions = conflicts.select("conflict_id", action.alias("action"), F.when(F.col("content_type") != "figure", F.lit("checked")).alias("reason"), F.concat(F.lit("merged "), "incoming_id").alias("merged_text"), (F.length("incoming_text") % 2 == 0).alias("confirm_protected"))
+    decisions = conflicts.select(
+        "conflict_id", action.alias("action"), F.when(F.col("content_type") != "figure", F.lit("checked")).alias("reason"), F.concat(F.lit("merged "), "incoming_id").alias("merged_text"),
+        (F.length("incoming_text") % 2 == 0).alias("confirm_protected"), F.concat(F.lit("editor "), "incoming_id").alias("actor"), F.col("created_at").alias("decided_at"),
+    )
     versions = spark.createDataFrame([], "content_item_id string, revision_no int, text string, change_type string, reason string")
-    items = importing.resolve(conflicts, existing, versions, decisions)[0]
-    return items.select("id", "review_status", F.sha2("current_text", 256).alias("text_hash"))
+    return importing.resolve(conflicts, existing, versions, decisions)
+
+
+@query
+def resolve_next_state(spark, sf_dir):
+    """The items that follow from all decisions."""
+    return _resolved(spark, sf_dir)[0].select("id", "review_status", F.sha2("current_text", 256).alias("text_hash"))
+
+
+@query
+def resolve_places(spark, sf_dir):
+    """The items' resources and places after all decisions."""
+    return _resolved(spark, sf_dir)[0].select("id", "resource_id", "source_locator")
+
+
+@query
+def resolve_conflicts(spark, sf_dir):
+    """The conflicts after all decisions."""
+    return _resolved(spark, sf_dir)[1].select("conflict_id", "status", "resolution_reason", "resolved_by", "resolved_at")
+
+
+@query
+def project_stats(spark, sf_dir):
+    books = spark.sql("SELECT concat('B', CAST(id AS STRING)) AS book_code FROM range(12)")
+    known = view(spark, sf_dir, FILE_NAMES, "supplier").select("filename", F.col("s_suppkey").alias("byte_size"))
+    return summaries.project_stats(_documents(spark, sf_dir), books, known, _issues(spark, sf_dir), importing.commit(*_import_sides(spark, sf_dir))[1])
+
+
+@query
+def export_rows(spark, sf_dir):
+    """Active items of one language and resource role, with the resource's title."""
+    items = _items(spark, sf_dir).withColumns({"resource_id": F.concat(F.lit("n"), F.col("sequence_no") % 25), "canonical_state": F.when(F.col("sequence_no") % 10 == 9, "retired").otherwise("active")})
+    resources = _table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("resource_id"), F.when(F.col("n_nationkey") % 2 == 0, "study_notes").otherwise("footnotes").alias("resource_role"), F.col("n_name").alias("title"))
+    rows = exchange.export_rows(items, resources, language_code="ta", resource_role="study_notes")
+    return rows.select("id", "book_code", "chapter", "sequence_no", "resource_title")
+
+
+#: Columns that the parser queries return.
+PARSED = ["file", "book_code", "chapter", "verse", "content_type", "marker", "sequence_no", "semantic_key", "match_key", "current_text", "language_role", "source_locator"]
+
+
+def _part_files(spark, sf_dir, delimiter):
+    """One delimited file for each brand: quotes, line feeds and delimiters inside cells, loose titles."""
+    cell = F.concat(F.lit('"say ""'), "p_name", F.lit(f'""{delimiter}\n'), "p_size", F.lit('"'))
+    line = F.concat_ws(delimiter, F.concat(F.lit("P|"), "p_partkey"), F.lit("MAT"), F.col("p_size").cast("string"), F.lit("1-2"), F.lit("\\s"), cell)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"])
+    titles = delimiter.join(["\ufeffsemantic_key", "Book", "Ch", "Vs", "Tags", "Translation"])
+    return _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("file")).agg(F.encode(F.concat(F.lit(titles + "\r\n"), F.array_join(lines, "\r\n")), "utf-8").alias("content"))
+
+
+@query
+def csv_items(spark, sf_dir):
+    return tables.parse_delimited(_part_files(spark, sf_dir, ",")).select(*PARSED)
+
+
+@query
+def tsv_items(spark, sf_dir):
+    return tables.parse_delimited(_part_files(spark, sf_dir, "\t"), "\t").select(*PARSED)
+
+
+@query
+def json_items(spark, sf_dir):
+    """One JSON file for each brand: bare arrays, and objects with items."""
+    one = F.struct("p_partkey", F.struct(F.concat(F.lit("P|"), "p_partkey").alias("semanticKey"), F.lit("MRK").alias("book"), F.col("p_size").alias("chapter"), F.col("p_name").alias("text"), F.lit("source").alias("languageRole")).alias("r"))
+    records = F.transform(F.array_sort(F.collect_list(one)), lambda x: x["r"])
+    grouped = _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("file")).agg(records.alias("items"))
+    text = F.when(F.crc32(F.col("file").cast("binary")) % 2 == 0, F.to_json("items")).otherwise(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), "items")))
+    return tables.parse_json(grouped.select("file", F.encode(text, "utf-8").alias("content"))).select(*PARSED)
+
+
+@query
+def docx_items(spark, sf_dir):
+    """A Word file with a bilingual row for each nation, written and read."""
+    nation = _table(spark, sf_dir, "nation")
+    sides = [
+        nation.selectExpr("concat('N|', n_nationkey) AS semantic_key", f"n_nationkey * 2 + {k} AS sequence_no", "n_regionkey + 1 AS chapter", "'3' AS verse", "'footnote' AS content_type", "'f' AS marker", f"'{role}' AS language_role", f"concat(n_name, ' & <{role}> \"x\"\n2') AS current_text")
+        for k, role in enumerate(("source", "target"))
+    ]
+    content = exchange.docx_bytes(sides[0].union(sides[1]))  # 25 nations
+    return word.parse_docx(spark.createDataFrame([("book/MAT-notes.docx", content)], "file string, content binary")).select(*PARSED)
+
+
+@query
+def noted_usfm_items(spark, sf_dir):
+    """Line-marker files with closed and open notes, attributes, native digits and plain lines, one for each nation."""
+    content = r"concat('\ufeff\\id JON ', n_name, '\r\n\\c 1\r\n\\v 1 Before \\f + \\ft note ', n_name, '\\f* after \\w word|x-a=\"1\"\\w*\n\\v 2-3 Open \\x + \\xt Gen 1:1\nplain ', n_name, '\n\\s1 Head \u0be7\n')"
+    text = _table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("file"), F.expr(content).alias("content"))
+    return markers.parse(text).select(*[c for c in PARSED if c != "language_role"], "parent_semantic_key", "warning", F.array_join(T.numbers(F.col("current_text")), ",").alias("numbers"))
 
 
 @query
@@ -226,21 +408,13 @@ def csv_export(spark, sf_dir):
 
 @query
 def bilingual_export(spark, sf_dir):
-    """Numbered bilingual rows of one book."""
-    return exchange.bilingual_table(_items(spark, sf_dir).filter("book_code = 'MRK'"))
-
-
-@query
-def bilingual_export_all(spark, sf_dir):
     """Numbered bilingual rows of all books."""
     return exchange.bilingual_table(_items(spark, sf_dir))
 
 
 @query
 def publication_gate(spark, sf_dir):
-    items = _items(spark, sf_dir)
-    issues = quality.findings(items).withColumn("status", F.when(F.col("severity") == "info", "accepted").otherwise("open"))
-    return summaries.publication_gate(items, importing.commit(*_import_sides(spark, sf_dir))[1], issues)
+    return summaries.publication_gate(_items(spark, sf_dir), importing.commit(*_import_sides(spark, sf_dir))[1], _issues(spark, sf_dir))
 
 
 def queries():

@@ -26,6 +26,21 @@ def canonical(items: DataFrame) -> DataFrame:
     return items.select(*map(value, HEADERS))
 
 
+def export_rows(items: DataFrame, resources: DataFrame | None = None, book_code: str | None = None, language_code: str | None = None, resource_role: str | None = None) -> DataFrame:
+    """Active items in book, chapter and sequence order, each filter only if given.
+
+    resources (resource_id, resource_role, title) takes the place of a role in the items.
+    """
+    rows = items.filter("canonical_state = 'active'") if "canonical_state" in items.columns else items
+    for name, value in (("book_code", book_code), ("language_code", language_code)):
+        rows = rows if value is None else rows.filter(F.col(name) == value)
+    if resources is not None:
+        named = resources.select("resource_id", "resource_role", F.col("title").alias("resource_title"))
+        rows = rows.drop("resource_role").join(named, "resource_id", "left")
+    rows = rows if resource_role is None else rows.filter(F.col("resource_role") == resource_role)
+    return rows.orderBy(F.asc_nulls_first("book_code"), F.asc_nulls_first("chapter"), "sequence_no")
+
+
 def delimited_lines(items: DataFrame, delimiter: str = ",") -> DataFrame:
     """line of each item; a cell is quoted only where it has to be."""
     special = '["\r\n' + ("\t" if delimiter == "\t" else delimiter) + "]"

@@ -36,7 +36,19 @@ def parse(files: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def guess_role(name: Column) -> Column:
+# The first pattern that a lower-case file name matches tells its resource role.
+ROLE_PATTERNS = (
+    ("cross|reference", "cross_references"),
+    ("foot", "footnotes"),
+    ("intro|back matter|glossary", "introductions"),
+    ("map|chart", "maps_charts"),
+    ("study|sub-heading|subheading", "study_notes"),
+    (r"gsb.*\.(sfm|usfm)$", "source_scripture"),
+    (r"(irv|tam).*\.(sfm|usfm)$", "target_scripture"),
+)
+
+
+def guess_role(name: Column, default: str = "other") -> Column:
     """The resource role that a file name suggests."""
-    n = F.lower(name)
-    return F.when(n.rlike("foot"), "footnotes").when(n.rlike("cross|xref"), "cross_references").when(n.rlike("intro"), "introductions").when(n.rlike("map|chart"), "maps_charts").when(n.rlike("note|study"), "study_notes")
+    first, *more = [F.when(F.lower(name).rlike(pattern), role) for pattern, role in ROLE_PATTERNS]
+    return F.coalesce(first, *more, F.lit(default))
