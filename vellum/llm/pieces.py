@@ -2,9 +2,11 @@
 
 No piece of the vocabulary holds a white-space marker after another character, and none mixes a
 line feed with anything, so a text falls into chunks (markers followed by a word, or line feeds)
-that no merge can cross.  Each distinct chunk is segmented once by the library itself; documents
-join the results back by position.  The table is bounded: rare long chunks are not kept, and a full
-table is emptied, so that memory does not follow the corpus.
+that no merge can cross.  A chunk is segmented by the library itself and its ids are kept in a table;
+documents join the results back by position.  The table is bounded and belongs to one Python worker:
+long chunks are not kept, and a full table is emptied, so that memory does not follow the corpus.
+Over a cluster a common chunk is therefore segmented a few times, not once, which costs less than a
+shuffle of all distinct chunks.
 
 Cases: null counts as empty; the empty text has no ids; U+2581 is the marker itself and decodes to
 a space, as in the library; lone special strings such as <s> are ordinary text.

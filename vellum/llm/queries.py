@@ -67,17 +67,50 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_jaccard_join": r"""
+            WITH RECURSIVE words AS (
+              SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
+            ), sets AS (
+              SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM words
+            ), each AS (SELECT r, len(s) AS n, unnest(s) AS shingle FROM sets),
+            links AS (
+              SELECT a.r AS a, b.r AS b, count(*) AS shared, any_value(a.n) AS n, any_value(b.n) AS m FROM each a JOIN each b ON a.shingle = b.shingle AND a.r <> b.r
+              GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9
+            ), reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+            roots AS (SELECT reach.a AS r, min(s.doc_id) AS root FROM reach JOIN sets s ON s.r = reach.b GROUP BY 1),
+            counts AS (SELECT a AS r, count(*) AS n_links, count(DISTINCT CASE WHEN shared < n OR shared < m THEN list_sort(s.s) END) AS n_text_links FROM links JOIN sets s ON s.r = links.b GROUP BY 1)
+            SELECT doc_id, least(doc_id, coalesce(root, doc_id)) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_text_links, 0) AS n_text_links, CAST(len(s) AS INTEGER) AS n_shingles
+            FROM sets LEFT JOIN roots USING (r) LEFT JOIN counts USING (r)""",
+        "op8_suffix_dedup": """
+            WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+            bases AS (SELECT r, h, unnest(range(0, greatest(length(h) // 2 - 199, 0), 256)) AS base FROM texts),
+            parts AS (SELECT r, base, substr(h, CAST(2 * base + 1 AS BIGINT), 910) AS part FROM bases),
+            starts AS (SELECT r, base, part, unnest(range(0, least(256, length(part) // 2 - 199))) AS k FROM parts),
+            strings AS (SELECT r, base + k AS i, md5(substr(part, CAST(2 * k + 1 AS BIGINT), 400)) AS s FROM starts),
+            repeated AS (SELECT r, i FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)),
+            marked AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS first FROM repeated),
+            numbered AS (SELECT r, i, sum(first) OVER (PARTITION BY r ORDER BY i) AS span FROM marked),
+            spans AS (SELECT r, span, min(i) AS lo, max(i) + 200 AS hi FROM numbered GROUP BY 1, 2),
+            gaps AS (
+              SELECT r, lo AS until, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since FROM spans
+              UNION ALL SELECT r, (SELECT length(h) // 2 FROM texts t WHERE t.r = s.r), max(hi) FROM spans s GROUP BY r
+            ), kept AS (SELECT r, string_agg(substr(h, CAST(2 * since + 1 AS BIGINT), CAST(2 * (until - since) AS BIGINT)), '' ORDER BY since) AS k FROM gaps JOIN texts USING (r) GROUP BY r),
+            sums AS (SELECT r, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+            SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+            FROM texts LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)""",
         "op5_topk_search": """
             WITH usable AS (
               SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
               FROM embeddings
               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-            ), scored AS (
-              SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+            ), asked AS (SELECT DISTINCT vec_id, v FROM usable WHERE vec_id % 50 = 0),
+            scored AS (
+              SELECT q.vec_id AS query_id, q.v AS asked, c.vec_id AS vec_id,
                      CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-              FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+              FROM asked q JOIN usable c ON q.vec_id <> c.vec_id
             ), ranked AS (
-              SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+              SELECT *, CAST(row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
             )
             SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     }
