@@ -18,7 +18,8 @@ def model_path(name: str = MODEL) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+    rows = line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_kept", "n_removed", F.concat_ws(",", F.col("kept").cast("array<string>")).alias("kept"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,25 @@ def queries():
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": """
+            WITH RECURSIVE split AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+            lines AS (SELECT doc_id, unnest(range(0, len(x))) AS nth, lower(trim(unnest(x), concat(' ', chr(9), chr(13)))) AS norm FROM split),
+            firsts AS (SELECT row_number() OVER (ORDER BY norm) AS id, norm, doc_id, nth FROM (SELECT * FROM lines WHERE norm <> '' QUALIFY row_number() OVER (PARTITION BY norm ORDER BY doc_id, nth) = 1)),
+            sets AS (SELECT id, CASE WHEN length(norm) < 5 THEN [norm] ELSE list_distinct(list_transform(range(1, length(norm) - 3), lambda i: substr(norm, i, 5))) END AS s FROM firsts),
+            each AS (SELECT id, len(s) AS n, unnest(s) AS g FROM sets),
+            rare AS (SELECT id, n, g, row_number() OVER (PARTITION BY id ORDER BY c, g) AS k FROM each JOIN (SELECT g, count(*) AS c FROM each GROUP BY g) USING (g)),
+            prefix AS (SELECT id, n, g FROM rare WHERE k <= n - ceil(0.8 * n) + 1),
+            pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.g = b.g AND a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n),
+            shared AS (SELECT a, b, len(x.s) + len(y.s) AS total, len(list_intersect(x.s, y.s)) AS m FROM pairs JOIN sets x ON x.id = a JOIN sets y ON y.id = b),
+            links AS (SELECT a, b FROM shared WHERE m >= 0.8 * (total - m) - 1e-9),
+            edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+            reach(a, b) AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+            roots AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
+            heads AS (SELECT doc_id, nth FROM firsts LEFT JOIN roots USING (id) QUALIFY row_number() OVER (PARTITION BY coalesce(root, id) ORDER BY doc_id, nth) = 1),
+            kept AS (SELECT doc_id, count(*) AS k, string_agg(CAST(nth AS VARCHAR), ',' ORDER BY nth) AS kept FROM heads GROUP BY 1),
+            counts AS (SELECT doc_id, count(*) FILTER (norm <> '') AS n FROM lines GROUP BY 1)
+            SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_lines, CAST(coalesce(k, 0) AS INTEGER) AS n_kept, CAST(coalesce(n, 0) - coalesce(k, 0) AS INTEGER) AS n_removed, coalesce(kept, '') AS kept
+            FROM documents LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
         "op2_jaccard_join": r"""
             WITH RECURSIVE words AS (
               SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
