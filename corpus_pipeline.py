@@ -10,12 +10,10 @@ no passage, and is encoded as the empty text.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm import decontamination, jaccard_join, line_dedup, pieces, toxicity
-from vellum.llm.common import shared_folder, table
+from vellum.llm.common import table, work_folder
 from vellum.llm.queries import model_path
 
 
@@ -57,9 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages on documents; intermediate tables lie in the shared checkpoint folder."""
+    """The result of all stages on documents; intermediate tables lie in the shared folder until Python ends."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = work_folder(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

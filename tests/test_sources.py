@@ -140,3 +140,30 @@ def test_row_types():
 def test_absent_rows(spark):
     new = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
     assert [r.k for r in exchange.append_absent(new, spark.createDataFrame([(2,)], "k int"), "k").collect()] == [1]
+
+
+def test_one_file_formats_are_bounded(spark, tmp_path, monkeypatch):
+    items = spark.createDataFrame(ITEMS, COLUMNS)
+    monkeypatch.setattr(exchange._bounded, "__defaults__", (2,))
+    for write in (lambda: exchange.json_envelope(items, "now"), lambda: exchange.docx_bytes(items)):
+        with pytest.raises(ValueError, match="more than 2 items"):
+            write()
+    book = spark.createDataFrame([("a", "\\id MAT\n\\c 1\n\\v 1 Text\n\\v 2 More")], "file string, content string").unionAll(spark.createDataFrame([("b", "\\id JON\n\\c 4")], "file string, content string"))
+    exchange.write_markers(markers.parse(book), str(tmp_path / "out"))
+    lines = {p.parent.name: p.read_text().split() for p in (tmp_path / "out").rglob("*.txt")}
+    assert lines == {"book_code=MAT": ["\\id", "MAT", "\\c", "1", "\\v", "1", "Text", "\\v", "2", "More"], "book_code=JON": ["\\id", "JON", "\\c", "4"]}
+
+
+def test_nested_tables_and_broken_markup():
+    def document(xml):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", xml)
+        return out.getvalue()
+
+    cell = lambda t: f"<w:tc><w:p w:x='1'/><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    rows = "<w:tr>" + cell("Tags") + cell("English") + "</w:tr><w:tr>" + cell("\\\\s") + cell("a<w:br/>b</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t> in") .replace("</w:tc>", "</w:tc></w:tr></w:tbl><w:p/></w:tc>", 1) + "</w:tr>"
+    items = word.docx_items(document(f"<?xml version='1.0'?><w:document><w:tbl>{rows}</w:tbl></w:document>"), "MAT.docx")
+    assert [(i["language_role"], i["current_text"], i["content_type"]) for i in items] == [("source", "a\nb in", "section_heading")]
+    with pytest.raises(ValueError, match="no readable"):
+        word.docx_items(document("<w:p><w:t>x</w:p>"), "x.docx")

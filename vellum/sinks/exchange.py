@@ -57,9 +57,20 @@ def write_json_lines(items: DataFrame, path: str) -> None:
     canonical(items).withColumn("sequenceNo", F.col("sequenceNo").cast("int")).write.json(path)
 
 
+#: Items that a format of one file may hold.
+ONE_FILE = 200_000
+
+
+def _bounded(items: DataFrame, most: int = ONE_FILE) -> DataFrame:
+    """items, if there are not more than one file may hold; else ValueError.  At most `most` + 1 rows are looked at."""
+    if items.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} items do not go into one file: export by book or resource")
+    return items
+
+
 def json_envelope(items: DataFrame, exported_at: str) -> DataFrame:
     """One row with the JSON text of a bounded export (a book, a page); large ones go to write_json_lines."""
-    rows = canonical(items).withColumn("sequenceNo", F.col("sequenceNo").cast("int"))
+    rows = canonical(_bounded(items)).withColumn("sequenceNo", F.col("sequenceNo").cast("int"))
     all_ = F.array_sort(F.collect_list(F.struct("sequenceNo", F.struct(*HEADERS).alias("item"))))
     return rows.agg(F.to_json(F.struct(F.lit(EXCHANGE_VERSION).alias("schemaVersion"), F.lit(exported_at).alias("exportedAt"), F.transform(all_, lambda x: x["item"]).alias("items"))).alias("json"))
 
@@ -70,12 +81,13 @@ def marker_lines(items: DataFrame) -> DataFrame:
     raw, text = F.coalesce("raw_text", F.lit("")), F.coalesce("current_text", F.lit(""))
     marker = F.regexp_replace(F.coalesce("marker", F.lit("")), r"^\\", "")
     line = F.when(T.trim(raw).startswith("\\"), raw).when(marker != "", F.concat(F.lit("\\"), marker, F.when(text != "", F.concat(F.lit(" "), text)).otherwise(""))).when(text != "", text)
-    return rows.select("sequence_no", line.alias("line")).filter("line IS NOT NULL")
+    return rows.select(*[c for c in ["book_code"] if c in rows.columns], "sequence_no", line.alias("line")).filter("line IS NOT NULL")
 
 
 def write_markers(items: DataFrame, path: str) -> None:
-    """One text file in sequence order: the format is a single stream for each book."""
-    marker_lines(items).orderBy("sequence_no").select("line").coalesce(1).write.text(path)
+    """A folder with one text file in sequence order for each book: the format is a single stream for a book."""
+    lines = marker_lines(items if "book_code" in items.columns else items.withColumn("book_code", F.lit(None).cast("string")))
+    lines.repartition("book_code").sortWithinPartitions("book_code", "sequence_no").select("book_code", "line").write.partitionBy("book_code").text(path)
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
@@ -132,7 +144,7 @@ def docx_bytes(items: DataFrame) -> bytes:
         runs = "<w:br/>".join(f'<w:t xml:space="preserve">{x}</w:t>' for x in text.replace("\r\n", "\n").split("\n"))
         return f"<w:tc><w:p><w:r>{runs}</w:r></w:p></w:tc>"
 
-    rows = [titles] + [[r[c] for c in columns] for r in bilingual_table(items).orderBy("no").toLocalIterator()]
+    rows = [titles] + [[r[c] for c in columns] for r in bilingual_table(_bounded(items)).orderBy("no").toLocalIterator()]
     table = "".join(f"<w:tr>{''.join(map(cell, r))}</w:tr>" for r in rows)
     ns = "http://schemas.openxmlformats.org"
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
