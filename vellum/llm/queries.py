@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontamination, jaccard_join, language_id, line_dedup, pieces, prefix_counts, sharding, suffix_dedup, topk_search, toxicity
+from vellum.llm import decontamination, jaccard_join, language_id, line_dedup, pieces, prefix_counts, sharding, substring_dedup, suffix_dedup, topk_search, toxicity
 from vellum.llm.common import held_out, table
 
 MODEL = "piece_bpe_32k.model"
@@ -62,8 +62,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_toxicity, op4_language_id, op5_topk_search, op6_sentencepiece, op7_decontamination, op8_suffix_dedup, op9_token_counts, op10_sharding)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_toxicity, op4_language_id, op5_topk_search, op6_sentencepiece, op7_decontamination, op8_suffix_dedup, op9_token_counts, op10_sharding, op12_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -119,6 +123,14 @@ def oracle_sql() -> dict[str, str]:
             sums AS (SELECT r, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
             SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
             FROM texts LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)""",
+        "op12_substring_dedup": r"""
+            WITH texts AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            windows AS (SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: md5(array_to_string(w[i : i + 12], ' ')))) AS k FROM texts),
+            firsts AS (SELECT k, min(coalesce(doc_id, -9223372036854775808)) AS least FROM windows GROUP BY k),
+            gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS at FROM windows JOIN firsts USING (k) WHERE least < coalesce(doc_id, -9223372036854775808)),
+            words AS (SELECT r, unnest(range(1, len(w) + 1)) AS at, unnest(w) AS word FROM texts),
+            kept AS (SELECT r, string_agg(word, ' ' ORDER BY at) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (r, at) GROUP BY r)
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (r)""",
         "op5_topk_search": """
             WITH usable AS (
               SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
