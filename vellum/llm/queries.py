@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontamination, jaccard_join, language_id, line_dedup, pieces, prefix_counts, sharding, substring_dedup, suffix_dedup, topk_search, toxicity
+from vellum.llm import conversation_repair, decontamination, jaccard_join, language_id, line_dedup, pieces, prefix_counts, sharding, substring_dedup, suffix_dedup, topk_search, toxicity
 from vellum.llm.common import held_out, table
 
 MODEL = "piece_bpe_32k.model"
@@ -66,8 +66,12 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_toxicity, op4_language_id, op5_topk_search, op6_sentencepiece, op7_decontamination, op8_suffix_dedup, op9_token_counts, op10_sharding, op12_substring_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_toxicity, op4_language_id, op5_topk_search, op6_sentencepiece, op7_decontamination, op8_suffix_dedup, op9_token_counts, op10_sharding, op12_substring_dedup, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
