@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import conversation_repair, decontamination, jaccard_join, language_id, line_dedup, pieces, prefix_counts, sharding, substring_dedup, suffix_dedup, topk_search, toxicity
+from vellum.llm import conversation_repair, decontamination, jaccard_join, language_id, line_dedup, pieces, prefix_counts, sharding, substring_dedup, suffix_dedup, token_alignment, topk_search, toxicity
 from vellum.llm.common import held_out, table
 
 MODEL = "piece_bpe_32k.model"
@@ -62,6 +62,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digests(table(spark, sf_dir, "documents"), model_path("byte_bpe_50k.json"), model_path())
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_toxicity, op4_language_id, op5_topk_search, op6_sentencepiece, op7_decontamination, op8_suffix_dedup, op9_token_counts, op10_sharding, op12_substring_dedup, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_toxicity, op4_language_id, op5_topk_search, op6_sentencepiece, op7_decontamination, op8_suffix_dedup, op9_token_counts, op10_sharding, op11_token_alignment, op12_substring_dedup, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
