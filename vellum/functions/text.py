@@ -1,13 +1,9 @@
-"""Text functions on columns.  Everything but Unicode normalisation runs inside the JVM."""
+"""Text functions on columns, all inside the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from vellum.dims import DIGIT_ZEROS
 
@@ -21,14 +17,14 @@ ZERO_WIDTH = r"[\u200B\u200C\u200D\uFEFF]"
 MAY_CHANGE = r"[\u0300-\u33FF\uA000-\uABFF\uD7B0-\uD7FF\uF900-\uFFFF\x{10000}-\x{10FFFF}]"
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
-
-
 def nfc(c: Column) -> Column:
-    """Unicode NFC.  Only texts that may change go to the Python worker; for the others it gets a null."""
-    return F.coalesce(_nfc(F.when(c.rlike(MAY_CHANGE), c)), c)
+    """Unicode NFC by the library that Spark's own collations use; only texts that may change are handed to it.
+
+    Spark takes a call by reflection for nondeterministic: it may stand in a projection or filter, not
+    inside an aggregate function or a join's condition (project it first).
+    """
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when(c.rlike(MAY_CHANGE), composed).otherwise(c)
 
 
 def trim(c: Column) -> Column:

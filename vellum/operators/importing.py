@@ -1,18 +1,27 @@
 """Import of canonical items: duplicate files, classification, conflicts, resolution.
 
-The reference semantics are record by record; here they are sets.  An incoming row is held against
-its anchor: the stored row with its logical key; else the newest stored row with its match key and
-language, if their resource roles may stand in for each other; else the first incoming row with the
-same logical key, which is the one inserted.
+An import goes record by record, in order of (sequence_no, id).  A row is held against the row that has its
+logical key, else against the newest row with its match key and language, if their resource roles may
+stand in for each other; a row without either is inserted, and from then on is the newest of its match key,
+so that it can hide an older row from those that follow, and the only one of its logical key.
+
+Whether a row is inserted thus depends on earlier rows.  Of the newest row only its role's class counts, so
+a match key is a small automaton.  Keys with few rows whose logical keys stay inside go through it in one
+sorted stream; longer ones are cut into pieces whose effects on the five classes are chained; where a
+logical key occurs under several match keys, this is repeated with what it tells until nothing changes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum import dims
 from vellum.functions import text as T
+from vellum.operators import scans
 
 
 def resolve_language(items: DataFrame, source_code: str | None, target_code: str | None) -> DataFrame:
@@ -83,28 +92,163 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(known, ["sha256", "resource_role", "_lang"], "left_anti").drop("_lang")
 
 
-def classify(incoming: DataFrame, existing: DataFrame, within: bool = True) -> DataFrame:
+#: The standalone role of each content type that is matched across roles; embedded ones have a scripture role.
+OWN_ROLE = {"footnote": "footnotes", "cross_reference": "cross_references", "section_heading": "study_notes"}
+_INSIDE = ("source_scripture", "target_scripture")
+_CLASSES = ("footnotes", "cross_references", "study_notes", "scripture", "other")
+_ANCHOR = "struct<id: string, content_hash: string, resource_role: string, protection_level: string>"
+
+
+def role_class(role: str | None) -> str:
+    return "scripture" if role in _INSIDE else role if role in _CLASSES[:3] else "other"
+
+
+def _stands_in(row: dict, newest: str) -> bool:
+    """Whether a row may be held against a newest row whose role is of that class."""
+    own, mine = OWN_ROLE.get(row["content_type"]), role_class(row["resource_role"])
+    return own is not None and {mine, newest} == {own, "scripture"}
+
+
+def _anchor_of(row: dict) -> dict:
+    return {c: row[c] for c in ("id", "content_hash", "resource_role", "protection_level")}
+
+
+def _through(rows: list[dict], newest: dict | None, out: list | None = None, within: bool = False) -> dict | None:
+    """The newest row behind the rows of one match key, given the newest before them.
+
+    out gets id, inserted and mate (the row it is held against by its match key).  within: a logical key
+    that was inserted here anchors the rows that follow, else `blocked` tells this.
+    """
+    inserted = set()
+    for row in rows:
+        mate = None
+        if row["logical_key"] in inserted if within else row["blocked"]:
+            new = False
+        elif newest and _stands_in(row, newest["class"]):
+            new, mate = False, newest["row"]
+        else:
+            new, newest = True, {"class": role_class(row["resource_role"]), "row": _anchor_of(row)}
+            inserted.add(row["logical_key"])
+        if out is not None:
+            out.append({"id": row["id"], "inserted": new, "mate": mate})
+    return newest
+
+
+def _before(rows: list[dict], state: dict | None) -> dict | None:
+    """The newest row before a group's first piece is the stored one."""
+    near = rows[0]["near"]
+    return state if state is not None else {"class": role_class(near["resource_role"]), "row": near} if near else None
+
+
+def _effect(rows: list[dict]) -> dict:
+    """The newest row behind a piece for each class of the newest before it (null: that one), and the group's first state."""
+    return {"start": _before(rows, None), "then": {c: None if (x := _through(rows, {"class": c, "row": None}))["row"] is None else x for c in _CLASSES}}
+
+
+def _advance(state: dict | None, effect: dict) -> dict | None:
+    state = state if state is not None else effect["start"]
+    return effect["then"][state["class"] if state else "other"] or state
+
+
+_DECIDED = f"id string, inserted boolean, mate {_ANCHOR}"
+
+
+def _whole_groups(rows: DataFrame) -> DataFrame:
+    """id, inserted, mate of small groups to which no other row's decision matters; one sorted stream."""
+
+    def run(stream: Iterator[dict]) -> Iterator[dict]:
+        for _, own in groupby(stream, lambda r: (r["match_key"], r["lang"])):
+            held, out = list(own), []
+            _through(held, _before(held, None), out, within=True)
+            yield from out
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scans.mapped(rows.repartition(n, "match_key", "lang").sortWithinPartitions("match_key", "lang", "sequence_no", "id"), run, _DECIDED)
+
+
+def _chained_groups(rows: DataFrame, few: int) -> DataFrame:
+    """id, inserted, mate of groups of any size, in pieces of `few` rows, where `blocked` tells which rows an earlier one with their logical key anchors."""
+
+    def finish(held: list[dict], state: dict | None) -> Iterator[dict]:
+        out: list = []
+        _through(held, _before(held, state), out)
+        yield from out
+
+    keys = ["match_key", "lang"]
+    cut = scans.pieces(rows, keys, ["sequence_no", "id"], few)
+    return scans.finished(cut, scans.start_states(cut, keys, _effect, _advance), finish, _DECIDED)
+
+
+def _first_inserted(decided: DataFrame) -> DataFrame:
+    """logical_key, at, first (as an anchor) of the first inserted row."""
+    at = F.struct("sequence_no", "id")
+    anchor = F.struct("id", "content_hash", "resource_role", "protection_level")
+    return decided.filter("inserted").groupBy("logical_key").agg(F.min(at).alias("at"), F.min_by(anchor, at).alias("first"))
+
+
+def _hidden_apart(rows: DataFrame, fits: Column, few: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows without a stored logical anchor, by what decides them: nothing but the stored rows, a small group
+    of their own, anything else."""
+    groups = rows.filter("match_key IS NOT NULL").groupBy("match_key", "lang").agg(F.count("*").alias("n"), F.bool_or(F.col("content_type").isin(*OWN_ROLE)).alias("open")).filter("n > 1 AND open").drop("open")
+    rows = rows.withColumn("fits", fits).join(groups, ["match_key", "lang"], "left")
+    under = F.struct("match_key", "lang")
+    spread = rows.groupBy("logical_key").agg(F.min(under).alias("lo"), F.max(under).alias("hi"), F.bool_or(F.col("n").isNotNull()).alias("open")).filter("open AND lo <> hi").select("logical_key", F.lit(True).alias("_spread"))
+    # one spread key makes its whole group depend on others
+    rows = rows.join(spread, "logical_key", "left")
+    groups_spread = rows.filter("_spread AND n IS NOT NULL").select("match_key", "lang").distinct().withColumn("_tied", F.lit(True))
+    rows = rows.join(groups_spread, ["match_key", "lang"], "left").drop("_spread")
+    tied = F.coalesce("_tied", F.lit(False)) | (F.col("n") > few)
+    return rows.filter("n IS NULL").drop("n", "_tied"), rows.filter(F.col("n").isNotNull() & ~tied).drop("n", "_tied"), rows.filter(F.col("n").isNotNull() & tied).drop("n", "_tied")
+
+
+def in_batch(rows: DataFrame, fits: Column, few: int) -> DataFrame:
+    """rows (without a stored logical anchor, with the newest stored row of their match key as `near`) with
+    inserted, mate and first: what an import in order of (sequence_no, id) holds them against."""
+    plain, small, tied = _hidden_apart(rows, fits, few)
+    plain = plain.select(*rows.columns, (~F.col("fits")).alias("inserted"), F.when(F.col("fits"), F.col("near")).alias("mate"))
+    small = small.join(_whole_groups(small), "id").select(*plain.columns)
+    decided = plain.union(small)
+    tied = scans.kept(tied)
+    if not tied.isEmpty():
+        at = F.struct("sequence_no", "id")
+        first = _first_inserted(decided.union(tied.select(*rows.columns, F.lit(True).alias("inserted"), F.col("near").alias("mate"))))
+        while True:
+            blocked = scans.kept(tied.join(first.select("logical_key", "at"), "logical_key", "left").withColumn("blocked", F.coalesce(at > F.col("at"), F.lit(False))).drop("at"))
+            done = scans.kept(blocked.join(_chained_groups(blocked.select("match_key", "lang", "sequence_no", "id", "logical_key", "content_type", "resource_role", "content_hash", "protection_level", "near", "blocked"), few), "id"))
+            first = scans.kept(_first_inserted(decided.union(done.select(*plain.columns))))
+            # right once the keys that the decisions give are those they were made with
+            if done.join(first.select("logical_key", "at"), "logical_key", "left").filter(F.coalesce(at > F.col("at"), F.lit(False)) != F.col("blocked")).isEmpty():
+                break
+        decided = decided.union(done.select(*plain.columns))
+    # rows behind the first inserted one of their logical key are held against it, whatever their match key says
+    out = decided.join(_first_inserted(decided), "logical_key", "left")
+    behind = F.coalesce(F.struct("sequence_no", "id") > F.col("at"), F.lit(False))
+    return out.withColumns({"mate": F.when(~behind, F.col("mate")), "first": F.when(behind, F.col("first"))}).drop("at", "inserted")
+
+
+def classify(incoming: DataFrame, existing: DataFrame, within: bool = True, few: int = scans.PIECE) -> DataFrame:
     """incoming with status (new, identical, conflict), cross_role, anchor_id and the recommendation.
 
-    Both sides are canonical items with id and logical_key; existing has created_at.  within=False
-    leaves out repeats inside the incoming rows, as a preview does.
+    Both sides are canonical items with id and logical_key; existing has created_at.  Every inserted row is
+    newer than all that is stored.  within=False holds each row against the stored ones alone, as a preview
+    does.  A match key with more than `few` rows is cut into pieces of that size; the result is the same.
     """
     spark = incoming.sparkSession
-    inc = incoming.select("id", "logical_key", "match_key", "language_code", "resource_role", "content_type", "content_hash", "sequence_no")
+    inc = incoming.select("id", "logical_key", "match_key", F.coalesce("language_code", F.lit("")).alias("lang"), "resource_role", "content_type", "content_hash", "sequence_no", F.coalesce("protection_level", F.lit("normal")).alias("protection_level"))
     one = F.struct(F.col("id"), "content_hash", "resource_role", "protection_level")
     by_key = existing.groupBy("logical_key").agg(F.min_by(one, "id").alias("same"))
     lang = F.coalesce("language_code", F.lit("")).alias("lang")
     newest = existing.groupBy("match_key", lang).agg(F.max_by(one, F.struct("created_at", "id")).alias("near"))
-    rows = inc.withColumn("lang", F.coalesce("language_code", F.lit(""))).join(by_key, "logical_key", "left").join(newest, ["match_key", "lang"], "left")
+    rows = inc.join(by_key, "logical_key", "left").join(newest, ["match_key", "lang"], "left")
     near = F.col("near")
-    fits = F.col("content_type").isin(*dims.MATCHED_TYPES) & (near["resource_role"] != F.col("resource_role")) & may_stand_in(F.col("content_type"), near["resource_role"], F.col("resource_role"))
-    rows = rows.withColumn("cross_role", F.col("same").isNull() & F.coalesce(fits, F.lit(False)))
-    rows = rows.withColumn("anchor", F.coalesce("same", F.when(F.col("cross_role"), near)))
+    fits = F.coalesce(F.col("content_type").isin(*dims.MATCHED_TYPES) & (near["resource_role"] != F.col("resource_role")) & may_stand_in(F.col("content_type"), near["resource_role"], F.col("resource_role")), F.lit(False))
     if within:
-        # the first row of a key without a stored anchor is inserted, and anchors the others
-        first = rows.filter("anchor IS NULL").groupBy("logical_key").agg(F.min_by(F.struct("id", "content_hash", "resource_role", F.lit("normal").alias("protection_level")), F.struct("sequence_no", "id")).alias("first"))
-        rows = rows.join(first, "logical_key", "left")
-        rows = rows.withColumn("anchor", F.coalesce("anchor", F.when(F.col("first.id") != F.col("id"), F.col("first"))))
+        rows = scans.kept(rows)  # keys and hashes only
+        apart = in_batch(rows.filter("same IS NULL"), fits, few)
+        rows = rows.filter("same IS NOT NULL").withColumns({"mate": F.lit(None).cast(_ANCHOR), "first": F.lit(None).cast(_ANCHOR)}).unionByName(apart)
+    else:
+        rows = rows.withColumns({"mate": F.when(F.col("same").isNull() & fits, near), "first": F.lit(None).cast(_ANCHOR)})
+    rows = rows.withColumns({"cross_role": F.col("mate").isNotNull(), "anchor": F.coalesce("same", "mate", "first")})
     anchor = F.col("anchor")
     status = F.when(anchor.isNull(), "new").when(anchor["content_hash"] == F.col("content_hash"), "identical").otherwise("conflict")
     rules = dims.authority(spark)

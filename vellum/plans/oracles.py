@@ -95,38 +95,39 @@ def _issues_cte() -> str:
     issues AS ({union})"""
 
 
+_ANCHOR = "STRUCT(key VARCHAR, id VARCHAR, hash VARCHAR, role VARCHAR, protection VARCHAR)"
+
+
+def _stands_in(kind: str, mine: str, other: str) -> str:
+    inside = "('source_scripture', 'target_scripture')"
+    own = f"CASE {kind} WHEN 'footnote' THEN 'footnotes' WHEN 'cross_reference' THEN 'cross_references' WHEN 'section_heading' THEN 'study_notes' END"
+    return f"coalesce(({mine} = {own} AND {other} IN {inside}) OR ({other} = {own} AND {mine} IN {inside}), false)"
+
+
 def _classified(within: bool) -> str:
-    first = (
-        """, firsts AS (SELECT logical_key, id, content_hash FROM held WHERE anchor_id IS NULL QUALIFY row_number() OVER (PARTITION BY logical_key ORDER BY sequence_no, id) = 1),
-    anchored AS (
-      SELECT h.* EXCLUDE (anchor_id, anchor_hash, old_role, old_protection),
-             coalesce(h.anchor_id, f.id) AS anchor_id, coalesce(h.anchor_hash, f.content_hash) AS anchor_hash,
-             CASE WHEN h.anchor_id IS NOT NULL THEN h.old_role WHEN f.id IS NOT NULL THEN h.resource_role END AS old_role,
-             CASE WHEN h.anchor_id IS NOT NULL THEN h.old_protection WHEN f.id IS NOT NULL THEN 'normal' END AS old_protection
-      FROM held h LEFT JOIN firsts f ON h.logical_key = f.logical_key AND h.id <> f.id)"""
-        if within
-        else ", anchored AS (SELECT * FROM held)"
-    )
+    """One incoming row after the other: step n looks at the n-th row of every match key, with the rows inserted before.  Needs WITH RECURSIVE."""
+    told = lambda p: f"{{'key': {p}.logical_key, 'id': {p}.id, 'hash': {p}.content_hash, 'role': {p}.resource_role, 'protection': {p}.protection_level}}"
+    earlier = "list_filter(s.inserted, lambda x: x.key = p.logical_key)[1]" if within else "NULL"
+    newest = "coalesce(s.inserted[len(s.inserted)], p.near)" if within else "p.near"
     return f"""authority(content_type, resource_role, priority) AS (VALUES {_values(dims.AUTHORITY)}),
     stored AS (SELECT *, {EXISTING_MORE}, sha256({_norm("current_text")}) AS content_hash FROM ({EXISTING})),
     incoming AS (SELECT *, {INCOMING_MORE}, sha256({_norm("current_text")}) AS content_hash FROM ({INCOMING})),
-    same AS (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY logical_key ORDER BY id) = 1),
-    newest AS (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY match_key, language_code ORDER BY created_at DESC, id DESC) = 1),
+    same AS (SELECT logical_key, {told("stored")} AS same FROM stored QUALIFY row_number() OVER (PARTITION BY logical_key ORDER BY id) = 1),
+    newest AS (SELECT match_key, language_code, {told("stored")} AS near FROM stored QUALIFY row_number() OVER (PARTITION BY match_key, language_code ORDER BY created_at DESC, id DESC) = 1),
     probed AS (
-      SELECT i.*, s.id AS same_id, s.content_hash AS same_hash, s.resource_role AS same_role, s.protection_level AS same_protection,
-             n.id AS near_id, n.content_hash AS near_hash, n.resource_role AS near_role, n.protection_level AS near_protection,
-             s.id IS NULL AND n.id IS NOT NULL AND i.content_type IN {_in(dims.MATCHED_TYPES)} AND n.resource_role <> i.resource_role AND
-               CASE i.content_type
-                 WHEN 'footnote' THEN (i.resource_role = 'footnotes' AND n.resource_role IN ('source_scripture', 'target_scripture')) OR (n.resource_role = 'footnotes' AND i.resource_role IN ('source_scripture', 'target_scripture'))
-                 WHEN 'cross_reference' THEN (i.resource_role = 'cross_references' AND n.resource_role IN ('source_scripture', 'target_scripture')) OR (n.resource_role = 'cross_references' AND i.resource_role IN ('source_scripture', 'target_scripture'))
-                 WHEN 'section_heading' THEN (i.resource_role = 'study_notes' AND n.resource_role IN ('source_scripture', 'target_scripture')) OR (n.resource_role = 'study_notes' AND i.resource_role IN ('source_scripture', 'target_scripture'))
-                 ELSE false END AS cross_role
+      SELECT i.*, s.same, n.near, row_number() OVER (PARTITION BY i.match_key, i.language_code ORDER BY i.sequence_no, i.id) AS nth
       FROM incoming i LEFT JOIN same s ON s.logical_key = i.logical_key LEFT JOIN newest n ON n.match_key = i.match_key AND n.language_code = i.language_code),
-    held AS (
-      SELECT * EXCLUDE (same_id, same_hash, same_role, same_protection, near_id, near_hash, near_role, near_protection),
-             coalesce(same_id, CASE WHEN cross_role THEN near_id END) AS anchor_id, coalesce(same_hash, CASE WHEN cross_role THEN near_hash END) AS anchor_hash,
-             coalesce(same_role, CASE WHEN cross_role THEN near_role END) AS old_role, coalesce(same_protection, CASE WHEN cross_role THEN near_protection END) AS old_protection
-      FROM probed){first},
+    steps(match_key, nth, inserted, id, anchor, cross_role) AS (
+      SELECT DISTINCT match_key, CAST(0 AS BIGINT), CAST([] AS {_ANCHOR}[]), CAST(NULL AS VARCHAR), CAST(NULL AS {_ANCHOR}), false FROM incoming
+      UNION ALL
+      SELECT match_key, nth, CASE WHEN anchor IS NULL THEN list_append(inserted, own) ELSE inserted END, id, anchor, by_key IS NULL AND anchor IS NOT NULL
+      FROM (
+        SELECT *, CASE WHEN by_key IS NOT NULL THEN by_key WHEN candidate IS NOT NULL AND content_type IN {_in(dims.MATCHED_TYPES)} AND candidate.role <> resource_role AND {_stands_in("content_type", "resource_role", "candidate.role")} THEN candidate END AS anchor
+        FROM (SELECT p.match_key, p.nth, s.inserted, p.id, p.content_type, p.resource_role, {told("p")} AS own, coalesce(p.same, {earlier}) AS by_key, {newest} AS candidate
+              FROM steps s JOIN probed p ON p.match_key = s.match_key AND p.nth = s.nth + 1))),
+    anchored AS (
+      SELECT p.*, s.cross_role, s.anchor.id AS anchor_id, s.anchor.hash AS anchor_hash, s.anchor.role AS old_role, s.anchor.protection AS old_protection
+      FROM probed p JOIN steps s ON s.id = p.id),
     ranked AS (
       SELECT a.*, CASE WHEN anchor_id IS NULL THEN 'new' WHEN anchor_hash = content_hash THEN 'identical' ELSE 'conflict' END AS status, coalesce(o.priority, 0) AS old_p, coalesce(w.priority, 0) AS new_p
       FROM anchored a LEFT JOIN authority o ON o.content_type = a.content_type AND o.resource_role = a.old_role LEFT JOIN authority w ON w.content_type = a.content_type AND w.resource_role = a.resource_role),
@@ -160,6 +161,10 @@ def _cell(x: str) -> str:
 
 
 def all_sql() -> dict[str, str]:
+    return {name: sql.replace("WITH ", "WITH RECURSIVE ", 1) if "steps(" in sql else sql for name, sql in _plain_sql().items()}
+
+
+def _plain_sql() -> dict[str, str]:
     issues, docs = _issues_cte(), f"docs AS ({DOCUMENTS})"
     issue_columns = "content_item_id, paired_content_item_id, category, severity, confidence, fingerprint"
     protected = "CAST(sum(CASE WHEN protection_level = 'protected_scripture' THEN 1 ELSE 0 END) AS BIGINT)"
