@@ -22,6 +22,7 @@ equal texts each give a row; an empty table gives an empty one; further columns
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,7 +40,7 @@ RUN = 8192
 #: Where A's words part, for texts whose white space is ASCII: all but the last of a run of white space, a
 #: word with one space before it, a single other white space.
 _WORD = re.compile(r"[ \t-\r]+(?![^ \t-\r])| ?[^ \t-\r]+|[\t-\r]")
-_OTHER_WHITE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
+_OTHER_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -53,6 +54,7 @@ def _byte_letters() -> dict[str, int]:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores; threads inside them double the CPU time
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True
     made.no_truncation()
@@ -98,8 +100,17 @@ class Side:
 
     def _coded(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk; empty where they do not spell it."""
-        spelt = lambda ids, chunk: b"".join([self.bytes[i] for i in ids]) == chunk.encode()
-        return [np.array(ids, self.kind).tobytes() if spelt(ids, c) else b"" for ids, c in zip(self._raw(chunks), chunks, strict=True)]
+        each, data = self._raw(chunks), [c.encode() for c in chunks]
+        flat = [i for ids in each for i in ids]
+        blob, size, at = np.array(flat, self.kind).tobytes(), np.dtype(self.kind).itemsize, 0
+        lengths = [sum([len(self.bytes[i]) for i in ids]) for ids in each]
+        spelt = list(map(len, data)) == lengths and b"".join([self.bytes[i] for i in flat]) == b"".join(data)
+        out = []
+        for ids, chunk in zip(each, data, strict=True):
+            end = at + len(ids) * size
+            out.append(blob[at:end] if spelt or b"".join([self.bytes[i] for i in ids]) == chunk else b"")
+            at = end
+        return out
 
     def encode(self, text: str) -> np.ndarray | None:
         if MARK in text:
