@@ -1,7 +1,11 @@
 """CSV and TSV files, exact to the cell, and JSON record files.
 
-A quote toggles quoting anywhere in a cell, which Spark's own CSV reader does not do; therefore one
-file is read by one `mapInPandas` call.  Files are independent, so this parallelises by file.
+A quote toggles quoting anywhere in a cell, which Spark's own CSV reader does not do.  A small file is read
+in one go.  A large one is a sequence of lines over many tasks: the parity of the quotes before a line, a
+prefix sum over the line's range and one summary row a range, tells whether the line begins outside quotes.
+Lines between two such places are one chunk, whose rows are exact whatever the ranges; row numbers are a
+second prefix sum, and the header is row 0.  Rows end at line feeds, carriage returns or both; a file
+without a line feed is one line, and an open quote makes the whole file unreadable.
 """
 
 from __future__ import annotations
@@ -11,15 +15,19 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from vellum.dims import HEADERS
+from vellum.sources import ranges
 from vellum.sources.items import SCHEMA, finish
+from vellum.sources.ranges import RANGE
 
 _TOKEN = re.compile(r'"|\r\n|\r|\n|[^"\r\n]+')
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 _INTEGER = re.compile(r"-?[0-9]+\Z")
 _SPACES = re.compile(r"[\s\ufeff]+")
+OPEN_QUOTE = "a quoted field is not closed"
 
 
 def read_rows(text: str, delimiter: str) -> list[list[str]]:
@@ -49,7 +57,7 @@ def read_rows(text: str, delimiter: str) -> list[list[str]]:
                 cell = [x]
         i += 1
     if quoted:
-        raise ValueError("a quoted field is not closed")
+        raise ValueError(OPEN_QUOTE)
     rows.append([*row, "".join(cell)])
     return [r for r in rows if any(r)]
 
@@ -70,37 +78,40 @@ def _first(record: dict, names: tuple[str, ...], empty_counts: bool) -> str | No
     return None
 
 
+def titles(cells: list[str]) -> list[str]:
+    return [_SPACES.sub(" ", re.sub("[\u200b\u200c\u200d\ufeff]", "", h)).strip() for h in cells]
+
+
+def delimited_item(header: list[str], cells: list[str], nth: int, delimiter: str) -> dict:
+    """The canonical item of one row: by the 18 fixed headers if all are there, else by loose aliases."""
+    canonical = set(HEADERS) <= set(header)
+    record = {h or f"column_{i + 1}": cells[i] if i < len(cells) else "" for i, h in enumerate(header)}
+    get = lambda *names: _first(record, names, False)
+    whole = delimiter.join(cells)
+    if canonical:
+        text_, raw = record["currentText"], record["rawText"] or record["currentText"]
+        key = get("semanticKey", "matchKey") or f"ROW|{nth + 1}"
+    else:
+        text_ = get("currentText", "current_text", "Translation", "English", "text")
+        text_ = whole if text_ is None else text_
+        raw = get("rawText", "raw_text") or whole
+        key = get("semanticKey", "semantic_key", "logicalKey", "logical_key") or f"ROW|{nth + 1}"
+    both = lambda camel, snake, *more: get(camel) if canonical else get(camel, snake, *more)
+    chapter = both("chapter", "chapter", "Ch") or ""
+    return {
+        "book_code": both("bookCode", "book_code", "Book", "book", "BOOK"), "chapter": int(chapter) if _INTEGER.match(chapter) else None, "verse": both("verse", "verse", "Vs"),
+        "content_type": both("contentType", "content_type") or "table_row", "marker": both("marker", "marker", "Tags"), "category": both("category", "category", "Sub-Tags"),
+        "sequence_no": _number(both("sequenceNo", "sequence_no")) or nth, "semantic_key": key, "match_key": both("matchKey", "match_key") or key,
+        "parent_semantic_key": both("parentSemanticKey", "parent_semantic_key"), "raw_text": raw, "current_text": text_,
+        "protection_level": both("protectionLevel", "protection_level") or "normal", "source_locator": both("sourceLocator", "source_locator") or f"row:{nth + 2}",
+        "language_role": both("languageRole", "language_role"), "language_code": both("languageCode", "language_code"), "resource_role": get("resourceRole") if canonical else None,
+    }
+
+
 def delimited_items(text: str, delimiter: str) -> list[dict]:
-    """Canonical items of one file: by the 18 fixed headers if all are there, else by loose aliases."""
+    """Canonical items of one file."""
     header, *rows = read_rows(text.removeprefix("\ufeff"), delimiter) or [[]]
-    header = [_SPACES.sub(" ", re.sub("[\u200b\u200c\u200d\ufeff]", "", h)).strip() for h in header]
-    canonical = set(HEADERS) <= set(header)
-    items = []
-    for nth, cells in enumerate(rows):
-        record = {h or f"column_{i + 1}": cells[i] if i < len(cells) else "" for i, h in enumerate(header)}
-        get = lambda *names: _first(record, names, False)
-        whole = delimiter.join(cells)
-        if canonical:
-            text_, raw = record["currentText"], record["rawText"] or record["currentText"]
-            key = get("semanticKey", "matchKey") or f"ROW|{nth + 1}"
-        else:
-            text_ = get("currentText", "current_text", "Translation", "English", "text")
-            text_ = whole if text_ is None else text_
-            raw = get("rawText", "raw_text") or whole
-            key = get("semanticKey", "semantic_key", "logicalKey", "logical_key") or f"ROW|{nth + 1}"
-        both = lambda camel, snake, *more: get(camel) if canonical else get(camel, snake, *more)
-        chapter = both("chapter", "chapter", "Ch") or ""
-        items.append(
-            {
-                "book_code": both("bookCode", "book_code", "Book", "book", "BOOK"), "chapter": int(chapter) if _INTEGER.match(chapter) else None, "verse": both("verse", "verse", "Vs"),
-                "content_type": both("contentType", "content_type") or "table_row", "marker": both("marker", "marker", "Tags"), "category": both("category", "category", "Sub-Tags"),
-                "sequence_no": _number(both("sequenceNo", "sequence_no")) or nth, "semantic_key": key, "match_key": both("matchKey", "match_key") or key,
-                "parent_semantic_key": both("parentSemanticKey", "parent_semantic_key"), "raw_text": raw, "current_text": text_,
-                "protection_level": both("protectionLevel", "protection_level") or "normal", "source_locator": both("sourceLocator", "source_locator") or f"row:{nth + 2}",
-                "language_role": both("languageRole", "language_role"), "language_code": both("languageCode", "language_code"), "resource_role": get("resourceRole") if canonical else None,
-            }
-        )
-    return items
+    return [delimited_item(titles(header), cells, nth, delimiter) for nth, cells in enumerate(rows)]
 
 
 def json_items(text: str) -> list[dict]:
@@ -130,6 +141,10 @@ def json_items(text: str) -> list[dict]:
     return items
 
 
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS, dtype=object).astype({"chapter": "Int32", "sequence_no": "Int32"})
+
+
 def _parsed(files: DataFrame, read) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -139,15 +154,56 @@ def _parsed(files: DataFrame, read) -> DataFrame:
                     rows += [x | {"file": file} for x in read(bytes(content))]
                 except (ValueError, KeyError) as error:  # one bad file must not end the job: it is reported as a row
                     rows.append({"file": file, "content_type": "unreadable", "warning": str(error)[:500]})
-            out = pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
-            yield out.astype({"chapter": "Int32", "sequence_no": "Int32"})
+            yield _frame(rows)
 
     return finish(files.select("file", "content").mapInPandas(run, SCHEMA))
 
 
-def parse_delimited(files: DataFrame, delimiter: str = ",") -> DataFrame:
-    """Items of files (file, content as bytes)."""
-    return _parsed(files, lambda b: delimited_items(b.decode("utf-8", "replace"), delimiter))
+def parse_delimited(files: DataFrame, delimiter: str = ",", size: int = ranges.RANGE_PIECES, chars: int = ranges.RANGE_CHARS) -> DataFrame:
+    """Items of files (file, content as bytes); those of more than `chars` bytes are read in ranges of `size` lines."""
+    large = F.length("content") > chars
+    small = _parsed(files.filter(~large), lambda b: delimited_items(b.decode("utf-8", "replace"), delimiter))
+    return small.union(parse_delimited_lines(ranges.pieces_of(files.filter(large).select("file", F.decode("content", "utf-8").alias("content")), size=size), delimiter))
+
+
+def _chunks(lines: DataFrame) -> DataFrame:
+    """file, range, nth, text of the stretches of lines that begin and end outside quotes."""
+    quotes = F.length("piece") - F.length(F.replace("piece", F.lit('"'), F.lit("")))
+    lines = lines.withColumn("q", quotes)
+    before = lines.groupBy(*RANGE).agg(F.sum("q").alias("n")).select(*RANGE, ranges.summed_before("n").alias("before"))
+    run = Window.partitionBy(*RANGE).orderBy("nth")
+    lines = lines.join(before, RANGE).withColumn("parity", (F.col("before") + F.sum("q").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("q")) % 2)
+    fresh = F.col("parity") == 0
+    alone = fresh & (F.col("q") % 2 == 0)  # nearly all lines
+    # the others belong to the last line that began outside quotes, perhaps in an earlier range
+    begun = lines.groupBy(*RANGE).agg(F.max(F.when(fresh, F.col("nth"))).alias("last")).select(*RANGE, ranges.earlier(F.when(F.col("last").isNotNull(), F.struct("range", F.col("last").alias("nth")))).alias("carried"))
+    own = F.last(F.when(fresh, F.struct("range", "nth")), ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, 0))
+    parts = lines.withColumn("own", own).filter(~alone).join(begun, RANGE).withColumn("at", F.coalesce("own", "carried"))
+    joined = parts.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("range", "nth", "piece"))).alias("lines"))
+    joined = joined.select("file", "at.range", "at.nth", F.array_join(F.transform("lines", lambda x: x["piece"]), "\n").alias("text"))
+    return lines.filter(alone).select(*RANGE, "nth", F.col("piece").alias("text")).union(joined)
+
+
+def parse_delimited_lines(lines: DataFrame, delimiter: str = ",") -> DataFrame:
+    """Items of files as lines (file, range, nth, piece), cut at line feeds."""
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(f, r, n, k, cells) for f, r, n, text in zip(pdf["file"], pdf["range"], pdf["nth"], pdf["text"], strict=True) for k, cells in enumerate(read_rows(text, delimiter))]
+            yield pd.DataFrame(found, columns=["file", "range", "nth", "k", "cells"])
+
+    def items_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [delimited_item(titles(list(header)), list(cells), int(n) - 1, delimiter) | {"file": f} for f, header, cells, n in zip(pdf["file"], pdf["header"], pdf["cells"], pdf["number"], strict=True)]
+            yield _frame(found)
+
+    odd = lines.groupBy("file").agg(F.sum(F.length("piece") - F.length(F.replace("piece", F.lit('"'), F.lit("")))).alias("n")).filter("n % 2 = 1").select("file")
+    chunks = _chunks(lines.join(odd, "file", "left_anti"))
+    rows = ranges.numbered(chunks.mapInPandas(rows_of, "file string, range long, nth long, k long, cells array<string>"), "nth", "k")
+    headers = rows.filter("number = 0").select("file", F.col("cells").alias("header"))
+    items = rows.filter("number > 0").join(headers, "file").select("file", "header", "cells", "number").mapInPandas(items_of, SCHEMA)
+    unread = odd.select("file", *[F.lit({"content_type": "unreadable", "warning": OPEN_QUOTE}.get(c)).cast(kind).alias(c) for c, kind in (x.split() for x in SCHEMA.split(", ")) if c != "file"])
+    return finish(items.union(unread))
 
 
 def parse_json(files: DataFrame) -> DataFrame:
