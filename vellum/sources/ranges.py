@@ -15,10 +15,14 @@ RANGE = ["file", "range"]
 
 
 def read_pieces(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
-    """file, range, nth, piece of files of any size: a range is what Spark's reader takes for one split."""
-    rows = spark.read.option("lineSep", separator).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("order"), F.col("value").alias("piece"))
+    """file, range, nth, piece of files of any size: a range is what Spark's reader takes for one split.
+
+    Further columns, octets (of the piece and its separator) and file_size: as the reader leaves out a
+    separator that ends the file, only their sums tell whether there is one.
+    """
+    rows = spark.read.option("lineSep", separator).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("order"), F.col("value").alias("piece"), (F.octet_length("value") + len(separator.encode())).alias("octets"), F.col("_metadata.file_size").alias("file_size"))
     nth = F.row_number().over(Window.partitionBy(*RANGE).orderBy("order")) - 1
-    return _without_mark(rows.withColumn("nth", nth.cast("long")))
+    return _without_mark(rows.withColumn("nth", nth.cast("long"))).select(*RANGE, "nth", "piece", "octets", "file_size")
 
 
 def pieces_of(files: DataFrame, separator: str = "\n", size: int = RANGE_PIECES) -> DataFrame:
@@ -30,7 +34,7 @@ def pieces_of(files: DataFrame, separator: str = "\n", size: int = RANGE_PIECES)
 def _without_mark(rows: DataFrame) -> DataFrame:
     """A byte-order mark before the first piece is none of the text."""
     first = (F.col("range") == 0) & (F.col("nth") == 0)
-    return rows.select(*RANGE, "nth", F.when(first, F.regexp_replace("piece", "^﻿", "")).otherwise(F.col("piece")).alias("piece"))
+    return rows.withColumn("piece", F.when(first, F.regexp_replace("piece", "^\ufeff", "")).otherwise(F.col("piece"))).drop("order", "at")
 
 
 def earlier(column: str | Column) -> Column:
@@ -49,3 +53,25 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     rows = rows.withColumns({"_nth": F.row_number().over(within.orderBy(*order)), "_n": F.count("*").over(within)})
     before = rows.filter("_nth = 1").select(*RANGE, summed_before("_n").alias("_before"))
     return rows.join(before, RANGE).withColumn("number", F.col("_before") + F.col("_nth") - 1).drop("_nth", "_n", "_before")
+
+
+def running(column: str | Column) -> Column:
+    """The sum of a column over the range up to and with a piece."""
+    return F.sum(column).over(Window.partitionBy(*RANGE).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+
+
+def with_sum_before(pieces: DataFrame, column: str, name: str) -> DataFrame:
+    """pieces with `name`: the sum of a column over all earlier pieces of the file."""
+    before = pieces.groupBy(*RANGE).agg(F.sum(column).alias("n")).select(*RANGE, summed_before("n").alias("_before"))
+    return pieces.join(before, RANGE).withColumn(name, F.col("_before") + running(column) - F.col(column)).drop("_before")
+
+
+def stretches(pieces: DataFrame, separator: str) -> DataFrame:
+    """file, range, nth, text of the stretches that begin at `fresh` pieces, `alone` ones (nearly all) without a shuffle."""
+    begun = pieces.groupBy(*RANGE).agg(F.max(F.when(F.col("fresh"), F.col("nth"))).alias("last")).select(*RANGE, earlier(F.when(F.col("last").isNotNull(), F.struct("range", F.col("last").alias("nth")))).alias("carried"))
+    own = F.last(F.when(F.col("fresh"), F.struct("range", "nth")), ignorenulls=True).over(Window.partitionBy(*RANGE).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+    # what is not fresh belongs to the last fresh piece, perhaps in an earlier range
+    parts = pieces.withColumn("own", own).filter("NOT alone").join(begun, RANGE).withColumn("at", F.coalesce("own", "carried"))
+    joined = parts.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("range", "nth", "piece"))).alias("pieces"))
+    joined = joined.select("file", "at.range", "at.nth", F.array_join(F.transform("pieces", lambda x: x["piece"]), separator).alias("text"))
+    return pieces.filter("alone").select(*RANGE, "nth", F.col("piece").alias("text")).union(joined)

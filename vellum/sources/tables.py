@@ -114,31 +114,91 @@ def delimited_items(text: str, delimiter: str) -> list[dict]:
     return [delimited_item(titles(header), cells, nth, delimiter) for nth, cells in enumerate(rows)]
 
 
-def json_items(text: str) -> list[dict]:
-    """Canonical items of one JSON file: an array, an object with `items`, or one object; strings are texts."""
+def json_record(record) -> dict:
+    """The canonical item of one record; what depends on its place in the file is left out (see _placed)."""
+    if not isinstance(record, dict):
+        record = {"text": record, "rawText": record} if isinstance(record, str) else {}
+    get = lambda *names: _first(record, names, True)
+    text_of = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    raw = get("rawText", "raw_text")
+    return {
+        "book_code": text_of(get("bookCode", "book_code", "book")), "chapter": _number(get("chapter")), "verse": text_of(get("verse")),
+        "content_type": text_of(get("contentType", "content_type", "type")) or "json_record", "marker": text_of(get("marker")), "category": text_of(get("category")),
+        "sequence_no": _number(get("sequenceNo", "sequence_no")), "semantic_key": text_of(get("semanticKey", "semantic_key", "logicalKey", "logical_key")) or None, "match_key": text_of(get("matchKey", "match_key")) or None,
+        "parent_semantic_key": text_of(get("parentSemanticKey", "parent_semantic_key")), "raw_text": json.dumps(record, ensure_ascii=False, separators=(",", ":")) if raw is None else text_of(raw),
+        "current_text": text_of(get("currentText", "current_text", "text")) or "", "protection_level": text_of(get("protectionLevel", "protection_level")) or "normal", "source_locator": text_of(get("sourceLocator", "source_locator")) or None,
+        "language_role": text_of(get("languageRole", "language_role")), "language_code": text_of(get("languageCode", "language_code")), "resource_role": text_of(get("resourceRole", "resource_role")),
+    }
+
+
+def _placed(items: DataFrame) -> DataFrame:
+    """items with `number` (from 0): defaults that follow from it."""
+    nth = (F.col("number") + 1).cast("string")
+    key = F.coalesce("semantic_key", F.concat(F.lit("JSON|"), nth))
+    return items.withColumns({"sequence_no": F.coalesce("sequence_no", F.col("number").cast("int")), "semantic_key": key, "match_key": F.coalesce("match_key", key), "source_locator": F.coalesce("source_locator", F.concat(F.lit("record:"), nth))})
+
+
+def json_records(text: str) -> list:
+    """The records of one file: an array, an object with `items`, or one object."""
     root = json.loads(text.removeprefix("\ufeff"))
-    records = root if isinstance(root, list) else root["items"] if isinstance(root, dict) and isinstance(root.get("items"), list) else [root]
-    items = []
-    for nth, record in enumerate(records):
-        name = f"JSON|{nth + 1}"
-        if not isinstance(record, dict):
-            record = {"text": record, "rawText": record} if isinstance(record, str) else {}
-        get = lambda *names: _first(record, names, True)
-        text_of = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-        text_ = text_of(get("currentText", "current_text", "text")) or ""
-        raw = get("rawText", "raw_text")
-        key = text_of(get("semanticKey", "semantic_key", "logicalKey", "logical_key")) or name
-        items.append(
-            {
-                "book_code": text_of(get("bookCode", "book_code", "book")), "chapter": _number(get("chapter")), "verse": text_of(get("verse")),
-                "content_type": text_of(get("contentType", "content_type", "type")) or "json_record", "marker": text_of(get("marker")), "category": text_of(get("category")),
-                "sequence_no": _number(get("sequenceNo", "sequence_no")) or nth, "semantic_key": key, "match_key": text_of(get("matchKey", "match_key")) or key,
-                "parent_semantic_key": text_of(get("parentSemanticKey", "parent_semantic_key")), "raw_text": json.dumps(record, ensure_ascii=False, separators=(",", ":")) if raw is None else text_of(raw),
-                "current_text": text_, "protection_level": text_of(get("protectionLevel", "protection_level")) or "normal", "source_locator": text_of(get("sourceLocator", "source_locator")) or f"record:{nth + 1}",
-                "language_role": text_of(get("languageRole", "language_role")), "language_code": text_of(get("languageCode", "language_code")), "resource_role": text_of(get("resourceRole", "resource_role")),
-            }
-        )
-    return items
+    return root if isinstance(root, list) else root["items"] if isinstance(root, dict) and isinstance(root.get("items"), list) else [root]
+
+
+_DECODER = json.JSONDecoder()
+_BLANK = re.compile(r"[ \t\n\r]*")
+
+
+def _value(text: str, at: int) -> tuple[object, int]:
+    """The value at a place behind blanks, and where the next thing begins."""
+    value, end = _DECODER.raw_decode(text, _BLANK.match(text, at).end())
+    return value, _BLANK.match(text, end).end()
+
+
+def _behind_head(text: str) -> str:
+    """What follows the `[` of a root object's items; ValueError where a member before them is not complete."""
+    at = 1
+    while True:
+        key, at = _value(text, at)
+        start = _BLANK.match(text, at + 1).end()
+        if not isinstance(key, str) or text[at : at + 1] != ":":
+            raise ValueError("no member")
+        if key == "items" and text[start : start + 1] == "[":
+            return text[start + 1 :]
+        _, at = _value(text, start)
+        if text[at : at + 1] != ",":
+            raise ValueError("no items")
+        at += 1
+
+
+def _before_tail(text: str) -> str:
+    """What stands before the `]` of a root object's items; ValueError where the rest holds items again."""
+    at = _BLANK.match(text).end()
+    while text[at : at + 1] != "]":
+        _, at = _value(text, at + (text[at : at + 1] == ","))
+    if "items" in json.loads('{"":0' + text[at + 1 :]):
+        raise ValueError("items twice")
+    return text[:at]
+
+
+def chunk_records(text: str, root: str, first: bool, last: bool) -> list:
+    """The records of a stretch of a large file between two of its records; ValueError where that is none."""
+    text = text.strip(" \t\n\r")
+    if first:
+        text = text[1:] if root == "[" else _behind_head(text)
+    if last:
+        if root == "[" and not text.endswith("]"):
+            raise ValueError("the array does not end")
+        text = text[:-1] if root == "[" else _before_tail(text)
+    text = text.strip(" \t\n\r")
+    if not first and text:
+        if text[0] != ",":
+            raise ValueError("no comma")
+        text = text[1:].strip(" \t\n\r")
+        if not text:
+            raise ValueError("no value")
+    if not text and not last:
+        raise ValueError("no value")
+    return json.loads(f"[{text}]")
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
@@ -168,20 +228,10 @@ def parse_delimited(files: DataFrame, delimiter: str = ",", size: int = ranges.R
 
 def _chunks(lines: DataFrame) -> DataFrame:
     """file, range, nth, text of the stretches of lines that begin and end outside quotes."""
-    quotes = F.length("piece") - F.length(F.replace("piece", F.lit('"'), F.lit("")))
-    lines = lines.withColumn("q", quotes)
-    before = lines.groupBy(*RANGE).agg(F.sum("q").alias("n")).select(*RANGE, ranges.summed_before("n").alias("before"))
-    run = Window.partitionBy(*RANGE).orderBy("nth")
-    lines = lines.join(before, RANGE).withColumn("parity", (F.col("before") + F.sum("q").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("q")) % 2)
-    fresh = F.col("parity") == 0
-    alone = fresh & (F.col("q") % 2 == 0)  # nearly all lines
-    # the others belong to the last line that began outside quotes, perhaps in an earlier range
-    begun = lines.groupBy(*RANGE).agg(F.max(F.when(fresh, F.col("nth"))).alias("last")).select(*RANGE, ranges.earlier(F.when(F.col("last").isNotNull(), F.struct("range", F.col("last").alias("nth")))).alias("carried"))
-    own = F.last(F.when(fresh, F.struct("range", "nth")), ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, 0))
-    parts = lines.withColumn("own", own).filter(~alone).join(begun, RANGE).withColumn("at", F.coalesce("own", "carried"))
-    joined = parts.groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("range", "nth", "piece"))).alias("lines"))
-    joined = joined.select("file", "at.range", "at.nth", F.array_join(F.transform("lines", lambda x: x["piece"]), "\n").alias("text"))
-    return lines.filter(alone).select(*RANGE, "nth", F.col("piece").alias("text")).union(joined)
+    lines = lines.withColumn("q", F.length("piece") - F.length(F.replace("piece", F.lit('"'), F.lit(""))))
+    fresh = F.col("before") % 2 == 0
+    lines = ranges.with_sum_before(lines, "q", "before").withColumns({"fresh": fresh, "alone": fresh & (F.col("q") % 2 == 0)})
+    return ranges.stretches(lines, "\n")
 
 
 def parse_delimited_lines(lines: DataFrame, delimiter: str = ",") -> DataFrame:
@@ -206,5 +256,90 @@ def parse_delimited_lines(lines: DataFrame, delimiter: str = ",") -> DataFrame:
     return finish(items.union(unread))
 
 
-def parse_json(files: DataFrame) -> DataFrame:
-    return _parsed(files, lambda b: json_items(b.decode("utf-8", "replace")))
+def parse_json(files: DataFrame, size: int = ranges.RANGE_PIECES, chars: int = ranges.RANGE_CHARS) -> DataFrame:
+    """Items of files (file, content as bytes); those of more than `chars` bytes are read in ranges of `size` pieces."""
+    large = F.length("content") > chars
+    small = _json_files(files.filter(~large).select("file", F.decode("content", "utf-8").alias("text")))
+    return small.union(parse_json_pieces(ranges.pieces_of(files.filter(large).select("file", F.decode("content", "utf-8").alias("content")), "}", size)))
+
+
+def _json_files(files: DataFrame) -> DataFrame:
+    """Items of files (file, text), each read in one go."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, numbers = [], []
+            for file, text in zip(pdf["file"], pdf["text"], strict=True):
+                try:
+                    found = [json_record(x) | {"file": file} for x in json_records(text)]
+                except ValueError as error:  # one bad file must not end the job: it is reported as a row
+                    found = [{"file": file, "content_type": "unreadable", "warning": str(error)[:500]}]
+                rows += found
+                numbers += range(len(found))
+            yield _frame(rows).assign(number=numbers)
+
+    items = files.mapInPandas(run, f"{SCHEMA}, number long")
+    bad = F.col("warning").isNotNull()
+    kept = items.columns[:-1]
+    return finish(_placed(items.filter(~bad)).select(*kept).union(items.filter(bad).select(*kept)))
+
+
+def _json_chunks(pieces: DataFrame) -> DataFrame:
+    """file, range, nth, text, root, first, last of the stretches between the records of an array, or of an object's items.
+
+    pieces are cut at `}`.  The parity of the quotes that no backslash escapes tells whether a piece begins
+    inside a string; with it, brackets outside strings add up to the depth.  A record ends where a `}` brings
+    the depth back to that of the array (1), or of an array in an object (2).
+    """
+    place = F.struct("range", "nth")
+    # whether a brace that ends the file has been left out
+    ended = F.sum("octets") == F.max("file_size") if "octets" in pieces.columns else F.lit(False)
+    files = pieces.groupBy("file").agg(ended.alias("ended"), F.substring(F.ltrim(F.min_by(F.regexp_replace("piece", "[\t\n\r]", " "), place)), 1, 1).alias("root"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+    pieces = pieces.join(files, "file").withColumns({"first": place == F.col("lo"), "last": place == F.col("hi")}).drop("lo", "hi", "octets", "file_size")
+    pieces = pieces.withColumn("parts", F.split(F.regexp_replace("piece", r"(?s)\\.", ""), '"')).withColumn("q", F.size("parts") - 1)
+    pieces = ranges.with_sum_before(pieces, "q", "quotes")
+    inside = F.col("quotes") % 2
+    plain = F.array_join(F.filter("parts", lambda x, i: (i + inside) % 2 == 0), "")
+    opened = F.length(F.regexp_replace(plain, r"[^{\[]", "")) - F.length(F.regexp_replace(plain, r"[^}\]]", ""))
+    ends = (F.col("quotes") + F.col("q")) % 2 == 0  # outside strings
+    pieces = pieces.withColumns({"inside": inside == 1, "closes": ~F.col("last") & ends, "opened": opened.cast("long")})
+    pieces = pieces.withColumn("change", F.col("opened") - F.col("closes").cast("long")).drop("parts", "q", "quotes")
+    pieces = ranges.with_sum_before(pieces, "change", "depth")
+    level = F.when(F.col("root") == "[", 1).when(F.col("root") == "{", 2).otherwise(-1)
+    behind = F.col("depth") + F.col("change")
+    whole = F.when(~F.col("last") | F.col("ended"), F.concat("piece", F.lit("}"))).otherwise(F.col("piece"))
+    fresh = F.col("first") | (~F.col("inside") & (F.col("depth") == level))
+    pieces = pieces.withColumns({"piece": whole, "fresh": fresh, "alone": fresh & F.col("closes") & (behind == level)})
+    found = ranges.stretches(pieces, "").join(files.drop("ended"), "file")
+    # the last stretch is the one from the last fresh piece on, unless a record ends the file
+    tail = pieces.filter("fresh").groupBy("file").agg(F.max(place).alias("tail"))
+    return found.join(tail, "file").select("file", "range", "nth", "text", "root", (place == F.col("lo")).alias("first"), (place == F.col("tail")).alias("last"))
+
+
+def parse_json_pieces(pieces: DataFrame) -> DataFrame:
+    """Items of files as pieces (file, range, nth, piece), cut at `}`.
+
+    Arrays, and objects whose `items` come before any other member with an object inside, are read record by
+    record over many tasks; any other file is one value, and is read in one go.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, places = [], []
+            for file, at, nth, text, root, first, last in zip(*[pdf[c] for c in ("file", "range", "nth", "text", "root", "first", "last")], strict=True):
+                try:
+                    found = [json_record(x) | {"file": file} for x in chunk_records(text, root, first, last)] if root in ("[", "{") else None
+                except (ValueError, IndexError):
+                    found = None
+                found = [{"file": file, "warning": "whole"}] if found is None else found
+                rows += found
+                places += [(at, nth, k) for k in range(len(found))]
+            yield _frame(rows).assign(**{c: [p[i] for p in places] for i, c in enumerate(("range", "nth", "k"))})
+
+    items = _json_chunks(pieces).mapInPandas(run, f"{SCHEMA}, range long, nth long, k long")
+    one = items.filter("warning IS NOT NULL").select("file").distinct()
+    regular = _placed(ranges.numbered(items.join(one, "file", "left_anti"), "nth", "k"))
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    chunks = _json_chunks(pieces).join(one, "file").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("range", "nth", "text"))).alias("chunks"))
+    whole = chunks.select("file", F.array_join(F.transform("chunks", lambda x: x["text"]), "").alias("text"))
+    return finish(regular.select(*columns)).union(_json_files(whole))
