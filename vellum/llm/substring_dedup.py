@@ -94,6 +94,8 @@ def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
     """The bucket of sorted keys, by their upper half, and the slice of each that occurs."""
+    if not len(keys):
+        return []
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     starts = _runs(bucket)
     return [(int(bucket[s]), slice(s, e)) for s, e in zip(starts, np.append(starts[1:], len(keys)), strict=True)]
