@@ -234,3 +234,24 @@ def index_df(items):
         for w in set(t.split()):
             df[w] = df.get(w, 0) + 1
     return df
+
+
+def test_draws_at_any_count():
+    """A draw of w out of n rows is never empty and never larger than w rows on average, however large n is."""
+    from vellum.llm.common import drawn_below
+
+    for wanted, count in [(1, 1), (5, 3), (3000, 10**4), (300, 3 * 10**8), (300, 10**12), (6000, 10**15), (1, 2**63)]:
+        hashes = drawn_below(wanted, count) + 2**63 + 1
+        assert 0 < hashes <= 2**64 and abs(hashes * count / 2**64 - min(wanted, count)) <= 1
+
+
+def test_leaks_do_not_depend_on_the_slices(spark):
+    """Items of very unequal length: the passages are as long as the longest item of the whole benchmark wants."""
+    words = lambda p, n: " ".join(f"{p}{k}" for k in range(n))
+    items = [(1, f"{words('q', 12)} ? {words('r', 6)} ."), (2, words("long", 200))] + [(3 + k, f"{words(f'x{k}y', 8)} ? {words(f'z{k}y', 5)} .") for k in range(30)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    apart = f"{words('q', 12)} {words('between', 60)} {words('r', 6)}"  # question and answer far from each other
+    docs = spark.createDataFrame([(1, apart), (2, items[1][1]), (3, f"{words('x3y', 8)} and {words('z3y', 5)}"), (4, words("none", 300)), (5, f"{words('q', 12)} {words('far', 700)} {words('r', 6)}")], "doc_id long, text string")
+    got = [sorted(map(repr, decontamination.find_leaks(docs, benchmark, max_items=n).collect())) for n in (100, 11, 4)]
+    assert got[0] == got[1] == got[2]
+    assert {r.doc_id for r in decontamination.find_leaks(docs, benchmark).filter("contaminated").collect()} >= {1, 2, 3}

@@ -101,6 +101,21 @@ def fingerprint(*parts: Column | str) -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
 
 
+def id_text() -> Column:
+    """doc_id as decimal text: pandas makes floats of a batch of numbers with a null."""
+    return F.col("doc_id").cast("long").cast("string").alias("doc_id")
+
+
+def typed_id(df: DataFrame) -> DataFrame:
+    """df with doc_id, until now text, as a number again."""
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def drawn_below(wanted: int, count: int) -> int:
+    """The highest of `wanted` in `count` equal parts of all 64-bit hashes: hash <= this draws about `wanted` of `count` rows."""
+    return -(2**63) + min(2**64, wanted * 2**64 // max(count, 1)) - 1
+
+
 def whole(docs: DataFrame) -> Column:
     """All columns of docs as one struct, out of the way of an operator's own names."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import fingerprint, stored, whole
+from vellum.llm.common import fingerprint, id_text, stored, typed_id, whole
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?]+\s+")
@@ -69,11 +69,12 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
 @dataclass
 class Statistics:
-    """Items with a word, their words in all, and in how many items each word of interest occurs."""
+    """Items with a word, their words in all, in how many items each word of interest occurs, and the words of the longest item."""
 
     items: int
     words: int
     df: dict[str, int]
+    longest: int = 0
 
 
 @dataclass
@@ -96,10 +97,10 @@ class Index:
         items = [(i, t) for i, t in items if words_of(t)]
         words = [words_of(t) for _, t in items]
         counts = [Counter(ws) for ws in words]
-        known = statistics or Statistics(len(items), sum(map(len, words)), Counter(w for c in counts for w in c))
+        known = statistics or Statistics(len(items), sum(map(len, words)), Counter(w for c in counts for w in c), max(map(len, words), default=1))
         df, total, mean = known.df, known.items, known.words / max(known.items, 1)
         parts = [tuple(shingles(p) for p in question_and_answer(t)) for _, t in items]
-        out = Index([i for i, _ in items], parts, max(map(len, words), default=1), threshold, block)
+        out = Index([i for i, _ in items], parts, max([known.longest, 1, *map(len, words)]), threshold, block)
         for ws, c in zip(words, counts, strict=True):
             raw = {w: np.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * len(ws) / mean)) for w, n in c.items()}
             own = sum(raw.values())
@@ -191,7 +192,7 @@ def build_indexes(benchmark: DataFrame, threshold: float = 0.5, max_items: int =
             yield pd.DataFrame({"item_id": pdf["item_id"].iloc[some].astype("Int64"), "item": pdf["item"].iloc[some], "n": [words[k].total() for k in some], "terms": [list(words[k]) for k in some]})
 
     spelled = stored(items.mapInPandas(terms, "item_id long, item string, n long, terms array<string>"))
-    n, total = spelled.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n, total, longest = spelled.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
     slices = max(1, -(-n // max_items))
     cut = F.pmod(F.xxhash64("item_id", "item"), F.lit(slices)).alias("slice")
     each = spelled.select(cut, F.explode("terms").alias("term"))
@@ -200,7 +201,7 @@ def build_indexes(benchmark: DataFrame, threshold: float = 0.5, max_items: int =
     for k in range(slices):
         part = spelled.filter(cut == k).select("item_id", "item").collect()
         known = df.filter(F.array_contains("slices", k)).select("term", "df").toLocalIterator()
-        yield Index.build(sorted(((r[0], r[1]) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1])), Statistics(n, total, {r[0]: r[1] for r in known}), threshold)
+        yield Index.build(sorted(((r[0], r[1]) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1])), Statistics(n, total, {r[0]: r[1] for r in known}, longest), threshold)
 
 
 _FOUND = "items array<long>, best_score double, best_overlap double"
@@ -235,14 +236,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, max_
     """doc_id, contaminated, items (leaked item ids, ascending), best_score, best_overlap for every row of docs."""
     indexes = build_indexes(benchmark, max_items=max_items)
     index, second = next(indexes), next(indexes, None)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(id_text(), "text")
     if second is None:
-        out = _judged(rows, index, overlap, "doc_id long", hits_only=False)
+        out = _judged(rows, index, overlap, "doc_id string", hits_only=False)
     else:
-        hits = _hits(rows, chain([index, second], indexes), overlap)
-        out = rows.select("doc_id", fingerprint("doc_id", "text").alias("row")).join(hits, "row", "left")
+        hits = _hits(docs, chain([index, second], indexes), overlap)
+        out = docs.select(id_text(), fingerprint("doc_id", "text").alias("row")).join(hits, "row", "left")
         out = out.withColumns({"items": F.coalesce("items", F.array().cast("array<long>")), "best_score": F.coalesce("best_score", F.lit(0.0)), "best_overlap": F.coalesce("best_overlap", F.lit(0.0))})
-    return out.select("doc_id", (F.col("best_overlap") > 0).alias("contaminated"), "items", "best_score", "best_overlap")
+    return typed_id(out).select("doc_id", (F.col("best_overlap") > 0).alias("contaminated"), "items", "best_score", "best_overlap")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, max_items: int = 20_000) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import durable, fingerprint, shuffle_partitions, whole
+from vellum.llm.common import durable, fingerprint, id_text, shuffle_partitions, typed_id, whole
 from vellum.llm.components import connected_components
 
 SHINGLE = 5
@@ -174,7 +174,7 @@ def _sets(pdf: pd.DataFrame) -> list[np.ndarray]:
 def similar_documents(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999, depth: int = 3, block: int = 512, waves: int = 4) -> tuple[DataFrame, DataFrame]:
     """Keyed rows (row, doc_id, cls, n) and classes (cls, root, root_doc, root_row, links, copies)."""
     runs = runs_needed(depth, recall)
-    keyed = docs.select(_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.select(_row(docs).alias("row"), id_text(), "text")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Shingles()
@@ -186,9 +186,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, recall: float =
             for c, s in zip(cls, sets, strict=True):
                 keys.append(paths(s, runs, depth, similarity) if len(s) and c not in seen else None)
                 seen.add(c)
-            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "cls": cls, "n": [len(s) for s in sets], "paths": keys})
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "cls": cls, "n": [len(s) for s in sets], "paths": keys})
 
-    walked = durable(keyed.mapInPandas(walk, "row string, doc_id long, cls long, n int, paths array<long>"))
+    walked = durable(typed_id(keyed.mapInPandas(walk, "row string, doc_id string, cls long, n int, paths array<long>")))
     rows = walked.select("row", "doc_id", "cls", "n")
     classes = durable(
         rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("row").alias("speaker"), F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("copies"))

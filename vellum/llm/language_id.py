@@ -27,13 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import held_out
+from vellum.llm.common import drawn_below, held_out, id_text, typed_id
 
 BITS = 15
 DIM = 1 << BITS
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]")  # letters, and numerals such as one half that are none
-_SPREAD = 1_000_000
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +146,8 @@ def train(docs: DataFrame, max_rows: int = 3000, least: int = 50, seed: int = 23
     # one row a language; a text without a letter is not counted, as it cannot be learned from
     counts = learn.filter(F.col("_text").rlike(r"\p{L}")).groupBy("_lang").count().collect()
     share = max(least, max_rows // max(len(counts), 1))
-    rates = docs.sparkSession.createDataFrame([(r["_lang"], share * _SPREAD // r["count"]) for r in counts], "_lang string, _rate long")
-    draw = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(_SPREAD)) < F.col("_rate")
+    rates = docs.sparkSession.createDataFrame([(r["_lang"], drawn_below(share, r["count"])) for r in counts], "_lang string, _bound long")
+    draw = F.xxhash64("_id", F.lit(seed)) <= F.col("_bound")
     drawn = learn.join(F.broadcast(rates), "_lang").filter(draw)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,4 +179,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, s = zip(*[m.predict(t) for t in pdf["text"]], strict=True) if len(pdf) else ((), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": np.array(s, float)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return typed_id(docs.select(id_text(), "text").mapInPandas(run, "doc_id string, lang_pred string, score double"))

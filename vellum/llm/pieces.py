@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from vellum.llm.common import id_text, typed_id
+
 MARK = "▁"
 #: Chunks longer than this are segmented each time, and a table beyond this many entries is emptied.
 MAX_KEPT_CHARS, MAX_KEPT = 48, 600_000
@@ -107,7 +109,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [encode(path, t) for t in pdf["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return typed_id(docs.select(id_text(), "text").mapInPandas(run, "doc_id string, ids array<int>"))
 
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -118,4 +120,4 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
             n, ids, back = zip(*[digest(path, t) for t in pdf["text"]], strict=True) if len(pdf) else ((), (), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": np.array(n, np.int64), "ids_sha256": ids, "decoded_sha256": back})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return typed_id(docs.select(id_text(), "text").mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from vellum.llm.common import id_text, typed_id
 from vellum.llm.pieces import MARK, ChunkTable, bare_processor, chunks_of
 
 
@@ -118,7 +119,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
             size = np.array([len(t.encode()) if t else 0 for t in pdf["text"]], np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": size, "n_tokens": tokens, "over_limit": tokens > limit})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return typed_id(docs.select(id_text(), "text").mapInPandas(run, "doc_id string, n_bytes long, n_tokens long, over_limit boolean"))
 
 
 def truncate_documents(docs: DataFrame, path: str, budget: int) -> DataFrame:
@@ -128,4 +129,4 @@ def truncate_documents(docs: DataFrame, path: str, budget: int) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [truncate(path, t, budget) for t in pdf["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, text string")
+    return typed_id(docs.select(id_text(), "text").mapInPandas(run, "doc_id string, text string"))

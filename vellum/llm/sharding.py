@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import durable, shuffle_partitions, whole
+from vellum.llm.common import durable, id_text, shuffle_partitions, typed_id, whole
 
 _OUT = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
 _GROUP = ["grp", "crc", "size", "none"]
@@ -70,8 +70,8 @@ def _located(docs: DataFrame) -> tuple[DataFrame, int, int, int]:
                 yield pdf.drop(columns=["part", "tie"]).assign(begin=ends - size, index=index + np.arange(len(pdf)))
                 begin, index = int(ends[-1]), index + len(pdf)
 
-    schema = "grp long, crc long, size long, none boolean, doc_id long, begin long, index long"
-    return durable(ranged.mapInPandas(locate, schema)), at, seen, largest
+    schema = "grp long, crc long, size long, none boolean, doc_id string, begin long, index long"
+    return durable(typed_id(ranged.withColumn("doc_id", id_text()).mapInPandas(locate, schema))), at, seen, largest
 
 
 def _cuts(located: DataFrame, total: int, largest: int, n_shards: int) -> list[tuple[int, int]]:

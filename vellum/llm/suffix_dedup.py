@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import fingerprint, stored
+from vellum.llm.common import fingerprint, id_text, stored, typed_id
 
 GRAM = 64
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -147,11 +147,11 @@ def _settled(sampled: DataFrame) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """a, b (the row), doc_id, text of docs, with marks_1, marks_2 (see _settled) and the starts of single repeated strings."""
+    """a, b (the row), doc_id (as text), text of docs, with marks_1, marks_2 (see _settled) and the starts of single repeated strings."""
     if not 2 * GRAM + 20 <= length <= 3 * GRAM + 32:  # three 128-byte ranks cover an anchor's reach
         raise ValueError("length must be from 148 to 224 bytes")
     row = fingerprint("doc_id", "text")
-    keyed = docs.select(row["a"].alias("a"), row["b"].alias("b"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.select(row["a"].alias("a"), row["b"].alias("b"), id_text(), "text")
 
     def sample(gram: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +209,7 @@ def _cut(docs: DataFrame, length: int, make, schema: str) -> DataFrame:
             yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return find_repeats(docs, length).mapInPandas(run, f"doc_id long, {schema}")
+    return typed_id(find_repeats(docs, length).mapInPandas(run, f"doc_id string, {schema}"))
 
 
 def repeat_digests(docs: DataFrame, length: int = 200) -> DataFrame:

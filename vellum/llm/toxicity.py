@@ -35,11 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import held_out, stored
+from vellum.llm.common import drawn_below, held_out, id_text, stored, typed_id
 
 _WORD = re.compile(r"[^\W\d_]+")
 DIM = 1 << 20
-_SPREAD = 1_000_000
 
 
 class Features:
@@ -226,24 +225,26 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unla
     if not toxic:
         return NOTHING
     confirmed = known.filter(F.col("_toxic") == 1).select("_id")
-    draw = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(_SPREAD)) < min(1.0, max_positive / confirmed.count()) * _SPREAD
+    draw = F.xxhash64("_id", F.lit(seed)) <= drawn_below(max_positive, confirmed.count())
     drawn = F.broadcast(confirmed.filter(draw))  # about max_positive ids at most, however many are labelled
     pos = learn.join(drawn, "_id", "left_semi")
-    chosen = select_features(learn, pos, min(toxic, max_positive), n)
+    n_pos = pos.count()
+    chosen = select_features(learn, pos, n_pos, n)
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Features(chosen)
         for pdf in batches:
             rows = [of(t) for t in pdf["_text"]]
             some = [k for k, (ids, _) in enumerate(rows) if len(ids)]
-            yield pd.DataFrame({"id": pdf["_id"].iloc[some], "f": [rows[k][0].astype(np.int32) for k in some], "x": [rows[k][1].astype(np.float32) for k in some]})
+            if some:  # an empty column would have no type
+                yield pd.DataFrame({"id": pdf["_id"].iloc[some], "f": [rows[k][0].astype(np.int32) for k in some], "x": [rows[k][1].astype(np.float32) for k in some]})
 
     wanted = "id long, f array<int>, x array<float>"
     compact = stored(learn.mapInPandas(featurize, wanted))  # a few numbers for each row with a chosen feature
     share = min(1.0, max_unlabelled / n)
-    other = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(_SPREAD)) < share * _SPREAD
+    other = F.xxhash64("id", F.lit(seed + 1)) <= drawn_below(max_unlabelled, n)
     positive = _rows(compact.join(drawn.withColumnRenamed("_id", "id"), "id", "left_semi").orderBy("id").toPandas())
-    positive += [(np.zeros(0, np.int64), np.zeros(0))] * (pos.count() - len(positive))
+    positive += [(np.zeros(0, np.int64), np.zeros(0))] * (n_pos - len(positive))
     if not positive:
         return NOTHING
     sample = _rows(compact.filter(other).orderBy("id").toPandas())
@@ -264,7 +265,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             s = m.scores([of(t) for t in pdf["text"]])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    return typed_id(docs.select(id_text(), "text").mapInPandas(run, "doc_id string, score double, predicted int"))
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
