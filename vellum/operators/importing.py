@@ -76,9 +76,13 @@ def authority_reason(content_type: Column, protection: Column, old_role: Column,
     return F.when(scripture, REASONS["scripture"]).when(choice == "use_incoming", told("use_incoming", new_role, new, old)).when(choice == "keep_existing", told("keep_existing", F.coalesce(old_role, F.lit("unknown")), old, new)).otherwise(REASONS["manual_review"])
 
 
-def authority_rules(spark) -> DataFrame:
-    """All rules by type, the highest priority first."""
-    return dims.authority(spark).orderBy("content_type", F.desc("priority"), "resource_role")
+def authority_rules(spark, items: DataFrame | None = None) -> DataFrame:
+    """All rules by type, the highest priority first; with items: how many each rule concerns."""
+    rules = dims.authority(spark)
+    if items is not None:
+        counts = items.groupBy("content_type", "resource_role").agg(F.count("*").alias("n_items"))
+        rules = rules.join(counts, ["content_type", "resource_role"], "left").fillna(0, ["n_items"])
+    return rules.orderBy("content_type", F.desc("priority"), "resource_role")
 
 
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:

@@ -212,13 +212,23 @@ def _plain_sql() -> dict[str, str]:
             CASE recommendation WHEN 'use_incoming' THEN 1 WHEN 'manual_review' THEN 2 ELSE 3 END AS rank, sha256(s.current_text) AS existing_hash FROM classified c JOIN stored s ON s.id = anchor_id WHERE status = 'conflict'""",
         "resolve_next_state": f"""WITH {_classified(True)}, {_DECIDED}
             SELECT s.id, CASE WHEN l.anchor_id IS NULL THEN s.review_status ELSE 'needs_review' END AS review_status, sha256(coalesce(l.new_text, s.current_text)) AS text_hash FROM stored s LEFT JOIN last l ON l.anchor_id = s.id""",
-        "usfm_items": """WITH c AS (SELECT CAST(i AS INTEGER) AS chapter FROM range(1, 51) t(i)), v AS (SELECT chapter, CAST(j AS INTEGER) AS verse FROM c, range(1, 101) t(j)),
-            rows AS (
-              SELECT 0 AS sequence_no, 'book_id' AS content_type, CAST(NULL AS INTEGER) AS chapter, CAST(NULL AS VARCHAR) AS verse, 'PSA|book_id' AS semantic_key, 'Performance fixture' AS current_text
-              UNION ALL SELECT 1 + (chapter - 1) * 101, 'chapter', chapter, NULL, concat('PSA|', chapter, '|chapter'), CAST(chapter AS VARCHAR) FROM c
-              UNION ALL SELECT 1 + (chapter - 1) * 101 + verse, 'scripture', chapter, CAST(verse AS VARCHAR), concat('PSA|', chapter, '|', verse, '|scripture'),
-                concat('Performance verse ', chapter, ':', verse, ' with repeated words for vocabulary and publishing checks.') FROM v)
-            SELECT CAST(sequence_no AS INTEGER) AS sequence_no, content_type, chapter, verse, semantic_key, semantic_key AS match_key, current_text, sha256(current_text) AS content_hash, concat('line:', sequence_no + 1) AS source_locator FROM rows""",
+        "usfm_items": """WITH o AS (SELECT o_orderpriority AS file, o_orderkey AS k, o_custkey, o_orderstatus AS status FROM orders),
+            lines AS (
+              SELECT file, k, 0 AS j, 'book_id' AS content_type, ['GEN', 'EXO', 'LEV'][CAST(floor(k / 2000) % 3 + 1 AS INTEGER)] AS code, CAST(NULL AS INTEGER) AS number, CAST(NULL AS VARCHAR) AS verse, 'Orders' AS current_text FROM o WHERE k % 2000 = 0
+              UNION ALL SELECT file, k, 1, 'chapter', NULL, CAST(o_custkey % 40 + 1 AS INTEGER), NULL, CAST(o_custkey % 40 + 1 AS VARCHAR) FROM o WHERE k % 10 = 0
+              UNION ALL SELECT file, k, 2, 'scripture', NULL, NULL, CAST(k % 5 AS VARCHAR), concat(status, ' of ', o_custkey) FROM o
+              UNION ALL SELECT file, k, 3, 'section_heading', NULL, NULL, CAST(k % 5 AS VARCHAR), status FROM o),
+            told AS (
+              SELECT *, row_number() OVER w AS at, last_value(code IGNORE NULLS) OVER w AS book, last_value(number IGNORE NULLS) OVER w AS chapter FROM lines
+              WINDOW w AS (PARTITION BY file ORDER BY k, j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+            items AS (
+              SELECT *, 0 AS pos FROM told UNION ALL
+              SELECT * REPLACE ('footnote' AS content_type, concat('+ note ', k) AS current_text), 1 FROM told WHERE content_type = 'scripture' AND k % 3 = 0),
+            scoped AS (SELECT *, concat_ws('|', coalesce(book, 'UNK'), coalesce(chapter, 0), coalesce(verse, ''), content_type) AS scope FROM items),
+            nths AS (SELECT *, row_number() OVER (PARTITION BY file, scope ORDER BY k, j, pos) - 1 AS n, row_number() OVER (PARTITION BY file ORDER BY k, j, pos) - 1 AS seq FROM scoped),
+            keyed AS (SELECT *, CASE content_type WHEN 'scripture' THEN scope WHEN 'chapter' THEN concat_ws('|', coalesce(book, 'UNK'), coalesce(chapter, 0), 'chapter') WHEN 'book_id' THEN concat(coalesce(book, 'UNK'), '|book_id') END AS own FROM nths)
+            SELECT file, CAST(seq AS INTEGER) AS sequence_no, content_type, chapter, verse, coalesce(own, concat_ws('|', scope, CASE content_type WHEN 'footnote' THEN 'f' ELSE 's1' END, '', n)) AS semantic_key, coalesce(own, concat_ws('|', scope, n)) AS match_key,
+              current_text, sha256(current_text) AS content_hash, concat('line:', at, CASE WHEN pos = 1 THEN ':footnote' ELSE '' END) AS source_locator FROM keyed""",
         "html_extract": f"""WITH h AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, array_to_string(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), '|') AS hs FROM pages)
             SELECT page_id, {_unescape('t')} AS title, {_unescape('hs')} AS headings FROM h""",
         "canonical_export": f"WITH items AS ({ITEMS}) SELECT " + ", ".join(f"coalesce({_CANON[h]}, '') AS \"{h}\"" if h in _CANON else f"'' AS \"{h}\"" for h in dims.HEADERS) + " FROM items",
@@ -254,7 +264,8 @@ def _plain_sql() -> dict[str, str]:
             FROM (SELECT c.*, CASE WHEN recommendation = 'manual_review' THEN 'manual_merge' ELSE recommendation END AS action, s.id IS NOT NULL AND
                     (recommendation = 'keep_existing' OR (c.content_type <> 'figure' AND (s.protection_level <> 'protected_scripture' OR length(c.current_text) % 2 = 0))) AS taken
                   FROM classified c LEFT JOIN stored s ON s.id = anchor_id WHERE c.status = 'conflict') AS c""",
-        "authority_rules": f"SELECT * FROM (VALUES {_values(dims.AUTHORITY)}) AS r(content_type, resource_role, priority)",
+        "authority_rules": f"""WITH items AS ({ITEMS}) SELECT r.content_type, r.resource_role, r.priority, count(i.id) AS n_items FROM (VALUES {_values(dims.AUTHORITY)}) AS r(content_type, resource_role, priority)
+            LEFT JOIN items i ON i.content_type = r.content_type AND i.resource_role = r.resource_role GROUP BY 1, 2, 3""",
         "role_guess": f"""SELECT s_suppkey, CASE WHEN regexp_matches(n, 'cross|reference') THEN 'cross_references' WHEN regexp_matches(n, 'foot') THEN 'footnotes' WHEN regexp_matches(n, 'intro|back matter|glossary') THEN 'introductions'
             WHEN regexp_matches(n, 'map|chart') THEN 'maps_charts' WHEN regexp_matches(n, 'study|sub-?heading') THEN 'study_notes' WHEN contains(n, 'gsb') AND regexp_matches(n, '[.](sfm|usfm)$') THEN 'source_scripture'
             WHEN regexp_matches(n, 'irv|tam') AND regexp_matches(n, '[.](sfm|usfm)$') THEN 'target_scripture' ELSE 'other' END AS role FROM (SELECT s_suppkey, lower(filename) AS n FROM ({FILE_NAMES}) AS f) AS g""",
@@ -271,8 +282,9 @@ def _plain_sql() -> dict[str, str]:
             concat('say "', p_name, '"', {delimiter}, chr(10), p_size) AS current_text, CAST(NULL AS VARCHAR) AS language_role, concat('row:', {nth} + 2) AS source_locator FROM part"""
             for kind, delimiter in (("csv", "','"), ("tsv", "chr(9)"))
         },
-        "json_items": f"""SELECT p_brand AS file, 'MRK' AS book_code, nullif(p_size, 0) AS chapter, CAST(NULL AS VARCHAR) AS verse, 'json_record' AS content_type, CAST(NULL AS VARCHAR) AS marker, {nth} AS sequence_no, concat('P|', p_partkey) AS semantic_key,
-            concat('P|', p_partkey) AS match_key, p_name AS current_text, 'source' AS language_role, concat('record:', {nth} + 1) AS source_locator FROM part""",
+        "json_items": f"""SELECT p_brand AS file, 'MRK' AS book_code, nullif(p_size, 0) AS chapter, CAST(NULL AS VARCHAR) AS verse, 'json_record' AS content_type, CAST(NULL AS VARCHAR) AS marker, CAST({nth} + 1 AS INTEGER) AS sequence_no, concat('P|', p_partkey) AS semantic_key,
+            concat('P|', p_partkey) AS match_key, concat(p_name, ' }}') AS current_text, 'source' AS language_role, concat('record:', {nth} + 2) AS source_locator FROM part
+            UNION ALL SELECT DISTINCT p_brand, NULL, NULL, NULL, 'json_record', NULL, 0, 'JSON|1', 'JSON|1', 'first', NULL, 'record:1' FROM part""",
         "docx_items": """SELECT 'book/MAT-notes.docx' AS file, 'MAT' AS book_code, CAST(n_regionkey + 1 AS INTEGER) AS chapter, '3' AS verse, 'footnote' AS content_type, '\\f' AS marker, CAST(n_nationkey * 2 + k AS INTEGER) AS sequence_no,
             concat('N|', n_nationkey) AS semantic_key, concat('MAT|', n_regionkey + 1, '|3|footnote|', row_number() OVER (PARTITION BY n_regionkey, k ORDER BY n_nationkey) - 1) AS match_key,
             concat(n_name, ' & <', role, '> "x"', chr(10), '2') AS current_text, role AS language_role, concat('table-row:', n_nationkey + 2) AS source_locator FROM nation, (VALUES (0, 'source'), (1, 'target')) AS r(k, role)""",

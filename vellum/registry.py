@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -239,7 +239,8 @@ def commit_batches(spark, sf_dir):
 
 @query
 def authority_rules(spark, sf_dir):
-    return importing.authority_rules(spark)
+    """All rules, with how many items each one concerns."""
+    return importing.authority_rules(spark, _items(spark, sf_dir))
 
 
 @query
@@ -324,33 +325,48 @@ def export_rows(spark, sf_dir):
 PARSED = ["file", "book_code", "chapter", "verse", "content_type", "marker", "sequence_no", "semantic_key", "match_key", "current_text", "language_role", "source_locator"]
 
 
-def _part_files(spark, sf_dir, delimiter):
+def _in_ranges(rows, file, number, text, separator, size=256):
+    """file, range, nth, piece: a large file for each value of `file`, as pieces over many tasks; rows in order of their number."""
+    each = rows.select(F.col(file).alias("file"), F.floor(F.col(number) / size).alias("range"), F.col(number).alias("number"), F.posexplode(F.split(text, separator)).alias("part", "piece"))
+    nth = F.row_number().over(Window.partitionBy("file", "range").orderBy("number", "part")) - 1
+    return each.select("file", "range", nth.cast("long").alias("nth"), "piece")
+
+
+def _part_lines(spark, sf_dir, delimiter):
     """One delimited file for each brand: quotes, line feeds and delimiters inside cells, loose titles."""
+    parts = _table(spark, sf_dir, "part")
     cell = F.concat(F.lit('"say ""'), "p_name", F.lit(f'""{delimiter}\n'), "p_size", F.lit('"'))
     line = F.concat_ws(delimiter, F.concat(F.lit("P|"), "p_partkey"), F.lit("MAT"), F.col("p_size").cast("string"), F.lit("1-2"), F.lit("\\s"), cell)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"])
-    titles = delimiter.join(["\ufeffsemantic_key", "Book", "Ch", "Vs", "Tags", "Translation"])
-    return _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("file")).agg(F.encode(F.concat(F.lit(titles + "\r\n"), F.array_join(lines, "\r\n")), "utf-8").alias("content"))
+    titles = delimiter.join(["semantic_key", "Book", "Ch", "Vs", "Tags", "Translation"])
+    first = parts.select(F.col("p_brand").alias("file"), F.lit(-1).cast("long").alias("range"), F.lit(0).cast("long").alias("nth"), F.lit(titles + "\r").alias("piece")).distinct()
+    return first.union(_in_ranges(parts, "p_brand", "p_partkey", F.concat(line, F.lit("\r")), "\n"))
 
 
 @query
 def csv_items(spark, sf_dir):
-    return tables.parse_delimited(_part_files(spark, sf_dir, ",")).select(*PARSED)
+    """Large CSV files as lines over many tasks; records of two lines."""
+    return tables.parse_delimited_lines(_part_lines(spark, sf_dir, ",")).select(*PARSED)
 
 
 @query
 def tsv_items(spark, sf_dir):
-    return tables.parse_delimited(_part_files(spark, sf_dir, "\t"), "\t").select(*PARSED)
+    return tables.parse_delimited_lines(_part_lines(spark, sf_dir, "\t"), "\t").select(*PARSED)
 
 
 @query
 def json_items(spark, sf_dir):
-    """One JSON file for each brand: bare arrays, and objects with items."""
-    one = F.struct("p_partkey", F.struct(F.concat(F.lit("P|"), "p_partkey").alias("semanticKey"), F.lit("MRK").alias("book"), F.col("p_size").alias("chapter"), F.col("p_name").alias("text"), F.lit("source").alias("languageRole")).alias("r"))
-    records = F.transform(F.array_sort(F.collect_list(one)), lambda x: x["r"])
-    grouped = _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("file")).agg(records.alias("items"))
-    text = F.when(F.crc32(F.col("file").cast("binary")) % 2 == 0, F.to_json("items")).otherwise(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), "items")))
-    return tables.parse_json(grouped.select("file", F.encode(text, "utf-8").alias("content"))).select(*PARSED)
+    """A large JSON file for each brand, cut at braces: arrays, and objects with items; braces in strings and objects inside records."""
+    parts = _table(spark, sf_dir, "part")
+    inner = F.when(F.col("p_partkey") % 3 == 0, F.struct(F.lit('"}{').alias("odd"), F.struct("p_size").alias("more")))
+    record = F.struct(F.concat(F.lit("P|"), "p_partkey").alias("semanticKey"), F.lit("MRK").alias("book"), F.col("p_size").alias("chapter"), F.concat("p_name", F.lit(" }")).alias("text"), F.lit("source").alias("languageRole"), inner.alias("inner"))
+    # behind the last brace of a record begins the next piece
+    each = _in_ranges(parts, "p_brand", "p_partkey", F.concat(F.lit(","), F.regexp_replace(F.to_json(record), r"\}$", "")), r"\}")
+    brands = parts.select(F.col("p_brand").alias("file")).distinct()
+    array = F.crc32(F.col("file").cast("binary")) % 2 == 0
+    piece = lambda at, nth, text: brands.select("file", F.lit(at).cast("long").alias("range"), F.lit(nth).cast("long").alias("nth"), text.alias("piece"))
+    first = piece(-1, 0, F.concat(F.when(array, "[").otherwise('{"schemaVersion":1,"items":['), F.lit('{"text":"first"')))
+    last = piece(2**62, 0, F.when(array, F.lit("]")).otherwise(F.lit('],"end":0'))).union(piece(2**62, 1, F.lit("")).filter(~array))
+    return tables.parse_json_pieces(first.union(each).union(last)).select(*PARSED)
 
 
 @query
@@ -375,8 +391,16 @@ def noted_usfm_items(spark, sf_dir):
 
 @query
 def usfm_items(spark, sf_dir):
-    """The published workload, 50 chapters of 100 verses, made and parsed."""
-    return markers.parse(generated_book(spark)).select("sequence_no", "content_type", "chapter", "verse", "semantic_key", "match_key", "current_text", "content_hash", "source_locator")
+    """A large line-marker file for each priority, as lines over many tasks: books, chapters and verses carry over ranges, keys are numbered over the file."""
+    k = F.col("o_orderkey")
+    parts = [
+        F.when(k % 2000 == 0, F.concat(F.lit("\\id "), F.element_at(F.array(F.lit("gen"), F.lit("exo"), F.lit("lev")), (F.floor(k / 2000) % 3 + 1).cast("int")), F.lit(" Orders"))),
+        F.when(k % 10 == 0, F.concat(F.lit("\\c "), F.col("o_custkey") % 40 + 1)),
+        F.concat(F.lit("\\v "), k % 5, F.lit(" "), "o_orderstatus", F.lit(" of "), "o_custkey", F.when(k % 3 == 0, F.concat(F.lit(" \\f + \\ft note "), k, F.lit("\\f*"))).otherwise("")),
+        F.concat(F.lit("\\s1 "), "o_orderstatus"),
+    ]
+    lines = _in_ranges(_table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey", F.concat_ws("\n", *parts), "\n").withColumnRenamed("piece", "line")
+    return markers.parse_lines(lines).select("file", "sequence_no", "content_type", "chapter", "verse", "semantic_key", "match_key", "current_text", "content_hash", "source_locator")
 
 
 def generated_book(spark: SparkSession, books: int = 1) -> DataFrame:
