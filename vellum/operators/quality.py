@@ -6,12 +6,16 @@ the rules on pairs share one pivot; only duplicate identity needs a grouping of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum import dims
 from vellum.functions import text as T
-from vellum.operators import pairing
+from vellum.operators import pairing, scans
 
 INVISIBLE = r"[\u200B\u200C\u200D\u2060\uFEFF]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
@@ -116,17 +120,64 @@ def pair_findings(items: DataFrame) -> DataFrame:
     return each.select(F.coalesce(t["id"], s["id"]).alias("content_item_id"), paired.alias("paired_content_item_id"), "f.*").select(*COLUMNS)
 
 
-def duplicate_findings(items: DataFrame) -> DataFrame:
-    """More than one record of a resource role, language and match identity."""
+#: Records that the evidence of a repeated identity names; duplicate_members has them all.
+EVIDENCE = 1000
+
+
+def _identities(items: DataFrame) -> DataFrame:
+    """id, resource_role, at, key of every item."""
     key = F.concat_ws("|", F.coalesce("resource_role", F.lit("")), F.coalesce("language_code", "language_role", F.lit("")), T.filled(F.col("match_key"), F.col("semantic_key"), F.col("logical_key")))
-    # counted first, so that only the records of repeated identities are gathered
-    keyed = items.select("id", "resource_role", F.struct("book_code", "chapter", "sequence_no", "id").alias("at"), key.alias("key"))
-    repeated = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", "at").alias("first")).filter("n > 1")
-    same = keyed.join(repeated, "key").groupBy("key", "first").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.array_sort(F.collect_list(F.struct("at", "resource_role"))).alias("ordered"))
+    return items.select("id", "resource_role", F.struct("book_code", "chapter", "sequence_no", "id").alias("at"), key.alias("key"))
+
+
+def _repeated(keyed: DataFrame) -> DataFrame:
+    """key, n, first (id) of the identities that more than one item has; counted before they are shuffled."""
+    return keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", "at").alias("first")).filter("n > 1")
+
+
+def duplicate_members(items: DataFrame) -> DataFrame:
+    """key, first, id, resource_role: one row for every record of a repeated identity."""
+    keyed = _identities(items)
+    return keyed.join(_repeated(keyed), "key").select("key", "first", "id", "resource_role")
+
+
+def _streamed_fingerprints(keyed: DataFrame) -> DataFrame:
+    """key, fingerprint (see T.fingerprint) of the sorted ids of a key, hashed as a sorted stream: no row holds the ids."""
+
+    def run(stream: Iterator[dict]) -> Iterator[dict]:
+        for key, own in groupby(stream, lambda r: r["key"]):
+            sha, between = hashlib.sha256("|".join((dims.ENGINE, "duplicate_match", key, "")).encode()), ""
+            for x in own:
+                sha.update((between + x["id"]).encode())
+                between = ","
+            yield {"key": key, "fingerprint": sha.hexdigest()}
+
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scans.mapped(keyed.select("key", "id").repartition(n, "key").sortWithinPartitions("key", "id"), run, "key string, fingerprint string")
+
+
+def duplicate_findings(items: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
+    """More than one record of a resource role, language and match identity.
+
+    The evidence names the first `evidence` records in book order; an identity with more says how many
+    there are (`records`), and duplicate_members lists them.
+    """
+    keyed = _identities(items)
+    repeated = _repeated(keyed)
+    held = keyed.join(repeated, "key")
+    first = Window.partitionBy("key").orderBy("at")
+    # the limit is applied before the shuffle too, so a key of any size brings `evidence` rows from each task
+    shown = held.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= evidence)
+    same = shown.groupBy("key", "first", "n").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.array_sort(F.collect_list(F.struct("at", "resource_role"))).alias("ordered"))
     in_order = F.transform("ordered", lambda x: x["at"]["id"])
     roles = F.transform("ordered", lambda x: x["resource_role"])
-    f = _finding(F.lit(True), "duplicate_canonical_record", "high", 1.0, [F.lit("duplicate_match"), F.col("key"), F.concat_ws(",", "ids")], matchIdentity=F.col("key"), recordIds=in_order, resourceRoles=roles)
-    return same.select(F.col("first").alias("content_item_id"), F.lit(None).cast("string").alias("paired_content_item_id"), f.alias("f")).select("content_item_id", "paired_content_item_id", "f.*").select(*COLUMNS)
+    all_shown = F.col("n") <= evidence
+    found = lambda **more: _finding(F.lit(True), "duplicate_canonical_record", "high", 1.0, [F.lit("duplicate_match"), F.col("key"), F.concat_ws(",", "ids")], matchIdentity=F.col("key"), recordIds=in_order, resourceRoles=roles, **more)
+    f = F.when(all_shown, found()).otherwise(found(records=F.col("n")))
+    large = _streamed_fingerprints(held.filter(F.col("n") > evidence)).withColumnRenamed("fingerprint", "_streamed")
+    out = same.select("key", F.col("first").alias("content_item_id"), F.lit(None).cast("string").alias("paired_content_item_id"), all_shown.alias("_all"), f.alias("f")).join(large, "key", "left")
+    out = out.select("content_item_id", "paired_content_item_id", "f.*", "_all", "_streamed")
+    return out.withColumn("fingerprint", F.when(F.col("_all"), F.col("fingerprint")).otherwise(F.col("_streamed"))).select(*COLUMNS)
 
 
 def findings(items: DataFrame, closed: DataFrame | None = None) -> DataFrame:

@@ -219,7 +219,7 @@ def _plain_sql() -> dict[str, str]:
               UNION ALL SELECT file, k, 2, 'scripture', NULL, NULL, CAST(k % 5 AS VARCHAR), concat(status, ' of ', o_custkey) FROM o
               UNION ALL SELECT file, k, 3, 'section_heading', NULL, NULL, CAST(k % 5 AS VARCHAR), status FROM o),
             told AS (
-              SELECT *, row_number() OVER w AS at, last_value(code IGNORE NULLS) OVER w AS book, last_value(number IGNORE NULLS) OVER w AS chapter FROM lines
+              SELECT *, row_number() OVER w AS line_no, last_value(code IGNORE NULLS) OVER w AS book, last_value(number IGNORE NULLS) OVER w AS chapter FROM lines
               WINDOW w AS (PARTITION BY file ORDER BY k, j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
             items AS (
               SELECT *, 0 AS pos FROM told UNION ALL
@@ -228,7 +228,7 @@ def _plain_sql() -> dict[str, str]:
             nths AS (SELECT *, row_number() OVER (PARTITION BY file, scope ORDER BY k, j, pos) - 1 AS n, row_number() OVER (PARTITION BY file ORDER BY k, j, pos) - 1 AS seq FROM scoped),
             keyed AS (SELECT *, CASE content_type WHEN 'scripture' THEN scope WHEN 'chapter' THEN concat_ws('|', coalesce(book, 'UNK'), coalesce(chapter, 0), 'chapter') WHEN 'book_id' THEN concat(coalesce(book, 'UNK'), '|book_id') END AS own FROM nths)
             SELECT file, CAST(seq AS INTEGER) AS sequence_no, content_type, chapter, verse, coalesce(own, concat_ws('|', scope, CASE content_type WHEN 'footnote' THEN 'f' ELSE 's1' END, '', n)) AS semantic_key, coalesce(own, concat_ws('|', scope, n)) AS match_key,
-              current_text, sha256(current_text) AS content_hash, concat('line:', at, CASE WHEN pos = 1 THEN ':footnote' ELSE '' END) AS source_locator FROM keyed""",
+              current_text, sha256(current_text) AS content_hash, concat('line:', line_no, CASE WHEN pos = 1 THEN ':footnote' ELSE '' END) AS source_locator FROM keyed""",
         "html_extract": f"""WITH h AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, array_to_string(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), '|') AS hs FROM pages)
             SELECT page_id, {_unescape('t')} AS title, {_unescape('hs')} AS headings FROM h""",
         "canonical_export": f"WITH items AS ({ITEMS}) SELECT " + ", ".join(f"coalesce({_CANON[h]}, '') AS \"{h}\"" if h in _CANON else f"'' AS \"{h}\"" for h in dims.HEADERS) + " FROM items",
