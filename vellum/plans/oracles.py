@@ -285,9 +285,12 @@ def _plain_sql() -> dict[str, str]:
         "json_items": f"""SELECT p_brand AS file, 'MRK' AS book_code, nullif(p_size, 0) AS chapter, CAST(NULL AS VARCHAR) AS verse, 'json_record' AS content_type, CAST(NULL AS VARCHAR) AS marker, CAST({nth} + 1 AS INTEGER) AS sequence_no, concat('P|', p_partkey) AS semantic_key,
             concat('P|', p_partkey) AS match_key, concat(p_name, ' }}') AS current_text, 'source' AS language_role, concat('record:', {nth} + 2) AS source_locator FROM part
             UNION ALL SELECT DISTINCT p_brand, NULL, NULL, NULL, 'json_record', NULL, 0, 'JSON|1', 'JSON|1', 'first', NULL, 'record:1' FROM part""",
-        "docx_items": """SELECT 'book/MAT-notes.docx' AS file, 'MAT' AS book_code, CAST(n_regionkey + 1 AS INTEGER) AS chapter, '3' AS verse, 'footnote' AS content_type, '\\f' AS marker, CAST(n_nationkey * 2 + k AS INTEGER) AS sequence_no,
-            concat('N|', n_nationkey) AS semantic_key, concat('MAT|', n_regionkey + 1, '|3|footnote|', row_number() OVER (PARTITION BY n_regionkey, k ORDER BY n_nationkey) - 1) AS match_key,
-            concat(n_name, ' & <', role, '> "x"', chr(10), '2') AS current_text, role AS language_role, concat('table-row:', n_nationkey + 2) AS source_locator FROM nation, (VALUES (0, 'source'), (1, 'target')) AS r(k, role)""",
+        "docx_items": """WITH c AS (SELECT c_custkey, c_name, c_nationkey % 5 + 1 AS chapter, CAST(floor(c_custkey / 60) AS BIGINT) AS part FROM customer)
+            SELECT concat('book/MAT-notes-', part, '.docx') AS file, 'MAT' AS book_code, CAST(chapter AS INTEGER) AS chapter, '3' AS verse, 'footnote' AS content_type, '\\f' AS marker, CAST((c_custkey % 60) * 2 + k AS INTEGER) AS sequence_no,
+            concat('N|', c_custkey) AS semantic_key, concat('MAT|', chapter, '|3|footnote|', row_number() OVER (PARTITION BY part, chapter, k ORDER BY c_custkey) - 1) AS match_key,
+            concat(c_name, ' & <', role, '> "x"', chr(10), '2') AS current_text, role AS language_role, concat('table-row:', c_custkey % 60 + 2) AS source_locator FROM c, (VALUES (0, 'source'), (1, 'target')) AS r(k, role)""",
+        "duplicate_members": f"""WITH items AS ({ITEMS}) SELECT concat_ws('|', resource_role, language_code, match_key) AS key, first_value(id) OVER (PARTITION BY resource_role, language_code, match_key ORDER BY book_code, chapter, sequence_no, id) AS first, id, resource_role
+            FROM items QUALIFY count(*) OVER (PARTITION BY resource_role, language_code, match_key) > 1""",
         "noted_usfm_items": """WITH parts(sequence_no, chapter, verse, content_type, marker, tail, match_tail, source_locator, parent, warning) AS (VALUES
               (0, NULL, NULL, 'book_id', 'id', 'book_id', 'book_id', 'line:1', NULL, NULL), (1, 1, NULL, 'chapter', 'c', '1|chapter', '1|chapter', 'line:2', NULL, NULL),
               (2, 1, '1', 'scripture', 'v', '1|1|scripture', '1|1|scripture', 'line:3', NULL, NULL), (3, 1, '1', 'footnote', 'f', '1|1|footnote|f||0', '1|1|footnote|0', 'line:3:footnote', 'JON|1|1|scripture', NULL),

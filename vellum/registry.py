@@ -9,7 +9,7 @@ from vellum.functions import text as T
 from vellum.operators import importing, pairing, quality, summaries
 from vellum.plans import oracles
 from vellum.plans.shared_sql import DOCUMENTS, EXISTING, EXISTING_MORE, FILE_NAMES, INCOMING, INCOMING_MORE, ITEMS, view
-from vellum.sinks import exchange
+from vellum.sinks import archive, exchange
 from vellum.sources import files, markers, tables, word
 
 _QUERIES = {}
@@ -371,14 +371,20 @@ def json_items(spark, sf_dir):
 
 @query
 def docx_items(spark, sf_dir):
-    """A Word file with a bilingual row for each nation, written and read."""
-    nation = _table(spark, sf_dir, "nation")
+    """Word files with 60 bilingual rows each, written in chunks of 16 rows, and read."""
+    customer = _table(spark, sf_dir, "customer").withColumn("file", F.concat(F.lit("book/MAT-notes-"), F.floor(F.col("c_custkey") / 60), F.lit(".docx")))
     sides = [
-        nation.selectExpr("concat('N|', n_nationkey) AS semantic_key", f"n_nationkey * 2 + {k} AS sequence_no", "n_regionkey + 1 AS chapter", "'3' AS verse", "'footnote' AS content_type", "'f' AS marker", f"'{role}' AS language_role", f"concat(n_name, ' & <{role}> \"x\"\n2') AS current_text")
+        customer.selectExpr("file", "concat('N|', c_custkey) AS semantic_key", f"c_custkey * 2 + {k} AS sequence_no", "c_nationkey % 5 + 1 AS chapter", "'3' AS verse", "'footnote' AS content_type", "'f' AS marker", f"'{role}' AS language_role", f"concat(c_name, ' & <{role}> \"x\"\n2') AS current_text")
         for k, role in enumerate(("source", "target"))
     ]
-    content = exchange.docx_bytes(sides[0].union(sides[1]))  # 25 nations
-    return word.parse_docx(spark.createDataFrame([("book/MAT-notes.docx", content)], "file string, content binary")).select(*PARSED)
+    pieces = exchange.docx_pieces(sides[0].union(sides[1]), "file", rows=16)
+    return word.parse_docx(archive.small_files(pieces)).select(*PARSED)
+
+
+@query
+def duplicate_members(spark, sf_dir):
+    """All records of repeated identities, however many an identity has."""
+    return quality.duplicate_members(_items(spark, sf_dir))
 
 
 @query

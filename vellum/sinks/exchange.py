@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.dims import EXCHANGE_VERSION, HEADERS
 from vellum.functions import text as T
+from vellum.sinks import archive
 
 _SNAKE = {h: "".join("_" + c.lower() if c.isupper() else c for c in h) for h in HEADERS}
 _DEFAULT = {"sequenceNo": "0", "protectionLevel": "normal", "reviewStatus": "unreviewed"}
 
 
-def canonical(items: DataFrame) -> DataFrame:
-    """The 18 exchange columns; missing columns and nulls take their defaults."""
+def canonical(items: DataFrame, *more: Column) -> DataFrame:
+    """The 18 exchange columns, after `more`; missing columns and nulls take their defaults."""
 
     def value(header: str) -> Column:
         names = [_SNAKE[header]] + (["semantic_key"] if header == "matchKey" else [])
         found = [F.col(n).cast("string") for n in names if n in items.columns]
         return F.coalesce(*found, F.lit(_DEFAULT.get(header, ""))).alias(header)
 
-    return items.select(*map(value, HEADERS))
+    return items.select(*more, *map(value, HEADERS))
 
 
 def export_rows(items: DataFrame, resources: DataFrame | None = None, book_code: str | None = None, language_code: str | None = None, resource_role: str | None = None) -> DataFrame:
@@ -116,48 +114,74 @@ def sorted_sample(rows: DataFrame, n: int) -> list:
     return drawn.orderBy(*rows.columns).collect()
 
 
-def bilingual_table(items: DataFrame) -> DataFrame:
-    """no, key, tags, chapter, verse, sub_tags, content_type, protection, english, translation of all items given."""
-    rows = canonical(items).withColumn("seq", F.col("sequenceNo").cast("int"))
+def bilingual_table(items: DataFrame, by: str | None = None) -> DataFrame:
+    """no, key, tags, chapter, verse, sub_tags, content_type, protection, english, translation of all items given.
+
+    by: a column of items that names the file of each; `file` comes first then, and numbers begin anew in each.
+    """
+    rows = canonical(items, *([] if by is None else [F.col(by).alias("file")])).withColumn("seq", F.col("sequenceNo").cast("int"))
+    of = [] if by is None else ["file"]
     key = T.filled(F.col("semanticKey"), F.col("matchKey"), F.concat_ws("|", "bookCode", "chapter", "verse", "contentType", "sequenceNo"))
     one = F.struct("marker", "chapter", "verse", "category", "contentType", "protectionLevel", "currentText")
     order = F.struct("seq", "currentText")
     role = F.col("languageRole")
     pick = lambda r: F.max_by(F.when(role == r, one), F.when(role == r, order)).alias(r)
     other = F.min_by(F.when(~role.isin("source", "target"), one), F.when(~role.isin("source", "target"), order)).alias("other")
-    groups = rows.groupBy(key.alias("key")).agg(F.min("seq").alias("seq"), pick("source"), pick("target"), other)
+    groups = rows.groupBy(*of, key.alias("key")).agg(F.min("seq").alias("seq"), pick("source"), pick("target"), other)
     r = F.coalesce("source", "target", "other")
     tag = F.when(r["marker"] == "", "").when(r["marker"].startswith("\\"), r["marker"]).otherwise(F.concat(F.lit("\\"), r["marker"]))
-    return numbered(groups, "seq", "key").select("no", "key", tag.alias("tags"), r["chapter"].alias("chapter"), r["verse"].alias("verse"), r["category"].alias("sub_tags"), r["contentType"].alias("content_type"), r["protectionLevel"].alias("protection"),
+    out = numbered(groups, *of, "seq", "key")
+    if of:
+        firsts = out.groupBy("file").agg(F.min("no").alias("_first"))
+        out = out.join(firsts, "file").withColumn("no", F.col("no") - F.col("_first") + 1)
+    return out.select(*of, "no", "key", tag.alias("tags"), r["chapter"].alias("chapter"), r["verse"].alias("verse"), r["category"].alias("sub_tags"), r["contentType"].alias("content_type"), r["protectionLevel"].alias("protection"),
         F.coalesce("source.currentText", F.lit("")).alias("english"), F.coalesce("target.currentText", "other.currentText", F.lit("")).alias("translation"))
 
 
+# The titles of the bilingual table, and the parts that a Word file has beside its document.
+TITLES = ["Semantic Key", "No", "Tags", "Ch", "Vs", "Sub-Tags", "Content Type", "Protection", "English", "Translation"]
+_NS = "http://schemas.openxmlformats.org"
+_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+_TYPES = f'{_HEAD}<Types xmlns="{_NS}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+_RELS = f'{_HEAD}<Relationships xmlns="{_NS}/package/2006/relationships"><Relationship Id="rId1" Type="{_NS}/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+_BEGIN, _FINISH = f'{_HEAD}<w:document xmlns:w="{_NS}/wordprocessingml/2006/main"><w:body><w:tbl>', "</w:tbl></w:body></w:document>"
+
+
+def _table_row(cells: list[Column]) -> Column:
+    """A table row; line feeds in a cell become breaks."""
+    open_, close = '<w:t xml:space="preserve">', "</w:t>"
+
+    def cell(c: Column) -> Column:
+        text = F.regexp_replace(T.escape_xml(F.coalesce(c.cast("string"), F.lit(""))), "\r?\n", f"{close}<w:br/>{open_}")
+        return F.concat(F.lit(f"<w:tc><w:p><w:r>{open_}"), text, F.lit(f"{close}</w:r></w:p></w:tc>"))
+
+    return F.concat(F.lit("<w:tr>"), *map(cell, cells), F.lit("</w:tr>"))
+
+
+def docx_pieces(items: DataFrame, by: str, rows: int = 2000, files: DataFrame | None = None) -> DataFrame:
+    """file, member, nth, data: Word files of any size with a bilingual table, one for each value of the column `by`.
+
+    Written in order of (member, nth), the pieces of a file are the file.  A table is compressed in chunks of
+    `rows` rows, each by a task of its own.  files (file): those to write, also without items.
+    """
+    table = bilingual_table(items, by)
+    chunk = F.floor((F.col("no") - 1) / rows)
+    xml = _table_row([F.col(c) for c in ("key", "no", "tags", "chapter", "verse", "sub_tags", "content_type", "protection", "english", "translation")])
+    chunks = table.select("file", chunk.alias("nth"), F.struct("no", xml.alias("xml")).alias("row")).groupBy("file", "nth").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    body = chunks.select("file", F.lit(2).alias("member"), F.lit("word/document.xml").alias("name"), (F.col("nth") + 1).alias("nth"), F.array_join(F.transform("rows", lambda x: x["xml"]), "").alias("text"))
+    begin = F.concat(F.lit(_BEGIN), _table_row([F.lit(t) for t in TITLES]))
+    fixed = [(0, "[Content_Types].xml", 0, F.lit(_TYPES)), (1, "_rels/.rels", 0, F.lit(_RELS)), (2, "word/document.xml", 0, begin), (2, "word/document.xml", 2**40, F.lit(_FINISH))]
+    parts = F.array(*[F.struct(F.lit(m).alias("member"), F.lit(name).alias("name"), F.lit(nth).cast("long").alias("nth"), text.alias("text")) for m, name, nth, text in fixed])
+    files = items.select(F.col(by).alias("file")).distinct() if files is None else files
+    every = body.union(files.select("file", F.explode(parts).alias("p")).select("file", "p.*"))
+    return archive.zip_pieces(every.select("file", "member", "name", "nth", F.encode("text", "utf-8").alias("content")))
+
+
 def docx_bytes(items: DataFrame) -> bytes:
-    """A Word file with the bilingual table of one book or resource."""
-    titles = ["Semantic Key", "No", "Tags", "Ch", "Vs", "Sub-Tags", "Content Type", "Protection", "English", "Translation"]
-    columns = ["key", "no", "tags", "chapter", "verse", "sub_tags", "content_type", "protection", "english", "translation"]
-
-    def cell(value) -> str:
-        text = str(value)
-        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
-            text = text.replace(char, entity)
-        runs = "<w:br/>".join(f'<w:t xml:space="preserve">{x}</w:t>' for x in text.replace("\r\n", "\n").split("\n"))
-        return f"<w:tc><w:p><w:r>{runs}</w:r></w:p></w:tc>"
-
-    rows = [titles] + [[r[c] for c in columns] for r in bilingual_table(_bounded(items)).orderBy("no").toLocalIterator()]
-    table = "".join(f"<w:tr>{''.join(map(cell, r))}</w:tr>" for r in rows)
-    ns = "http://schemas.openxmlformats.org"
-    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    parts = {
-        "[Content_Types].xml": f'{head}<Types xmlns="{ns}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
-        "_rels/.rels": f'{head}<Relationships xmlns="{ns}/package/2006/relationships"><Relationship Id="rId1" Type="{ns}/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/document.xml": f'{head}<w:document xmlns:w="{ns}/wordprocessingml/2006/main"><w:body><w:tbl>{table}</w:tbl></w:body></w:document>',
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, content in parts.items():
-            z.writestr(name, content)
-    return out.getvalue()
+    """The bytes of a Word file with the bilingual table of a bounded export, for a caller that wants them."""
+    files = items.sparkSession.createDataFrame([("export",)], "file string")
+    named = _bounded(items).withColumn("_file", F.lit("export"))
+    return bytes(archive.small_files(docx_pieces(named, "_file", files=files)).first()["content"])
 
 
 def append_absent(new: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.sources import markers, tables, word
+from vellum.sources import markers, ranges, tables, word
 from vellum.sources.items import finish
 
 FORMATS = ("usfm", "sfm", "csv", "tsv", "json", "docx", "doc")
@@ -30,7 +30,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def parse(files: DataFrame) -> DataFrame:
     """Items of all files, each by its format; files of unknown format give one row with a warning."""
     of = lambda *names: files.filter(F.col("format").isin(*names))
-    marked = markers.parse(of("usfm", "sfm").select("file", F.decode("content", "utf-8").alias("content"))).withColumn("logical_key", F.col("semantic_key"))
+    marked = markers.parse(of("usfm", "sfm").select("file", ranges.text_of("content"))).withColumn("logical_key", F.col("semantic_key"))
     unknown = files.filter("format IS NULL").select("file", F.lit("unreadable").alias("content_type"), F.lit("unsupported format").alias("warning"), F.lit(None).cast("string").alias("current_text"), F.lit(None).cast("string").alias("semantic_key"))
     parts = [tables.parse_delimited(of("csv")), tables.parse_delimited(of("tsv"), "\t"), tables.parse_json(of("json")), word.parse_docx(of("docx", "doc")), marked, finish(unknown)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -14,13 +14,18 @@ RANGE_PIECES, RANGE_CHARS = 8192, 1 << 20
 RANGE = ["file", "range"]
 
 
+def text_of(content: str) -> Column:
+    """Bytes as text; what is no UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(F.col(content).cast("string")).alias(content)
+
+
 def read_pieces(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
     """file, range, nth, piece of files of any size: a range is what Spark's reader takes for one split.
 
     Further columns, octets (of the piece and its separator) and file_size: as the reader leaves out a
     separator that ends the file, only their sums tell whether there is one.
     """
-    rows = spark.read.option("lineSep", separator).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("order"), F.col("value").alias("piece"), (F.octet_length("value") + len(separator.encode())).alias("octets"), F.col("_metadata.file_size").alias("file_size"))
+    rows = spark.read.option("lineSep", separator).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("order"), F.make_valid_utf8("value").alias("piece"), (F.octet_length("value") + len(separator.encode())).alias("octets"), F.col("_metadata.file_size").alias("file_size"))
     nth = F.row_number().over(Window.partitionBy(*RANGE).orderBy("order")) - 1
     return _without_mark(rows.withColumn("nth", nth.cast("long"))).select(*RANGE, "nth", "piece", "octets", "file_size")
 

@@ -132,7 +132,7 @@ def json_record(record) -> dict:
 
 
 def _placed(items: DataFrame) -> DataFrame:
-    """items with `number` (from 0): defaults that follow from it."""
+    """items with `number` (from 0): the defaults that follow from it, as in json_items."""
     nth = (F.col("number") + 1).cast("string")
     key = F.coalesce("semantic_key", F.concat(F.lit("JSON|"), nth))
     return items.withColumns({"sequence_no": F.coalesce("sequence_no", F.col("number").cast("int")), "semantic_key": key, "match_key": F.coalesce("match_key", key), "source_locator": F.coalesce("source_locator", F.concat(F.lit("record:"), nth))})
@@ -144,6 +144,16 @@ def json_records(text: str) -> list:
     return root if isinstance(root, list) else root["items"] if isinstance(root, dict) and isinstance(root.get("items"), list) else [root]
 
 
+def json_items(text: str) -> list[dict]:
+    """Canonical items of one file."""
+    items = []
+    for nth, record in enumerate(json_records(text)):
+        item = json_record(record)
+        key = item["semantic_key"] or f"JSON|{nth + 1}"
+        items.append(item | {"sequence_no": item["sequence_no"] or nth, "semantic_key": key, "match_key": item["match_key"] or key, "source_locator": item["source_locator"] or f"record:{nth + 1}"})
+    return items
+
+
 _DECODER = json.JSONDecoder()
 _BLANK = re.compile(r"[ \t\n\r]*")
 
@@ -223,7 +233,7 @@ def parse_delimited(files: DataFrame, delimiter: str = ",", size: int = ranges.R
     """Items of files (file, content as bytes); those of more than `chars` bytes are read in ranges of `size` lines."""
     large = F.length("content") > chars
     small = _parsed(files.filter(~large), lambda b: delimited_items(b.decode("utf-8", "replace"), delimiter))
-    return small.union(parse_delimited_lines(ranges.pieces_of(files.filter(large).select("file", F.decode("content", "utf-8").alias("content")), size=size), delimiter))
+    return small.union(parse_delimited_lines(ranges.pieces_of(files.filter(large).select("file", ranges.text_of("content")), size=size), delimiter))
 
 
 def _chunks(lines: DataFrame) -> DataFrame:
@@ -259,29 +269,12 @@ def parse_delimited_lines(lines: DataFrame, delimiter: str = ",") -> DataFrame:
 def parse_json(files: DataFrame, size: int = ranges.RANGE_PIECES, chars: int = ranges.RANGE_CHARS) -> DataFrame:
     """Items of files (file, content as bytes); those of more than `chars` bytes are read in ranges of `size` pieces."""
     large = F.length("content") > chars
-    small = _json_files(files.filter(~large).select("file", F.decode("content", "utf-8").alias("text")))
-    return small.union(parse_json_pieces(ranges.pieces_of(files.filter(large).select("file", F.decode("content", "utf-8").alias("content")), "}", size)))
+    return _json_files(files.filter(~large)).union(parse_json_pieces(ranges.pieces_of(files.filter(large).select("file", ranges.text_of("content")), "}", size)))
 
 
 def _json_files(files: DataFrame) -> DataFrame:
-    """Items of files (file, text), each read in one go."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows, numbers = [], []
-            for file, text in zip(pdf["file"], pdf["text"], strict=True):
-                try:
-                    found = [json_record(x) | {"file": file} for x in json_records(text)]
-                except ValueError as error:  # one bad file must not end the job: it is reported as a row
-                    found = [{"file": file, "content_type": "unreadable", "warning": str(error)[:500]}]
-                rows += found
-                numbers += range(len(found))
-            yield _frame(rows).assign(number=numbers)
-
-    items = files.mapInPandas(run, f"{SCHEMA}, number long")
-    bad = F.col("warning").isNotNull()
-    kept = items.columns[:-1]
-    return finish(_placed(items.filter(~bad)).select(*kept).union(items.filter(bad).select(*kept)))
+    """Items of files (file, content as bytes), each read in one go."""
+    return _parsed(files, lambda b: json_items(b.decode("utf-8", "replace")))
 
 
 def _json_chunks(pieces: DataFrame) -> DataFrame:
@@ -341,5 +334,5 @@ def parse_json_pieces(pieces: DataFrame) -> DataFrame:
     regular = _placed(ranges.numbered(items.join(one, "file", "left_anti"), "nth", "k"))
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
     chunks = _json_chunks(pieces).join(one, "file").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("range", "nth", "text"))).alias("chunks"))
-    whole = chunks.select("file", F.array_join(F.transform("chunks", lambda x: x["text"]), "").alias("text"))
+    whole = chunks.select("file", F.encode(F.array_join(F.transform("chunks", lambda x: x["text"]), ""), "utf-8").alias("content"))
     return finish(regular.select(*columns)).union(_json_files(whole))
