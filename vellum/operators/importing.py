@@ -292,12 +292,12 @@ def language_breakdown(items: DataFrame) -> DataFrame:
     return counts.union(known).groupBy("language_role").agg(F.sum("n").alias("n"))
 
 
-def commit(incoming: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows to append to the items, and the pending conflicts.
+def commit(incoming: DataFrame, existing: DataFrame, sorted_out: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows to append to the items, and the pending conflicts; sorted_out: the rows as classify has given them before.
 
     Where incoming rows tell their resource_id, file_id, source_locator and created_at, the conflicts carry them on.
     """
-    sorted_out = classify(incoming, existing)
+    sorted_out = classify(incoming, existing) if sorted_out is None else sorted_out
     inserted = incoming.join(sorted_out.filter("status = 'new'").select("id"), "id", "left_semi")
     carried = {"resource_id": "incoming_resource_id", "file_id": "incoming_file_id", "source_locator": "source_locator", "created_at": "created_at"}
     own = [F.col(c).alias(name) if c in incoming.columns else F.lit(None).cast("string").alias(name) for c, name in carried.items()]
@@ -309,7 +309,7 @@ def commit(incoming: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFra
     return inserted, conflicts
 
 
-def committed(files: DataFrame, incoming: DataFrame, existing: DataFrame, books: DataFrame) -> dict[str, DataFrame]:
+def committed(files: DataFrame, incoming: DataFrame, existing: DataFrame, books: DataFrame, sorted_out: DataFrame | None = None) -> dict[str, DataFrame]:
     """What a committed batch adds beside its items and conflicts: books, resources, and the batches' own rows.
 
     files: file_id, batch_id, filename, language_code, resource_role; incoming rows tell their file_id.
@@ -321,7 +321,8 @@ def committed(files: DataFrame, incoming: DataFrame, existing: DataFrame, books:
     resources = files.join(whose, "file_id", "left").select(
         "file_id", "resource_role", F.when(~F.coalesce("mixed", F.lit(False)), F.nullif("language_code", F.lit(""))).alias("language_code"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("book_code"), F.col("filename").alias("title")
     )
-    state = classify(incoming, existing).join(incoming.select("id", "file_id"), "id").join(files.select("file_id", "batch_id"), "file_id")
+    sorted_out = classify(incoming, existing) if sorted_out is None else sorted_out
+    state = sorted_out.join(incoming.select("id", "file_id"), "id").join(files.select("file_id", "batch_id"), "file_id")
     count = lambda status: F.count_if(F.col("status") == status)
     batches = state.groupBy("batch_id").agg(count("new").alias("inserted"), count("identical").alias("skipped"), count("conflict").alias("changed"), F.count_if("cross_role").alias("overlaps"))
     batches = files.select("batch_id").distinct().join(batches, "batch_id", "left").fillna(0).withColumn("status", F.lit("committed"))
