@@ -18,18 +18,25 @@ from pyspark.sql.types import ArrayType, StructType
 PIECE = 2048
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors share.
 
     A temporary folder is set only where none is named and all tasks run in this process (tests).
     """
-    spark: SparkSession = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='vellum-checkpoint-')}")
+        named = f"file://{tempfile.mkdtemp(prefix='vellum-checkpoint-')}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

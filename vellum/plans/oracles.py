@@ -189,6 +189,8 @@ def _plain_sql() -> dict[str, str]:
         "chapter_summary": f"WITH {docs} SELECT book_code, chapter, count(*) AS item_count, {protected} AS scripture_count FROM docs WHERE chapter IS NOT NULL GROUP BY 1, 2",
         "browse_page": f"""WITH {docs}, page AS (SELECT * FROM docs ORDER BY book_code NULLS FIRST, chapter NULLS FIRST, sequence_no, id LIMIT 300 OFFSET 300)
             SELECT p.id, p.book_code, p.chapter, p.sequence_no, p.language_code, coalesce(l.quality, 0) AS priority FROM page p LEFT JOIN labels l ON l.doc_id = p.doc_id""",
+        "browse_page_deep": f"""WITH {docs}, placed AS (SELECT *, row_number() OVER (ORDER BY book_code NULLS FIRST, chapter NULLS FIRST, sequence_no, id) - 1 AS place FROM docs)
+            SELECT place, id, book_code, chapter, sequence_no FROM placed WHERE place >= 650 AND place < 950""",
         "pairs": f"""WITH items AS ({ITEMS}), s AS (SELECT * FROM items WHERE language_role = 'source'), t AS (SELECT * FROM items WHERE language_role = 'target')
             SELECT coalesce(s.semantic_key, t.semantic_key) AS key, s.id AS source_id, t.id AS target_id, sha256(s.current_text) AS source_hash, sha256(t.current_text) AS target_hash,
                    CAST((s.id IS NOT NULL)::INT + (t.id IS NOT NULL)::INT AS BIGINT) AS n FROM s FULL JOIN t ON s.semantic_key = t.semantic_key""",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import importing, pairing, quality, summaries
+from vellum.operators import importing, pages, pairing, quality, scans, summaries
 from vellum.plans import oracles
 from vellum.plans.shared_sql import DOCUMENTS, EXISTING, EXISTING_MORE, FILE_NAMES, INCOMING, INCOMING_MORE, ITEMS, view
 from vellum.sinks import archive, exchange
@@ -95,6 +97,14 @@ def browse_page(spark, sf_dir):
     return page.select("id", "book_code", "chapter", "sequence_no", "language_code", F.coalesce("quality", F.lit(0)).alias("priority"))
 
 
+@query
+def browse_page_deep(spark, sf_dir):
+    """A page far behind, by a directory of sorted ranges: only the ranges that hold it are read."""
+    path = f"{scans.shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    pages.write(_documents(spark, sf_dir).drop("current_text"), path, size=200)
+    return pages.page(spark, path, limit=300, offset=650).select("place", "id", "book_code", "chapter", "sequence_no")
+
+
 @query
 def pairs(spark, sf_dir):
     rows = pairing.pivot(_items(spark, sf_dir), ["id", "current_text"])
