@@ -271,6 +271,49 @@ def _plain_sql() -> dict[str, str]:
         "role_guess": f"""SELECT s_suppkey, CASE WHEN regexp_matches(n, 'cross|reference') THEN 'cross_references' WHEN regexp_matches(n, 'foot') THEN 'footnotes' WHEN regexp_matches(n, 'intro|back matter|glossary') THEN 'introductions'
             WHEN regexp_matches(n, 'map|chart') THEN 'maps_charts' WHEN regexp_matches(n, 'study|sub-?heading') THEN 'study_notes' WHEN contains(n, 'gsb') AND regexp_matches(n, '[.](sfm|usfm)$') THEN 'source_scripture'
             WHEN regexp_matches(n, 'irv|tam') AND regexp_matches(n, '[.](sfm|usfm)$') THEN 'target_scripture' ELSE 'other' END AS role FROM (SELECT s_suppkey, lower(filename) AS n FROM ({FILE_NAMES}) AS f) AS g""",
+        "resolve_versions": f"""WITH {_classified(True)}, {_DECIDED}, kinds AS (SELECT sha256(concat(id, '|', anchor_id)) AS conflict_id, CASE recommendation WHEN 'manual_review' THEN 'manual_merge' ELSE recommendation END AS change_type FROM classified WHERE status = 'conflict')
+            SELECT d.anchor_id AS content_item_id, CAST(CASE WHEN s.sequence_no % 3 = 0 THEN 4 ELSE 0 END + row_number() OVER w AS INTEGER) AS revision_no, sha256(coalesce(lag(new_text) OVER w, s.current_text)) AS text_hash, change_type, 'checked' AS reason
+            FROM decided d JOIN stored s ON s.id = d.anchor_id JOIN kinds USING (conflict_id) WINDOW w AS (PARTITION BY d.anchor_id ORDER BY conflict_id)
+            UNION ALL SELECT id, 4, sha256('before'), 'manual_merge', 'earlier' FROM stored WHERE sequence_no % 3 = 0""",
+        "resolve_refused": f"""WITH {_classified(True)} SELECT sha256(concat(c.id, '|', anchor_id)) AS conflict_id, CASE recommendation WHEN 'manual_review' THEN 'manual_merge' ELSE recommendation END AS action,
+            CASE WHEN s.id IS NULL THEN 'conflict not found' WHEN s.protection_level = 'protected_scripture' AND length(c.current_text) % 2 = 1 THEN 'protected text needs confirmation' ELSE 'a reason is required' END AS error
+            FROM classified c LEFT JOIN stored s ON s.id = anchor_id
+            WHERE status = 'conflict' AND (s.id IS NULL OR (recommendation <> 'keep_existing' AND (c.content_type = 'figure' OR (s.protection_level = 'protected_scripture' AND length(c.current_text) % 2 = 1))))""",
+        "parser_statistics": """WITH o AS (SELECT o_orderpriority AS file, o_orderkey AS k, o_custkey FROM orders), told AS (
+              SELECT *, last_value(CASE WHEN k % 10 = 0 THEN o_custkey % 40 + 1 END IGNORE NULLS) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM o),
+            counts AS (SELECT file, 'book_id' AS t, count(*) FILTER (k % 2000 = 0) AS n FROM o GROUP BY 1 UNION ALL SELECT file, 'chapter', count(*) FILTER (k % 10 = 0) FROM o GROUP BY 1
+              UNION ALL SELECT file, 'footnote', count(*) FILTER (k % 3 = 0) FROM o GROUP BY 1 UNION ALL SELECT file, 'scripture', count(*) FROM o GROUP BY 1 UNION ALL SELECT file, 'section_heading', count(*) FROM o GROUP BY 1)
+            SELECT file, (SELECT array_to_string(list_sort(list(DISTINCT chapter)), ',') FROM told t WHERE t.file = c.file AND chapter IS NOT NULL) AS chapters, max(n) FILTER (t = 'scripture') AS verses,
+              string_agg(concat(t, '=', n), ';' ORDER BY t) FILTER (n > 0) AS stats FROM counts c GROUP BY file""",
+        "file_formats": f"""SELECT s_suppkey, CASE WHEN e IN ('usfm', 'sfm', 'csv', 'tsv', 'json', 'docx', 'doc') THEN e END AS format FROM (SELECT s_suppkey, lower(regexp_extract(filename, '[.]([^./]+)$', 1)) AS e FROM ({FILE_NAMES}) AS f) AS g""",
+        "mixed_files": """WITH s AS (SELECT s_name, s_suppkey % 6 AS n FROM supplier), found(n, ending, content_type, semantic_key, named, fixed, warning) AS (VALUES
+              (0, 'sfm', 'book_id', 'GEN|book_id', false, '', NULL), (0, 'sfm', 'chapter', 'GEN|1|chapter', false, '1', NULL), (0, 'sfm', 'scripture', 'GEN|1|1|scripture', true, NULL, NULL), (1, 'CSV', 'table_row', 'ROW|1', true, NULL, NULL),
+              (2, 'tsv', 'table_row', 'ROW|1', true, NULL, NULL), (3, 'Json', 'json_record', 'JSON|1', true, NULL, NULL), (4, 'csv', 'unreadable', NULL, false, NULL, 'a quoted field is not closed'), (5, 'pdf', 'unreadable', NULL, false, NULL, 'unsupported format'))
+            SELECT concat(s_name, '.', ending) AS file, content_type, semantic_key, CASE WHEN named THEN s_name ELSE fixed END AS current_text, warning FROM s JOIN found USING (n)""",
+        "canonical_csv_items": f"""SELECT p_brand AS file, 'MAT' AS book_code, p_size AS chapter, '4' AS verse, CASE WHEN p_partkey % 2 = 0 THEN 'footnote' ELSE 'table_row' END AS content_type, CAST(NULL AS VARCHAR) AS marker, {nth} AS sequence_no,
+            concat('P|', p_partkey) AS semantic_key, concat('P|', p_partkey) AS match_key, p_name AS current_text, 'source' AS language_role, concat('row:', {nth} + 2) AS source_locator, 'footnotes' AS resource_role, 'normal' AS protection_level, p_name AS raw_text FROM part""",
+        "docx_types": """SELECT concat('PSA ', CAST(floor(s_suppkey / 30) AS BIGINT), '.docx') AS file, concat('S|', s_suppkey) AS semantic_key, 'PSA' AS book_code, concat('\\', ['f', 'x', 's1', 'c', 'v', 'fig', 'ef', 'p'][s_suppkey % 8 + 1]) AS marker, r.role AS language_role, CASE r.role WHEN 'source' THEN s_name ELSE '' END AS current_text,
+            ['footnote', 'cross_reference', 'section_heading', 'chapter_marker', 'scripture_fragment', 'figure', 'study_note', 'docx_record'][s_suppkey % 8 + 1] AS content_type FROM supplier, (VALUES ('source'), ('target')) AS r(role)""",
+        "json_export": """WITH c AS (SELECT row_number() OVER (ORDER BY c_custkey) AS no, * FROM customer) SELECT no, concat(CASE WHEN no > 1 THEN ',' ELSE '' END, CAST(json_object(""" + ", ".join(f"'{h}', " + {"semanticKey": "concat('C|', c_custkey)", "matchKey": "concat('C|', c_custkey)", "sequenceNo": "CAST(c_custkey AS INTEGER)", "currentText": "c_name", "rawText": "concat('\"', c_mktsegment, '\" \\ /')", "languageCode": "'en'", "protectionLevel": "'normal'", "reviewStatus": "'unreviewed'"}.get(h, "''") for h in dims.HEADERS) + f""") AS VARCHAR)) AS text FROM c
+            UNION ALL VALUES (0, '{{"schemaVersion":"{dims.EXCHANGE_VERSION}","exportedAt":"2024-01-01T00:00:00.000Z","items":['), (4611686018427387904, ']}}')""",
+        "marker_export": f"""WITH items AS ({ITEMS}), x AS (SELECT *, CASE WHEN sequence_no % 3 = 0 THEN concat(' \\p ', raw_text) ELSE '' END AS raw, CASE WHEN sequence_no % 5 > 0 THEN marker ELSE '' END AS mark FROM items WHERE sequence_no % 7 > 0),
+            l AS (SELECT book_code, sequence_no, CASE WHEN raw <> '' THEN raw WHEN mark <> '' THEN concat('\\', mark, CASE WHEN current_text <> '' THEN concat(' ', current_text) ELSE '' END) WHEN current_text <> '' THEN current_text END AS line FROM x)
+            SELECT book_code, sequence_no, sha256(line) AS line_hash FROM l WHERE line IS NOT NULL""",
+        "absent_keys": "SELECT DISTINCT o_custkey AS custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0)",
+        "issues_next": f"""WITH {issues}, earlier AS (
+              SELECT fingerprint, category, CASE WHEN fingerprint LIKE '1%' THEN 'rejected' WHEN severity = 'info' THEN 'accepted' ELSE 'open' END AS status, CASE WHEN fingerprint LIKE '0%' THEN 'person' ELSE '{dims.ENGINE}' END AS engine FROM issues WHERE fingerprint NOT LIKE 'f%'),
+            stay AS (SELECT * FROM earlier WHERE NOT (status = 'open' AND engine = '{dims.ENGINE}'))
+            SELECT fingerprint, status, engine, category FROM stay UNION ALL SELECT fingerprint, 'open', '{dims.ENGINE}', category FROM issues WHERE fingerprint NOT IN (SELECT fingerprint FROM stay)""",
+        "issue_status": f"WITH {issues} SELECT fingerprint, CASE WHEN fingerprint = (SELECT min(fingerprint) FROM issues) THEN 'deferred' WHEN severity = 'info' THEN 'accepted' ELSE 'open' END AS status FROM issues",
+        "rules_listed": """SELECT p_partkey AS rule_id, CASE WHEN p_partkey % 3 = 0 THEN 'approved' ELSE 'proposed' END AS status, p_size AS evidence_count FROM part ORDER BY CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END, p_size DESC, p_partkey LIMIT 500""",
+        "clean_cells": f"""WITH {docs}, c AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN ' n/A ' ELSE concat('  ', chr(13), current_text, '  ', chr(10), '  end ', chr(65279)) END AS cell FROM docs),
+            s AS (SELECT doc_id, {_trim("regexp_replace(regexp_replace(regexp_replace(nfc_normalize(cell), '" + _ZW + "', '', 'g'), '[ \r]+', ' ', 'g'), ' *\n *', chr(10), 'g')")} AS s FROM c)
+            SELECT doc_id, sha256(CASE WHEN lower(s) IN ('na', 'n/a') THEN '' ELSE s END) AS cell_hash FROM s""",
+        "resolved_languages": """WITH i AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'source' WHEN 1 THEN 'target' END AS own, CASE doc_id % 3 WHEN 0 THEN lang END AS given, doc_id % 5 AS r FROM documents),
+            t AS (SELECT *, coalesce(own, CASE WHEN r = 0 THEN 'source' WHEN r = 1 THEN 'target' WHEN given = 'en' THEN 'source' WHEN given = 'fr' THEN 'target' END) AS role FROM i)
+            SELECT doc_id, role AS language_role, coalesce(CASE own WHEN 'source' THEN 'en' WHEN 'target' THEN 'fr' ELSE given END, CASE role WHEN 'source' THEN 'en' WHEN 'target' THEN 'fr' END) AS language_code FROM t""",
+        "fresh_ids": "SELECT count(*) AS n, count(DISTINCT doc_id) AS n_ids, count(*) AS n_good FROM documents",
+        "project_lookup": """SELECT n_nationkey AS project_id, n_name AS name, (SELECT count(*) FROM supplier WHERE s_nationkey = 7) AS book_count, (SELECT count(*) FROM customer WHERE c_nationkey = 7) AS item_count FROM nation WHERE n_nationkey = 7""",
         "project_stats": f"""WITH {docs}, {issues}, {_classified(True)}, b AS (SELECT concat('B', CAST(i AS VARCHAR)) AS book_code FROM range(12) t(i))
             SELECT 'totals' AS section, 'items' AS name, count(*) AS n FROM docs UNION ALL SELECT 'totals', 'protected', count(*) FROM docs WHERE protection_level = 'protected_scripture'
             UNION ALL SELECT 'totals', 'approved', count(*) FROM docs WHERE review_status = 'approved' UNION ALL SELECT 'type', content_type, count(*) FROM docs GROUP BY 2

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum import dims
+from vellum.dims import HEADERS
 from vellum.functions import text as T
 from vellum.operators import importing, pages, pairing, quality, scans, summaries
 from vellum.plans import oracles
@@ -293,7 +295,8 @@ def _resolved(spark, sf_dir):
         "conflict_id", action.alias("action"), F.when(F.col("content_type") != "figure", F.lit("checked")).alias("reason"), F.concat(F.lit("merged "), "incoming_id").alias("merged_text"),
         (F.length("incoming_text") % 2 == 0).alias("confirm_protected"), F.concat(F.lit("editor "), "incoming_id").alias("actor"), F.col("created_at").alias("decided_at"),
     )
-    versions = spark.createDataFrame([], "content_item_id string, revision_no int, text string, change_type string, reason string")
+    # some items have been changed four times before
+    versions = existing.filter("sequence_no % 3 = 0").select(F.col("id").alias("content_item_id"), F.lit(4).alias("revision_no"), F.lit("before").alias("text"), F.lit("manual_merge").alias("change_type"), F.lit("earlier").alias("reason"))
     return importing.resolve(conflicts, existing, versions, decisions)
 
 
@@ -315,6 +318,17 @@ def resolve_conflicts(spark, sf_dir):
     return _resolved(spark, sf_dir)[1].select("conflict_id", "status", "resolution_reason", "resolved_by", "resolved_at")
 
 
+@query
+def resolve_versions(spark, sf_dir):
+    """The texts that the decisions have replaced, numbered on from the stored versions."""
+    return _resolved(spark, sf_dir)[2].select("content_item_id", "revision_no", F.sha2("text", 256).alias("text_hash"), "change_type", "reason")
+
+
+@query
+def resolve_refused(spark, sf_dir):
+    return _resolved(spark, sf_dir)[3]
+
+
 @query
 def project_stats(spark, sf_dir):
     books = spark.sql("SELECT concat('B', CAST(id AS STRING)) AS book_code FROM range(12)")
@@ -405,9 +419,8 @@ def noted_usfm_items(spark, sf_dir):
     return markers.parse(text).select(*[c for c in PARSED if c != "language_role"], "parent_semantic_key", "warning", F.array_join(T.numbers(F.col("current_text")), ",").alias("numbers"))
 
 
-@query
-def usfm_items(spark, sf_dir):
-    """A large line-marker file for each priority, as lines over many tasks: books, chapters and verses carry over ranges, keys are numbered over the file."""
+def _order_lines(spark, sf_dir):
+    """Line-marker files as lines in ranges: books, chapters and verses carry over ranges, keys are numbered over the file."""
     k = F.col("o_orderkey")
     parts = [
         F.when(k % 2000 == 0, F.concat(F.lit("\\id "), F.element_at(F.array(F.lit("gen"), F.lit("exo"), F.lit("lev")), (F.floor(k / 2000) % 3 + 1).cast("int")), F.lit(" Orders"))),
@@ -415,8 +428,149 @@ def usfm_items(spark, sf_dir):
         F.concat(F.lit("\\v "), k % 5, F.lit(" "), "o_orderstatus", F.lit(" of "), "o_custkey", F.when(k % 3 == 0, F.concat(F.lit(" \\f + \\ft note "), k, F.lit("\\f*"))).otherwise("")),
         F.concat(F.lit("\\s1 "), "o_orderstatus"),
     ]
-    lines = _in_ranges(_table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey", F.concat_ws("\n", *parts), "\n").withColumnRenamed("piece", "line")
-    return markers.parse_lines(lines).select("file", "sequence_no", "content_type", "chapter", "verse", "semantic_key", "match_key", "current_text", "content_hash", "source_locator")
+    return _in_ranges(_table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey", F.concat_ws("\n", *parts), "\n").withColumnRenamed("piece", "line")
+
+
+@query
+def usfm_items(spark, sf_dir):
+    """A large line-marker file for each priority, over many tasks."""
+    return markers.parse_lines(_order_lines(spark, sf_dir)).select("file", "sequence_no", "content_type", "chapter", "verse", "semantic_key", "match_key", "current_text", "content_hash", "source_locator")
+
+
+@query
+def parser_statistics(spark, sf_dir):
+    """For each file its chapters, verses, and items by type."""
+    found = markers.statistics(markers.parse_lines(_order_lines(spark, sf_dir)))
+    by_type = F.array_join(F.transform(F.array_sort(F.map_entries("stats")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select("file", F.array_join("chapters", ",").alias("chapters"), "verses", by_type.alias("stats"))
+
+
+@query
+def file_formats(spark, sf_dir):
+    return view(spark, sf_dir, FILE_NAMES, "supplier").select("s_suppkey", files.format_of(F.col("filename")).alias("format"))
+
+
+@query
+def mixed_files(spark, sf_dir):
+    """A small file for each supplier, of all formats, read by the dispatcher."""
+    n = F.col("s_suppkey") % 6
+    text = (
+        F.when(n == 0, F.concat(F.lit("\\id GEN\n\\c 1\n\\v 1 "), "s_name"))
+        .when(n == 1, F.concat(F.lit("Book,text\nGEN,"), "s_name"))
+        .when(n == 2, F.concat(F.lit("Book\ttext\nGEN\t"), "s_name"))
+        .when(n == 3, F.concat(F.lit('{"items":[{"text":"'), "s_name", F.lit('"}]}')))
+        .when(n == 4, F.concat(F.lit("Book,text\nGEN,\""), "s_name"))
+        .otherwise("none")
+    )
+    ending = F.element_at(F.array(*map(F.lit, ("sfm", "CSV", "tsv", "Json", "csv", "pdf"))), (n + 1).cast("int"))
+    named = _table(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit("."), ending).alias("file"), F.encode(text, "utf-8").alias("content"))
+    parsed = files.parse(named.withColumn("format", files.format_of(F.col("file"))))
+    return parsed.select("file", "content_type", "semantic_key", "current_text", "warning")
+
+
+@query
+def canonical_csv_items(spark, sf_dir):
+    """Files with all 18 headers, in which loose titles count for nothing."""
+    parts = _table(spark, sf_dir, "part")
+    value = {"semanticKey": F.concat(F.lit("P|"), "p_partkey"), "bookCode": F.lit("MAT"), "chapter": F.col("p_size").cast("string"), "verse": F.lit("4"), "contentType": F.when(F.col("p_partkey") % 2 == 0, "footnote").otherwise(""), "currentText": F.col("p_name"), "languageRole": F.lit("source"), "resourceRole": F.lit("footnotes")}
+    line = F.concat_ws(",", *[value.get(h, F.lit("")) for h in HEADERS], F.lit("ignored"))
+    first = parts.select(F.col("p_brand").alias("file"), F.lit(-1).cast("long").alias("range"), F.lit(0).cast("long").alias("nth"), F.lit(",".join([*HEADERS, "text"])).alias("piece")).distinct()
+    rows = tables.parse_delimited_lines(first.union(_in_ranges(parts, "p_brand", "p_partkey", line, "\n")))
+    return rows.select(*PARSED, "resource_role", "protection_level", "raw_text")
+
+
+@query
+def docx_types(spark, sf_dir):
+    """Word files that state no content type: it follows from the tag."""
+    tag = F.element_at(F.array(*map(F.lit, ("f", "x", "s1", "c", "v", "fig", "ef", "p"))), (F.col("s_suppkey") % 8 + 1).cast("int"))
+    items = _table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("PSA "), F.floor(F.col("s_suppkey") / 30), F.lit(".docx")).alias("file"), F.concat(F.lit("S|"), "s_suppkey").alias("semantic_key"), F.col("s_suppkey").cast("int").alias("sequence_no"),
+        F.lit(1).alias("chapter"), F.lit("2").alias("verse"), F.lit("").alias("content_type"), tag.alias("marker"), F.lit("source").alias("language_role"), F.col("s_name").alias("current_text"),
+    )
+    rows = word.parse_docx(archive.small_files(exchange.docx_pieces(items, "file")))
+    return rows.select("file", "semantic_key", "book_code", "content_type", "marker", "language_role", "current_text")
+
+
+@query
+def json_export(spark, sf_dir):
+    """A JSON export of any size, an item a piece."""
+    customer = _table(spark, sf_dir, "customer").selectExpr("concat('C|', c_custkey) AS semantic_key", "CAST(c_custkey AS INT) AS sequence_no", "c_name AS current_text", "concat('\"', c_mktsegment, '\" \\\\ /') AS raw_text", "'en' AS language_code")
+    return exchange.json_pieces(customer, "2024-01-01T00:00:00.000Z")
+
+
+@query
+def marker_export(spark, sf_dir):
+    """Line-marker text of all items; the raw line where there is one, else marker and text."""
+    items = _items(spark, sf_dir).withColumns({"raw_text": F.when(F.col("sequence_no") % 3 == 0, F.concat(F.lit(" \\p "), "raw_text")).otherwise(""), "marker": F.when(F.col("sequence_no") % 5 > 0, F.col("marker")), "source_locator": F.when(F.col("sequence_no") % 7 == 0, "line:3:footnote").otherwise(F.col("source_locator"))})
+    lines = exchange.marker_lines(items)
+    return lines.select("book_code", "sequence_no", F.sha2("line", 256).alias("line_hash"))
+
+
+@query
+def absent_keys(spark, sf_dir):
+    """Customers of orders that are not stored yet, each once."""
+    new = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"))
+    known = _table(spark, sf_dir, "customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("custkey"))
+    return exchange.append_absent(new, known, "custkey")
+
+
+def _earlier_issues(spark, sf_dir):
+    """Issues before a run: some have not been found yet, some are a person's, some are closed."""
+    f = F.col("fingerprint")
+    found = _issues(spark, sf_dir).filter(~f.startswith("f"))
+    return found.withColumns({"engine": F.when(f.startswith("0"), "person").otherwise(dims.ENGINE), "status": F.when(f.startswith("1"), "rejected").otherwise(F.col("status"))})
+
+
+@query
+def issues_next(spark, sf_dir):
+    """The issue table after a run: open findings of the engine are replaced, closed ones and a person's stay."""
+    return quality.next_issues(_earlier_issues(spark, sf_dir), _items(spark, sf_dir)).select("fingerprint", "status", "engine", "category")
+
+
+@query
+def issue_status(spark, sf_dir):
+    """One issue is deferred."""
+    issues = _issues(spark, sf_dir).select("fingerprint", "status")
+    return quality.set_status(issues, issues.agg(F.min("fingerprint")).first()[0], "deferred")
+
+
+@query
+def rules_listed(spark, sf_dir):
+    rules = _table(spark, sf_dir, "part").selectExpr("p_partkey AS rule_id", "CASE WHEN p_partkey % 3 = 0 THEN 'approved' ELSE 'proposed' END AS status", "p_size AS evidence_count")
+    return summaries.listed_rules(rules, "rule_id")
+
+
+@query
+def clean_cells(spark, sf_dir):
+    """Table cells: NFC, spaces collapsed, line feeds kept, NA and N/A empty."""
+    cell = F.when(F.col("doc_id") % 9 == 0, F.lit(" n/A ")).otherwise(F.concat(F.lit("  \r"), "current_text", F.lit("  \n  end \ufeff")))
+    return _documents(spark, sf_dir).select("doc_id", F.sha2(T.clean_cell(cell), 256).alias("cell_hash"))
+
+
+@query
+def resolved_languages(spark, sf_dir):
+    """Role and code of items by what the item, its file and its resource say."""
+    items = _table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "CASE doc_id % 4 WHEN 0 THEN 'source' WHEN 1 THEN 'target' END AS language_role", "CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN '' END AS file_language",
+        "CASE doc_id % 5 WHEN 0 THEN 'source_scripture' WHEN 1 THEN 'target' WHEN 2 THEN 'sourcebook' ELSE 'notes' END AS resource_role",
+    )
+    return importing.resolve_language(items, "en", "fr").select("doc_id", "language_role", "language_code")
+
+
+@query
+def fresh_ids(spark, sf_dir):
+    """New identifiers differ, and have their form; so has the time."""
+    rows = _table(spark, sf_dir, "documents").select(T.new_id("cnt").alias("id"), T.iso_now().alias("at"))
+    good = F.col("id").rlike("^cnt_[0-9a-f]{32}$") & F.col("at").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}\.[0-9]{3}Z$")
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.count_if(good).alias("n_good"))
+
+
+@query
+def project_lookup(spark, sf_dir):
+    projects = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("name"))
+    books = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("project_id"))
+    items = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("project_id"))
+    return summaries.project_counts(projects, books, items).filter("project_id = 7")
 
 
 def generated_book(spark: SparkSession, books: int = 1) -> DataFrame:

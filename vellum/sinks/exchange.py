@@ -55,6 +55,17 @@ def write_json_lines(items: DataFrame, path: str) -> None:
     canonical(items).withColumn("sequenceNo", F.col("sequenceNo").cast("int")).write.json(path)
 
 
+def json_pieces(items: DataFrame, exported_at: str) -> DataFrame:
+    """no, text: a JSON export of any size; the texts in order of no are the file, an item a piece."""
+    rows = canonical(items).withColumn("sequenceNo", F.col("sequenceNo").cast("int"))
+    placed = numbered(rows.select("sequenceNo", F.to_json(F.struct(*HEADERS)).alias("item")), "sequenceNo", "item")
+    each = placed.select(F.col("no").cast("long").alias("no"), F.concat(F.when(F.col("no") > 1, ",").otherwise(""), "item").alias("text"))
+    said = lambda x: F.to_json(F.struct(F.lit(x).alias("x"))).substr(6, 1_000_000)  # noqa: E731  the value and the closing brace
+    head = F.concat(F.lit('{"schemaVersion":'), F.regexp_replace(said(EXCHANGE_VERSION), r"\}$", ""), F.lit(',"exportedAt":'), F.regexp_replace(said(exported_at), r"\}$", ""), F.lit(',"items":['))
+    ends = items.sparkSession.range(1).select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("no"), head.alias("text")), F.struct(F.lit(2**62).alias("no"), F.lit("]}").alias("text")))).alias("e")).select("e.*")
+    return each.union(ends)
+
+
 #: Items that a format of one file may hold.
 ONE_FILE = 200_000
 
