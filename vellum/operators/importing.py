@@ -309,24 +309,36 @@ def commit(incoming: DataFrame, existing: DataFrame, sorted_out: DataFrame | Non
     return inserted, conflicts
 
 
-def committed(files: DataFrame, incoming: DataFrame, existing: DataFrame, books: DataFrame, sorted_out: DataFrame | None = None) -> dict[str, DataFrame]:
-    """What a committed batch adds beside its items and conflicts: books, resources, and the batches' own rows.
+def committed_books(incoming: DataFrame, books: DataFrame) -> DataFrame:
+    """The books of incoming rows that are not there yet."""
+    seen = incoming.filter("book_code <> ''").select("book_code").distinct()
+    return seen.join(books.select("book_code"), "book_code", "left_anti")
 
-    files: file_id, batch_id, filename, language_code, resource_role; incoming rows tell their file_id.
-    A resource has a language unless its file mixes source and target, and a book if it has only one.
-    """
+
+def committed_resources(files: DataFrame, incoming: DataFrame) -> DataFrame:
+    """A resource for each file, with a language unless the file mixes source and target, and a book if it has only one."""
     flag = lambda role: F.coalesce(F.bool_or(F.col("language_role") == role), F.lit(False))
-    seen = incoming.filter("book_code <> ''").select("book_code").distinct()
     whose = incoming.groupBy("file_id").agg((flag("source") & flag("target")).alias("mixed"), F.min(F.nullif("book_code", F.lit(""))).alias("lo"), F.max(F.nullif("book_code", F.lit(""))).alias("hi"))
-    resources = files.join(whose, "file_id", "left").select(
+    return files.join(whose, "file_id", "left").select(
         "file_id", "resource_role", F.when(~F.coalesce("mixed", F.lit(False)), F.nullif("language_code", F.lit(""))).alias("language_code"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("book_code"), F.col("filename").alias("title")
     )
-    sorted_out = classify(incoming, existing) if sorted_out is None else sorted_out
+
+
+def committed_batches(files: DataFrame, incoming: DataFrame, sorted_out: DataFrame) -> DataFrame:
+    """The rows of the batches themselves, with what became of their items."""
     state = sorted_out.join(incoming.select("id", "file_id"), "id").join(files.select("file_id", "batch_id"), "file_id")
     count = lambda status: F.count_if(F.col("status") == status)
     batches = state.groupBy("batch_id").agg(count("new").alias("inserted"), count("identical").alias("skipped"), count("conflict").alias("changed"), F.count_if("cross_role").alias("overlaps"))
-    batches = files.select("batch_id").distinct().join(batches, "batch_id", "left").fillna(0).withColumn("status", F.lit("committed"))
-    return {"books": seen.join(books.select("book_code"), "book_code", "left_anti"), "resources": resources, "batches": batches}
+    return files.select("batch_id").distinct().join(batches, "batch_id", "left").fillna(0).withColumn("status", F.lit("committed"))
+
+
+def committed(files: DataFrame, incoming: DataFrame, existing: DataFrame, books: DataFrame, sorted_out: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What a committed batch adds beside its items and conflicts: books, resources, and the batches' own rows.
+
+    files: file_id, batch_id, filename, language_code, resource_role; incoming rows tell their file_id.
+    """
+    sorted_out = classify(incoming, existing) if sorted_out is None else sorted_out
+    return {"books": committed_books(incoming, books), "resources": committed_resources(files, incoming), "batches": committed_batches(files, incoming, sorted_out)}
 
 
 def conflict_rollup(conflicts: DataFrame) -> DataFrame:

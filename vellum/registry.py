@@ -229,24 +229,20 @@ def _files(spark, sf_dir):
     return spark.sql("SELECT concat('f', id) AS file_id, concat('b', id % 3) AS batch_id, concat('file ', id) AS filename, CASE WHEN id % 4 < 3 THEN 'en' END AS language_code, 'notes' AS resource_role FROM range(8)")
 
 
-def _committed(spark, sf_dir):
-    books = spark.sql("SELECT 'GEN' AS book_code")
-    return importing.committed(_files(spark, sf_dir), *_import_sides(spark, sf_dir), books)
-
-
 @query
 def commit_books(spark, sf_dir):
-    return _committed(spark, sf_dir)["books"]
+    return importing.committed_books(_import_sides(spark, sf_dir)[0], spark.sql("SELECT 'GEN' AS book_code"))
 
 
 @query
 def commit_resources(spark, sf_dir):
-    return _committed(spark, sf_dir)["resources"]
+    return importing.committed_resources(_files(spark, sf_dir), _import_sides(spark, sf_dir)[0])
 
 
 @query
 def commit_batches(spark, sf_dir):
-    return _committed(spark, sf_dir)["batches"]
+    incoming, existing = _import_sides(spark, sf_dir)
+    return importing.committed(_files(spark, sf_dir), incoming, existing, spark.sql("SELECT 'GEN' AS book_code"))["batches"]
 
 
 @query
