@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much work: where it has fewer splits than there are cores (a single row group
+    is one split), its rows are dealt to all of them first."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
 

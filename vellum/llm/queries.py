@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import conversation_repair, decontamination, jaccard_join, language_id, line_dedup, pieces, prefix_counts, sharding, substring_dedup, suffix_dedup, token_alignment, topk_search, toxicity
-from vellum.llm.common import held_out, table
+from vellum.llm.common import dealt_table, held_out, table
 
 MODEL = "piece_bpe_32k.model"
 
@@ -18,22 +18,22 @@ def model_path(name: str = MODEL) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+    rows = line_dedup.line_decisions(dealt_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_kept", "n_removed", F.concat_ws(",", F.col("kept").cast("array<string>")).alias("kept"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join_classes(table(spark, sf_dir, "documents"))
+    return jaccard_join.join_classes(dealt_table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt_table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt_table(spark, sf_dir, "documents")
     guessed = language_id.predict(docs, language_id.train(docs))
     return guessed.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
@@ -43,31 +43,31 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encoding_digests(table(spark, sf_dir, "documents"), model_path())
+    return pieces.encoding_digests(dealt_table(spark, sf_dir, "documents"), model_path())
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.find_leaks(dealt_table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeat_digests(dealt_table(spark, sf_dir, "documents"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_counts.token_counts(table(spark, sf_dir, "documents"), model_path())
+    return prefix_counts.token_counts(dealt_table(spark, sf_dir, "documents"), model_path())
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+    return sharding.shard_by_bytes(dealt_table(spark, sf_dir, "documents"))
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_alignment.alignment_digests(table(spark, sf_dir, "documents"), model_path("byte_bpe_50k.json"), model_path())
+    return token_alignment.alignment_digests(dealt_table(spark, sf_dir, "documents"), model_path("byte_bpe_50k.json"), model_path())
 
 
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeat_digests(dealt_table(spark, sf_dir, "documents"))
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
