@@ -10,6 +10,11 @@ from vellum.dims import DIGIT_ZEROS
 #: White space as ECMAScript has it: Java's own class lacks the no-break space and the byte-order mark.
 WHITE = r"[\t\n\x0B\f\r\x20\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 ZERO_WIDTH = r"[\u200B\u200C\u200D\uFEFF]"
+# What counts as a marker, as attributes behind a bar, and as a number or reference.
+ANY_MARKER = r"(?i)\\[a-z0-9]+\*?"
+NAMED_MARKER = r"\\[A-Za-z][A-Za-z0-9]*\*?"
+ATTRIBUTES = r"\|[^\\]+(?=\\|$)"
+NUMBER = r"[0-9]+/[0-9]+|[0-9]+(?::[0-9]+)?(?:-[0-9]+(?::[0-9]+)?)?"
 
 
 #: Only texts with one of these characters can differ from their NFC: all below U+0300, CJK ideographs,
@@ -63,8 +68,8 @@ def escape_xml(c: Column) -> Column:
 
 def strip_markers(c: Column) -> Column:
     """Visible text: markers become spaces; attributes from a bar to the end go with them."""
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\\[a-z0-9]+\*?", " ")
-    return normalize(F.regexp_replace(bare, r"\|[^\\]+(?=\\|$)", " "))
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), ANY_MARKER, " ")
+    return normalize(F.regexp_replace(bare, ATTRIBUTES, " "))
 
 
 def strip_notes(c: Column) -> Column:
@@ -89,11 +94,11 @@ def numeric_form(c: Column) -> Column:
 
 def numbers(c: Column) -> Column:
     """Fractions, chapter-and-verse references and plain numbers, in order."""
-    return F.regexp_extract_all(numeric_form(c), F.lit(r"[0-9]+/[0-9]+|[0-9]+(?::[0-9]+)?(?:-[0-9]+(?::[0-9]+)?)?"), F.lit(0))
+    return F.regexp_extract_all(numeric_form(c), F.lit(NUMBER), F.lit(0))
 
 
 def marker_sequence(c: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\\[A-Za-z][A-Za-z0-9]*\*?"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(NAMED_MARKER), F.lit(0))
     return F.transform(found, lambda m: F.lower(F.substring(m, 2, 1_000)))
 
 

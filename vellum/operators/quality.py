@@ -208,11 +208,14 @@ def summary(issues: DataFrame) -> DataFrame:
 
 def result(created: DataFrame, issues: DataFrame) -> DataFrame:
     """section, name, n of a run: findings created, and the open issues in all, by severity (all five) and by category."""
-    open_ = issues.filter("status = 'open'")
-    row = lambda section, name, n: [F.lit(section).alias("section"), name.alias("name"), n.alias("n")]
-    total = lambda df, name: df.agg(F.count("*").alias("n")).select(*row("total", F.lit(name), F.col("n")))
-    categories = open_.groupBy("category").agg(F.count("*").alias("n")).select(*row("category", F.col("category"), F.col("n")))
-    return total(created, "created").union(total(open_, "open")).union(summary(open_).select(*row("severity", F.col("severity"), F.col("n")))).union(categories)
+    # the issues are counted once, by severity and category; all else adds these few rows up
+    kinds = issues.filter("status = 'open'").groupBy("severity", "category").agg(F.count("*").alias("n"))
+    row = lambda section, name, n: F.struct(F.lit(section).alias("section"), name.alias("name"), n.cast("long").alias("n"))
+    each = kinds.select(F.explode(F.array(row("total", F.lit("open"), F.col("n")), row("severity", F.col("severity"), F.col("n")), row("category", F.col("category"), F.col("n")))).alias("r")).select("r.*")
+    always = [row("total", F.lit("open"), F.lit(0)), *[row("severity", F.lit(s), F.lit(0)) for s in dims.SEVERITIES]]
+    zeros = issues.sparkSession.range(1).select(F.explode(F.array(*always)).alias("r")).select("r.*")
+    all_ = created.agg(F.count("*").alias("n")).select(row("total", F.lit("created"), F.col("n")).alias("r")).select("r.*")
+    return each.union(zeros).union(all_).groupBy("section", "name").agg(F.sum("n").alias("n"))
 
 
 def list_issues(issues: DataFrame, items: DataFrame, limit: int = 500, severity: str | None = None, status: str = "all") -> DataFrame:
