@@ -58,3 +58,18 @@ def test_tables(spark):
     assert sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in counts) == sorted((len((t or "").encode()), n := len(SP.encode(t or "")), n > 2) for t in (None, "", "a  b\n c", "a  b\n c", "z"))
     assert pieces.encoding_digests(docs.limit(0), PATH).count() == 0 == prefix_counts.token_counts(docs.limit(0), PATH).count()
     assert {r.doc_id: r.ids for r in pieces.encode_documents(docs, PATH).collect()}[2] == []
+
+
+def test_texts_of_a_batch_share_a_call(monkeypatch):
+    """A call of the library starts threads, so new chunks of many texts go into one."""
+    texts = [f"firstly{k} new{k}ly words of text{k}\n\n x▁{k}" for k in range(50)] + [None, "", " ", *ODD]
+    calls, table = [], pieces.code_table(PATH)
+    make = table.make
+    monkeypatch.setattr(table, "make", lambda new: calls.append(len(new)) or make(new))
+    for most, least in ((pieces.TOGETHER, 1), (10, 20)):
+        monkeypatch.setattr(pieces, "TOGETHER", most)
+        table.kept.clear(), calls.clear()
+        want = [SP.encode(t or "") for t in texts]
+        got = list(pieces.digests(PATH, texts))
+        assert got == [(len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(SP.decode(i).encode() if i else b"").hexdigest()) for i in want]
+        assert len(calls) == 1 if least == 1 else len(calls) >= least

@@ -6,7 +6,8 @@ that no merge can cross.  A chunk is segmented by the library itself and its ids
 documents join the results back by position.  The table is bounded and belongs to one Python worker:
 long chunks are not kept, and a full table is emptied, so that memory does not follow the corpus.
 Over a cluster a common chunk is therefore segmented a few times, not once, which costs less than a
-shuffle of all distinct chunks.
+shuffle of all distinct chunks.  The library takes the new chunks of many texts in one call, as a call
+starts threads of its own, which takes longer than segmenting the chunks of one text.
 
 Cases: null counts as empty; the empty text has no ids; U+2581 is the marker itself and decodes to
 a space, as in the library; lone special strings such as <s> are ordinary text.
@@ -28,6 +29,8 @@ from vellum.llm.common import id_text, typed_id
 MARK = "▁"
 #: Chunks longer than this are segmented each time, and a table beyond this many entries is emptied.
 MAX_KEPT_CHARS, MAX_KEPT = 48, 600_000
+#: Characters of the texts that are looked up together.
+TOGETHER = 1 << 20
 _CHUNK = re.compile(r" +[^ \n]*|\n+|[^ \n]+")
 
 
@@ -74,6 +77,26 @@ class ChunkTable:
             self.kept.update((c, v) for c, v in made.items() if len(c) <= MAX_KEPT_CHARS)
         return out
 
+    def look_up_all(self, lists: list[list[str]]) -> Iterator[list]:
+        """look_up for each list, with one call of `make`."""
+        found, at = self.look_up([c for chunks in lists for c in chunks]), 0
+        for chunks in lists:
+            yield found[at : at + len(chunks)]
+            at += len(chunks)
+
+
+def together(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts of at most TOGETHER characters; a longer text is a run of its own."""
+    run, held = [], 0
+    for t in texts:
+        if run and held + len(t or "") > TOGETHER:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += len(t or "")
+    if run:
+        yield run
+
 
 def _coded(path: str, chunks: list[str]) -> list[tuple[int, str, str]]:
     sp = bare_processor(path)
@@ -94,12 +117,17 @@ def decode(path: str, ids: list[int]) -> str:
     return bare_processor(path).decode(ids).removeprefix(" ") if ids else ""
 
 
+def digests(path: str, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+    """Of each text: number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
+    for run in together(texts):
+        for rows in code_table(path).look_up_all([chunks_of(t) if t else [] for t in run]):
+            ids = ",".join([r[1] for r in rows])
+            back = "".join([r[2] for r in rows]).removeprefix(" ")
+            yield sum([r[0] for r in rows]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+
+
 def digest(path: str, text: str | None) -> tuple[int, str, str]:
-    """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
-    rows = code_table(path).look_up(chunks_of(text)) if text else []
-    ids = ",".join([r[1] for r in rows])
-    back = "".join([r[2] for r in rows]).removeprefix(" ")
-    return sum([r[0] for r in rows]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+    return next(digests(path, [text]))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -117,7 +145,7 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n, ids, back = zip(*[digest(path, t) for t in pdf["text"]], strict=True) if len(pdf) else ((), (), ())
+            n, ids, back = zip(*digests(path, pdf["text"].tolist()), strict=True) if len(pdf) else ((), (), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": np.array(n, np.int64), "ids_sha256": ids, "decoded_sha256": back})
 
     return typed_id(docs.select(id_text(), "text").mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"))
