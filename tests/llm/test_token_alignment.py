@@ -132,3 +132,14 @@ def test_pairs_hold_every_link():
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "▁")]])
 def test_nothing_to_align(spark, rows):
     assert result(spark, rows) == brute(rows)
+
+
+def test_texts_of_a_batch_share_a_call(monkeypatch):
+    texts = [f"firstly{k} new{k}ly words" for k in range(40)] + ["a b", "x▁y", " ", "plain\n\n text"]
+    for name, path in (("a", model_path("byte_bpe_50k.json")), ("b", model_path())):
+        own, calls = token_alignment.Side(name, path), []
+        single = [token_alignment.Side(name, path).encode(t) for t in texts[-6:]]
+        make = own.table.make
+        monkeypatch.setattr(own.table, "make", lambda new, make=make, calls=calls: calls.append(len(new)) or make(new))
+        got = list(own.encode_all(texts))
+        assert len(calls) == 1 and [None if x is None else x.tolist() for x in got[-6:]] == [None if x is None else x.tolist() for x in single]

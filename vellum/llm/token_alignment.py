@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import fingerprint, shuffle_partitions, stored
-from vellum.llm.pieces import MARK, ChunkTable, bare_processor, chunks_of
+from vellum.llm.pieces import MARK, ChunkTable, bare_processor, chunks_of, together
 
 #: Tokens of an event row at most.
 RUN = 8192
@@ -112,16 +112,25 @@ class Side:
             at = end
         return out
 
+    def _chunks(self, text: str) -> list[str]:
+        """The chunks of a text that the table holds; none for a text that is not cut, or has no tokens."""
+        if MARK in text or self._uncut(text):
+            return []
+        return chunks_of(text) if self.name == "b" else _WORD.findall(" " + text)
+
+    def _uncut(self, text: str) -> bool:
+        return self.name == "a" and _OTHER_WHITE.search(text) is not None
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray | None]:
+        """encode for each text, the new chunks of many texts in one call."""
+        for run in together(texts):
+            for text, parts in zip(run, self.table.look_up_all([self._chunks(t) for t in run]), strict=True):
+                if MARK not in text and self._uncut(text):
+                    parts = self._coded([" " + text])
+                yield np.frombuffer(b"".join(parts), self.kind) if MARK not in text and all(parts) else None
+
     def encode(self, text: str) -> np.ndarray | None:
-        if MARK in text:
-            return None
-        if self.name == "b":
-            parts = self.table.look_up(chunks_of(text))
-        elif _OTHER_WHITE.search(text):
-            parts = self._coded([" " + text])
-        else:
-            parts = self.table.look_up(_WORD.findall(" " + text))
-        return np.frombuffer(b"".join(parts), self.kind) if all(parts) else None
+        return next(self.encode_all([text]))
 
 
 @lru_cache(maxsize=8)
@@ -225,14 +234,12 @@ def events(texts: DataFrame, name: str, path: str) -> DataFrame:
         own = side(name, path)
         for batch in batches:
             rows, at, ids, held = [], [], [], 0
-            texts = batch.column("text")
 
             def made(rows=rows, at=at, ids=ids, batch=batch) -> pa.RecordBatch:
                 key = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("a", "b", "copies")]
                 return pa.RecordBatch.from_arrays([*key, pa.array(at, pa.int64()), pa.array([name] * len(at), pa.string()), pa.array(ids, pa.binary())], schema=_EVENT)
 
-            for i in range(batch.num_rows):
-                found = own.encode(texts[i].as_py())
+            for i, found in enumerate(own.encode_all(batch.column("text").to_pylist())):
                 if found is None:
                     rows.append(i), at.append(-1), ids.append(None)
                     continue
